@@ -226,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
     final = moves[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))
     for move in reversed(moves[:-1]):
         here = move.join(final, move["to"] == final["node"], "left").select(move["a"].alias("node"), F.coalesce("root", "to").alias("root"))
-        final = here.union(final).distinct()
+        final = stored(here.union(final).distinct(), "roots")
     return final.union(final.select("root", "root")).distinct()
 
 
