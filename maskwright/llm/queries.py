@@ -4,22 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dups, topk
-from .common import table
+from . import decontaminate, html_text, lm_score, near_dups, packing, pii, quality, token_files, topk, toxicity
+from .common import fresh_path, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), where=held_in("k"))
+    found = quality.graded(docs, model)
+    return found.select("doc_id", (~held_in("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), TOKENIZER)
+    return token_files.read(files)
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.main_text(pages, html_text.train(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "score_micro")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=held_in("k"))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", (~held_in("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=False)
@@ -27,6 +63,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [_counted(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+def _counted(kind: int):
+    return F.size(F.filter("base", lambda s: s["k"] == kind)).cast("long")
+
+
+def held_in(key: str):
+    """Whether a row's labels may be learnt from: crc32 of the id as text isn't divisible by 5."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0, F.lit(True))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
@@ -43,11 +94,47 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), p AS (
+  SELECT d, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d
+), g AS (
+  SELECT d, i, w, lag(w) OVER (PARTITION BY d ORDER BY i) AS v FROM p
+), u AS (SELECT d, w, count(*) AS own FROM p GROUP BY d, w
+), b AS (SELECT d, v, w, count(*) AS own FROM g WHERE i > 0 GROUP BY d, v, w
+), uu AS (SELECT w, sum(own) AS n FROM u GROUP BY w
+), bb AS (SELECT v, w, sum(own) AS n FROM b GROUP BY v, w
+), c AS (
+  SELECT g.d, g.i, uu.n - u.own AS cw, bb.n - b.own AS cvw, uv.n - ov.own AS cv
+  FROM g JOIN u ON u.d = g.d AND u.w = g.w JOIN uu ON uu.w = g.w
+    LEFT JOIN b ON b.d = g.d AND b.v = g.v AND b.w = g.w LEFT JOIN bb ON bb.v = g.v AND bb.w = g.w
+    LEFT JOIN u ov ON ov.d = g.d AND ov.w = g.v LEFT JOIN uu uv ON uv.w = g.v
+), t AS (SELECT sum(len(ws)) AS n FROM d
+), s AS (
+  SELECT c.d, CASE WHEN i > 0 AND cvw > 0 THEN ln(cvw::DOUBLE / cv)
+    ELSE ln((CASE WHEN i > 0 THEN 0.4::DOUBLE ELSE 1::DOUBLE END) * (greatest(cw, 1)::DOUBLE / greatest(t.n - len(d.ws), 1))) END AS s
+  FROM c JOIN d USING (d), t
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS score_micro
+FROM d LEFT JOIN (SELECT d, sum(round_even(s * 1000000::DOUBLE, 0)::BIGINT) AS m FROM s GROUP BY d) x USING (d)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_quality": op2_quality,
+    "op3_token_files": op3_token_files,
+    "op4_html": op4_html,
+    "op5_lm_score": op5_lm_score,
     "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
+    "op5_lm_score": OP5_SQL,
 }
