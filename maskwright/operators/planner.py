@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scan import token_counts
 from ..functions.text import intent, subgoals, words
@@ -20,7 +21,7 @@ def element_words(label: Column, role: Column, type_: Column) -> Column:
     return F.concat(words(label), words(role), words(type_))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy(targets: pd.Series, own: pd.Series) -> pd.Series:
     """Mean over the target words of the best Ratcliff-Obershelp ratio with an
     element's words; there is no built-in function of it."""
