@@ -214,7 +214,7 @@ def private_spans(docs: DataFrame, *, text: str = "text", precision: float = 0.9
     base = F.transform("base", slim)
     if not trees:
         return found.withColumn("spans", base).withColumn("base", base).drop("other", "labelled")
-    passes = lambda s: reduce(lambda rest, k: F.when(s["k"] == k, F.lit(False) if math.isinf(bars[k]) else _scored(trees, s) >= bars[k]).otherwise(rest), bars, F.lit(False))
+    passes = lambda s: reduce(lambda rest, k: F.when(s["k"] == k, F.lit(False) if math.isinf(bars[k]) else _scored(trees, s) >= bars[k] - 1e-9).otherwise(rest), bars, F.lit(False))
     ranked = F.array_sort(F.transform(F.filter("other", passes), lambda s: F.struct((-_scored(trees, s)).alias("m"), s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))))
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
     clear = lambda kept, s: ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

@@ -85,7 +85,7 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
     return list(counts), [float(v) for v in counts.values()]
 
 
-def fit(rows: list[tuple[list[int], list[float]]], grades: list[int], *, epochs: int = 150, rate: float = 0.1, penalty: float = 1e-5) -> Model:
+def fit(rows: list[tuple[list[int], list[float]]], grades: list[int], *, epochs: int = 300, rate: float = 0.3, penalty: float = 1e-5) -> Model:
     """Maximum likelihood by Adam over the whole sample. Thresholds are a first
     one and positive gaps, so they stay ordered."""
     levels = sorted(set(grades))

@@ -33,6 +33,10 @@ from .common import slices
 CUTS = (0.3, 0.4, 0.5, 0.6, 0.7)
 #: Words of either dictionary, and distinct words kept per Python process.
 TOXIC_WORDS, ORDINARY_WORDS, KEPT = 600, 1500, 400_000
+#: Bytes of a dictionary at least, by repetition: the compressor hardly uses smaller ones.
+SMALLEST = 4096
+#: Lengths of the stems that are counted.
+STEM = (5, 9)
 #: Longer words are cut into windows of this many characters.
 WINDOW = 32
 _HEAD, _TAIL = bytes(range(2, 8)) + bytes(range(14, 20)), bytes(range(20, 32)) + b"\x7f\x01\x7f"
@@ -56,10 +60,13 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k not in ("_kept", "_with", "_without")} | {"_ready": False}
 
     def _compressor(self, words: list[str]) -> zs.ZstdCompressor:
-        content = b"".join((" " + w + " ").encode() for w in reversed(words)) + _TAIL + _HEAD  # the best ones last: nearest
+        content = b"".join((" " + w + " ").encode() for w in reversed(words))  # the best ones last: nearest
+        content = content * (1 + SMALLEST // (len(content) + 1)) + _TAIL + _HEAD
         data = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-        plain = zs.ZstdCompressionParameters.from_level(3, write_checksum=False, write_content_size=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
-        return zs.ZstdCompressor(dict_data=data, compression_params=plain)
+        # Every place of a dictionary is indexed, unlike by the fast strategies; bare frames, as only lengths count.
+        how = zs.ZstdCompressionParameters(window_log=15, chain_log=12, hash_log=12, search_log=5, min_match=4, target_length=32, strategy=zs.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        data.precompute_compress(compression_params=how)
+        return zs.ZstdCompressor(dict_data=data, compression_params=how)
 
     def margin(self, word: str) -> float:
         if not self._ready:
@@ -133,16 +140,23 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
 
 def _dictionaries(sample: DataFrame) -> Model:
-    """Words by the number of documents of either label that hold them: the most
-    telling of the toxic ones, and the most frequent of the others."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0)))
-    held = sample.select("y", F.explode(words).alias("w")).where(F.length("w") <= WINDOW)
+    """Words and stems by the number of documents of either label that hold
+    them: the most telling of the toxic ones, and the most frequent words of the
+    others. A stem is the start of a word, marked by a hyphen."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))), lambda w: F.length(w) <= WINDOW)
+    stems = F.flatten(F.transform(F.filter("ws", lambda w: F.length(w) > STEM[0]), lambda w: F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length(w) - 1, F.lit(STEM[1]))), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("-")))))
+    held = sample.select("y", words.alias("ws")).select("y", F.explode(F.concat("ws", F.array_distinct(stems))).alias("w"))
     counts = held.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b"))
     sizes = sample.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n")).first()
     odds = F.log(((F.col("a") + 0.5) / (sizes["p"] + 1)) / ((F.col("b") + 0.5) / (sizes["n"] + 1)))
-    toxic = counts.withColumn("o", odds).where((F.col("a") >= 3) & (F.col("o") > math.log(8))).orderBy(F.desc(F.col("a") * F.col("o")), "w").limit(TOXIC_WORDS).select("w").collect()
-    ordinary = counts.orderBy(F.desc("b"), "w").limit(ORDINARY_WORDS).select("w").collect()
-    return Model([r["w"] for r in toxic], [r["w"] for r in ordinary])
+    found = counts.withColumn("o", odds).where((F.col("a") >= 4) & (F.col("o") > math.log(8)) & (F.col("a") * F.col("o") >= 20)).orderBy(F.desc(F.col("a") * F.col("o")), "w").limit(4 * TOXIC_WORDS).select("w", "a").collect()
+    toxic: dict[str, int] = {}
+    for w, a in ((r["w"].rstrip("-"), r["a"]) for r in found):
+        # of forms that occur in about the same documents, one is enough
+        if len(toxic) < TOXIC_WORDS and not any((w.startswith(d) or d.startswith(w)) and a > 0.7 * n for d, n in toxic.items()):
+            toxic.setdefault(w, a)
+    ordinary = counts.where("b > 0 AND NOT endswith(w, '-')").orderBy(F.desc("b"), "w").limit(ORDINARY_WORDS).select("w").collect()
+    return Model(list(toxic), [r["w"] for r in ordinary if r["w"] not in toxic])
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
