@@ -6,13 +6,11 @@ a scan is a projection: no shuffle, no Python.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checksums import digits, luhn, verhoeff
-from .rules import SCAN_CHARS, SPACE, TEXT_RULES, TextRule, java
+from .rules import SCAN_CHARS, SHORT_TOKENS, SPACE, TEXT_RULES, TextRule, java
 
 HIT = "struct<rule_id:string,token:string,severity:int,label:string,index:int,length:int,text:string>"
 
@@ -102,5 +100,18 @@ def token_counts(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.array_join(listed, ", ")).otherwise("no redacted regions on this frame")
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def short_token(token: Column) -> Column:
+    """The short name of a token; other texts stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in SHORT_TOKENS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, token), token)
+
+
+def fitted_label(token: Column, width: Column, height: Column, *, advance: float = 0.6) -> Column:
+    """struct<label, size> that fits a box: the whole token if it fits at the
+    box's size, else the short one at the largest size of 7 or more that fits;
+    null if none does. ``advance`` is a character's width as a share of the size."""
+    size = F.greatest(F.lit(9), F.least(F.lit(18), F.floor(height * 0.6)))
+    short = short_token(token)
+    most = F.floor((width - 8) / (F.length(short) * advance))
+    fits = F.length(token) * size * advance <= width - 8
+    return F.when(fits, F.struct(token.alias("label"), size.cast("int").alias("size"))).when(F.least(size, most) >= 7, F.struct(short.alias("label"), F.least(size, most).cast("int").alias("size")))

@@ -16,7 +16,7 @@ from .functions.checksums import verhoeff
 from .functions.checksums import VERHOEFF_D, VERHOEFF_P
 from .functions.rules import SCAN_CHARS, TEXT_RULES
 from .operators import audit, pages, planner, policy, proof, regions, vision
-from .sources.tables import table
+from .sources.tables import envelopes, table
 from .streaming import gather
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,3 +604,61 @@ def masks_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 2 == 0).alias("even")).agg(F.count("*").alias("n"))
 
 
+
+
+# ---- records at the edge ----
+
+
+@query(_all_counts("SELECT doc_id, text FROM documents") + " SELECT token, CASE token WHEN '[MASK_CARD]' THEN '[CARD]' WHEN '[MASK_EMAIL]' THEN '[EMAIL]' WHEN '[MASK_PHONE]' THEN '[PHONE]' WHEN '[MASK_AADHAAR]' THEN '[AADHAAR]' ELSE token END AS short, CAST(sum(n) AS BIGINT) AS hits FROM h WHERE n > 0 GROUP BY token")
+def short_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan.hits(table(spark, sf_dir, "documents"), "text", "doc_id").groupBy("token").agg(F.count("*").alias("hits"))
+    return found.select("token", scan.short_token(F.col("token")).alias("short"), "hits")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_suppkey % 160 + 20 AS INTEGER) AS w, CAST(l_partkey % 40 + 6 AS INTEGER) AS h FROM lineitem),
+s AS (SELECT *, greatest(9, least(18, floor(h * 0.6::DOUBLE))) AS size, floor((w - 8) / (5 * 0.6::DOUBLE)) AS most FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN 15 * size * 0.6::DOUBLE <= w - 8 THEN '[MASK_PASSWORD]' WHEN least(size, most) >= 7 THEN '[PWD]' END AS label, CAST(CASE WHEN 15 * size * 0.6::DOUBLE <= w - 8 THEN size WHEN least(size, most) >= 7 THEN least(size, most) END AS INTEGER) AS size FROM s""")
+def fitted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = scan.fitted_label(F.lit("[MASK_PASSWORD]"), (F.col("l_suppkey") % 160 + 20).cast("int"), (F.col("l_partkey") % 40 + 6).cast("int"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", made.alias("m")).select("l_orderkey", "l_linenumber", "l_partkey", "m.label", "m.size")
+
+
+@query("SELECT item_id, 'image/webp' AS media, CAST(length(base64(encode(text))) AS INTEGER) AS encoded, CAST(strlen(text) AS INTEGER) AS bytes FROM benchmark")
+def data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("data:image/webp;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", ""))
+    d = table(spark, sf_dir, "benchmark").select("item_id", url.alias("u"))
+    return d.select("item_id", text.media_type(F.col("u")).alias("media"), F.length(text.payload(F.col("u"))).alias("encoded"), F.octet_length(F.try_to_binary(text.payload(F.col("u")), F.lit("base64"))).alias("bytes"))
+
+
+@query("SELECT p_partkey, round((0.299::DOUBLE * (p_partkey % 256) + 0.587::DOUBLE * (p_size * 5 % 256) + 0.114::DOUBLE * (p_partkey * 7 % 256)) / 255, 6) AS lum, (p_partkey % 256) * 65536 + (p_size * 5 % 256) * 256 + p_partkey * 7 % 256 AS packed FROM part")
+def luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, g, b = F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.col("p_partkey") * 7 % 256
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(vision.luminance(r, g, b), 6).alias("lum"), proof.packed(r, g, b).alias("packed"))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_page(table(spark, sf_dir, "events"), "ts", "event_id", 25).select("event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS goal, CASE WHEN event_id % 10 <> 0 THEN CAST(user_id % 9 AS INTEGER) END AS step, CASE WHEN event_id % 10 <> 0 THEN event_id % 2 = 0 END AS sanitized, CASE WHEN event_id % 10 <> 0 THEN 1 ELSE 0 END AS tokens FROM events")
+def envelope_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    body = F.format_string('{"goal":"%s","step":%d,"attestation":{"sanitized":%s},"semanticTokens":[{"token":"[MASK_PII]","severity":2}],"other":1}', F.col("event_type"), F.col("user_id") % 9, F.when(e % 2 == 0, "true").otherwise("false"))
+    d = envelopes(table(spark, sf_dir, "events").select("event_id", F.when(e % 10 == 0, "{broken").otherwise(body).alias("j")), "j")
+    return d.select("event_id", "envelope.goal", "envelope.step", "envelope.attestation.sanitized", F.greatest(F.size(F.coalesce("envelope.semanticTokens", F.array())), F.lit(0)).alias("tokens"))
+
+
+@query("SELECT event_id, value::DOUBLE AS dom, round(CAST(user_id % 13 + user_id % 5 AS DOUBLE), 6) AS mask_and_verify, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END AS end_to_end FROM events")
+def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, e = F.col("user_id").cast("double"), F.col("event_id").cast("double")
+    m = F.struct(F.col("value").alias("dom_ms"), u.alias("visual_ms"), u.alias("group_ms"), (u % 13).alias("mask_ms"), (u % 5).alias("verify_ms"), u.alias("encode_ms"), F.when(F.col("event_id") % 3 == 0, u).alias("roundtrip_ms"), e.alias("total_ms"))
+    return table(spark, sf_dir, "events").select("event_id", m.alias("m")).select("event_id", text.timing(F.col("m")).alias("t")).select("event_id", "t.dom", "t.mask_and_verify", "t.end_to_end")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'noop' ELSE ['click','type','scroll'][CAST(event_id % 3 + 1 AS INTEGER)] END AS op, CASE WHEN event_id % 4 = 0 THEN 'UNKNOWN_OP' WHEN event_id % 3 <> 2 AND user_id % 2 = 0 THEN CASE WHEN user_id % 3 = 0 THEN 'NO_ELEMENT_AT_POINT' ELSE 'NO_FRAME_HANDLED_ACTION' END END AS code FROM events")
+def action_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    op = F.when(e % 4 == 0, "noop").otherwise(F.get(F.array(*map(F.lit, ("click", "type", "scroll"))), e % 3))
+    made = policy.result(op, F.lit(None).cast("string"), u % 2 != 0, u % 3 == 0)
+    return table(spark, sf_dir, "events").select("event_id", made.alias("r")).select("event_id", "r.op", "r.code")
