@@ -93,9 +93,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id",
 
     Files of tasks that were lost or repeated may stay in the folder; only those
     in the table count. A null text counts as empty; rows with a null key come
-    first; repeated keys follow one another by text. Extra columns are not read.
+    first; repeated keys follow one another by a hash of their text. Extra columns are not read.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).repartitionByRange("k", "t").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
