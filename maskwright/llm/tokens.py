@@ -15,7 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Pieces kept per Python process (about 200 bytes each).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 48
 #: Pieces encoded in one library call string.
@@ -23,6 +23,8 @@ GROUP = 100
 
 _RUN = re.compile(r" (?:\s|\Z)")
 _EDGE = re.compile(r"\s\Z")
+#: Marks that the pre-tokeniser keeps together and apart from letters.
+_MARKS = ".,;:!?*#$%&|()"
 
 
 class Encoder:
@@ -76,37 +78,61 @@ class Encoder:
         if len(inner) + len(first) > CACHE_PIECES:
             inner.clear()
             first.clear()
-        whole, cut = [], []
-        new: set[str] = set()
+        whole, cut, words = [], [], []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if _RUN.search(t):
-                whole.append(i)
-                continue
-            head, *rest = t.split(" ")
-            ids = list(map(inner.get, rest))
-            if None in ids:
-                new.update([w for w, x in zip(rest, ids, strict=True) if x is None])
-            elif head in first:
-                out[i] = first[head] + b"".join(ids)
-                continue
-            cut.append((i, head, rest))
+            if t:
+                if _RUN.search(t):
+                    whole.append(i)
+                else:
+                    head, *rest = t.split(" ")
+                    cut.append((i, head, len(words), len(words) + len(rest)))
+                    words += rest
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        heads = list({head for _, head, _ in cut if head not in first})
-        inner_new = list(new)
-        made = self._pieces([" " + w for w in inner_new] + heads)
-        inner.update(zip(inner_new, made, strict=False))
-        first.update(zip(heads, made[len(inner_new) :], strict=True))
-        for i, head, rest in cut:
-            out[i] = first[head] + b"".join(map(inner.__getitem__, rest))
-        for kept, names in ((inner, inner_new), (first, heads)):
+        got = list(map(inner.get, words))
+        missing, at = [], -1
+        try:
+            while True:
+                at = got.index(None, at + 1)
+                missing.append(at)
+        except ValueError:
+            pass
+        new = {words[at] for at in missing}
+        heads = {head for _, head, _, _ in cut if head not in first}
+        self._learn(new, heads)
+        for at in missing:
+            got[at] = inner[words[at]]
+        for i, head, a, b in cut:
+            out[i] = first[head] + b"".join(got[a:b])
+        for kept, names in ((inner, new), (first, heads)):
             for w in names:
                 if len(w) > CACHE_CHARS:
                     del kept[w]
         return out
 
+    def _learn(self, new: set[str], heads: set[str]) -> None:
+        """Put pieces in the caches. A piece of letters with marks behind is cut
+        between the two, where the pre-tokeniser cuts it too."""
+        inner, first = self.inner, self.first
+        joined = []
+        plain, starts = set(), set(heads)
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core.isalpha():
+                joined.append((w, core, w[len(core) :]))
+                if core not in inner:
+                    plain.add(core)
+                if w[len(core) :] not in first:
+                    starts.add(w[len(core) :])
+            else:
+                plain.add(w)
+        plain_, starts_ = list(plain), list(starts)
+        made = self._pieces([" " + w for w in plain_] + starts_)
+        inner.update(zip(plain_, made, strict=False))
+        first.update(zip(starts_, made[len(plain_) :], strict=True))
+        for w, core, marks in joined:
+            inner[w] = inner[core] + first[marks]
+
 
 _encoders: dict[str, Encoder] = {}
 
