@@ -108,9 +108,10 @@ def json_object(text: Column) -> Column:
     strings count like others. Null if there is none. Objects nested to three
     levels are found by the pattern."""
     bare = F.btrim(F.regexp_replace(F.btrim(text), r"(?m)^```(?:json)?|```$", ""))
-    flat = r"\{[^{}]*\}"
-    two = rf"\{{(?:[^{{}}]|{flat})*\}}"
-    three = rf"\{{(?:[^{{}}]|{two})*\}}"
+    # possessive, so that long texts need neither a deep stack nor more than linear time per opening brace
+    flat = r"\{[^{}]*+\}"
+    two = rf"\{{(?:[^{{}}]++|{flat})*+\}}"
+    three = rf"\{{(?:[^{{}}]++|{two})*+\}}"
     parses = lambda s: F.try_parse_json(s).isNotNull()
     whole = F.when(bare.startswith("{") & parses(bare), bare)
     inside = F.get(F.filter(F.regexp_extract_all(bare, F.lit(three), F.lit(0)), parses), F.lit(0))

@@ -25,7 +25,7 @@ def rows(df):
     def plain(v):
         if not isinstance(v, (list, dict)) and pd.isna(v):
             return ""
-        return repr(round(float(v), 6)) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "if" else str(v)
+        return repr(round(float(v), 6)) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in ("i", "f") else str(v)
 
     return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 

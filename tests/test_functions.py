@@ -86,7 +86,7 @@ def test_goals(spark):
 
 
 def test_json(spark):
-    assert values(spark, text.json_object, ['```json\n{"a": {"b": 1}}\n```', 'well {no}: {"a": 1} and {"b": 2}', "none", None]) == ['{"a": {"b": 1}}', '{"a": 1}', None, None]
+    assert values(spark, text.json_object, ['```json\n{"a": {"b": 1}}\n```', 'well {no}: {"a": 1} and {"b": 2}', "none", None, "{" + "x" * 50_000 + "{}"]) == ['{"a": {"b": 1}}', '{"a": 1}', None, None, "{}"]
 
 
 def test_payload(spark):
