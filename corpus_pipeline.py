@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, near_dups, packing, pii, quality
+from maskwright.llm import decontaminate, packing, pii, quality, similar
 from maskwright.llm.common import stored, table
 from maskwright.llm.queries import TOKENIZER
 
@@ -25,11 +25,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group; of rows that
-    repeat its id, one. Rows without an id name no group: of those with equal
-    texts, one stays."""
+    """The document of least id of each near-duplicate group: texts joined by
+    similarities of 0.8 or more between their sets of 5-word shingles. Of rows
+    that repeat its id, one. Rows without an id name no group: of those with
+    equal texts, one stays."""
     # The least ids by partial aggregation: groups of any size are cheap.
-    kept = near_dups.near_duplicates(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    found = docs.select("doc_id", F.xxhash64("text").alias("node")).join(similar.similar(docs), "node", "left")
+    kept = found.groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.union(docs.where("doc_id IS NULL").select(*first.columns).dropDuplicates(["text"])).select(*COLUMNS)
 

@@ -42,3 +42,28 @@ def test_registered():
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert P.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
+
+
+def test_near_dedup_finds_every_similar_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(["shared words that open each text"] * 2 + rng.choices(words, k=rng.randint(30, 150))) for _ in range(25)]
+    for t in texts[:15]:  # copies with one to four words changed, and longer ones
+        ws = t.split()
+        for i in rng.sample(range(len(ws)), rng.randint(1, 4)):
+            ws[i] = rng.choice(words)
+        texts += [" ".join(ws), t + " " + " ".join(rng.choices(words, k=len(ws) // 6))]
+    texts += [texts[-1].upper(), "", " ", None, "two words", "Two  words", "three words here"]
+    sets = []
+    for t in texts:
+        ws = (t or "").lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))})
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == set(root) and len(set(root)) < 45
