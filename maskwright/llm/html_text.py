@@ -153,10 +153,10 @@ def vectors(found: list[Block]) -> np.ndarray:
                 row[PATH + WORDS + 4] = 1
             if word in MAIN:
                 row[PATH + WORDS + 5] = 1
-        words = b.text[:400].lower().split()[:12]
-        for w in words:
-            j, sign = _kept("w:" + w[:24], WORDS)
-            row[PATH + j] += sign / max(1, len(words))
+        kept = [_kept("w:" + w, WORDS) for w in b.text.lower().split()]
+        if kept:
+            at, signs = zip(*kept, strict=True)
+            row[PATH : PATH + WORDS] = np.bincount(at, signs, WORDS) / len(kept)
         n = len(b.text)
         row[PATH + WORDS] = math.log1p(n) / 8
         row[PATH + WORDS + 1] = min(1.0, b.links / n)

@@ -264,3 +264,11 @@ def test_boosting_separates():
     assert margin(row(3, 0)) > 1 > -1 > margin(row(3, 2)) and margin(row(1, 0)) < -1
     bars = pii.thresholds(trees, counts, 0.95)
     assert bars[0] == math.inf and margin(row(3, 0)) >= bars[2] > margin(row(3, 2))
+
+
+def test_block_vectors_read_every_word():
+    start = "one two three four five six seven eight nine ten eleven twelve"
+    a, b = (H.vectors([H.Block(("<p",), f"{start} {w}", 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("aaaa " * 5 + "bb", "cccc " * 5 + "dd"))
+    assert (a != b).any()
+    c, d = (H.vectors([H.Block(("<p",), "x" * 30 + w, 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("abc", "xyzzy"))
+    assert (c != d).any()
