@@ -40,6 +40,11 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "score_micro")
 
 
+def op5_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams too; ``op5_lm_score`` has the order of its SQL."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), order=3).select("doc_id", "n_words", "score_micro")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_html": op4_html,
     "op5_lm_score": op5_lm_score,
+    "op5_lm_score_order3": op5_lm_score_order3,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,

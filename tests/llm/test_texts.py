@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from maskwright.llm import html_text as H
 from maskwright.llm import lm_score, packing, pii, quality, token_files, toxicity
+from maskwright.llm import queries as llm_queries
 from maskwright.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -272,3 +273,9 @@ def test_block_vectors_read_every_word():
     assert (a != b).any()
     c, d = (H.vectors([H.Block(("<p",), "x" * 30 + w, 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("abc", "xyzzy"))
     assert (c != d).any()
+
+
+def test_order_3_is_registered(spark):
+    q = llm_queries.QUERIES
+    two, three = (dict(q[n](spark, "/root/testdata/sf0.001").select("doc_id", "score_micro").collect()) for n in ("op5_lm_score", "op5_lm_score_order3"))
+    assert two.keys() == three.keys() and two != three
