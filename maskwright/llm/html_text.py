@@ -99,6 +99,16 @@ def blocks(page: str | None) -> list[Block]:
                 while stack.pop()[0] != tag:
                     pass
             continue
+        if tag == "svg":  # may close itself or hold others
+            depth = 0 if m[3].endswith("/") else 1
+            while depth:
+                m = _TOKEN.search(page, at)
+                at = m.end() if m else len(page)
+                if not m:
+                    break
+                if (m[2] or "").lower() == "svg":
+                    depth += -1 if m[1] else not m[3].endswith("/")
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)

@@ -275,6 +275,12 @@ def test_block_vectors_read_every_word():
     assert (c != d).any()
 
 
+def test_svg_closes_itself_and_nests():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    assert text('<p>a</p><svg class="icon"/><p>b</p>') == ["a", "b"]
+    assert text("<p>a</p><svg><svg><text>x</text></svg><svg/><text>y</text></svg><p>b</p>") == ["a", "b"]
+
+
 def test_order_3_is_registered(spark):
     q = llm_queries.QUERIES
     two, three = (dict(q[n](spark, "/root/testdata/sf0.001").select("doc_id", "score_micro").collect()) for n in ("op5_lm_score", "op5_lm_score_order3"))
