@@ -1,20 +1,20 @@
 """Stupid-backoff language-model scores of documents against all other documents.
 
 S(w | context) is count(context w) / count(context) if that n-gram occurs in
-another document, else ``backoff`` times S(w | shorter context); a word seen
-nowhere else counts as seen once. Counts are those of the whole table less the
-document's own, so that a document never vouches for itself.
-
-Relational form: documents are dealt to blocks by a hash. Each block explodes
-its n-grams and keeps each distinct one once, with its count, in arrays per
-hash partition (the count table's partial aggregate). The count table is the
-sum by n-gram within each hash partition; it is joined back to the blocks'
-n-grams, and each block sums the scores of its documents' positions. The data
-exchanged are distinct n-grams per block, so no word or document is ever hot.
-
-An n-gram is known by a 64-bit hash, of which partition number and 48 bits are
-kept. A position's score is rounded to millionths before summing, so sums do
-not depend on their order.
+another document, else ``backoff`` times S(w | shorter context); the shortest
+context is empty and its count is the number of words; a word seen nowhere else
+counts as seen once. Counts are those of the whole table less the document's
+own, so that a document never vouches for itself.
+
+Relational form: documents are dealt to blocks by a hash, and each block
+explodes its n-grams to rows (n-gram, block, count), one for each distinct
+n-gram. The count table is their sum by n-gram, partitioned by the n-gram's
+hash; it is joined back to the exploded rows, those with occurrences elsewhere
+go back to their blocks, and each block sums its documents' positions. Rows
+grow with the text; a hot n-gram has one row a block, so no key is hot.
+
+An n-gram is known by a 64-bit hash. A position's score is rounded to
+millionths before summing, so sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, and of n-gram entries in a hash partition's group.
-BLOCK_BYTES, GROUP_ENTRIES = 2 << 20, 2_000_000
+#: Bytes of text in a block, about: a third of a gigabyte of its task's memory at order 3.
+BLOCK_BYTES = 4 << 20
 #: Distinct words kept per Python process.
 KEPT = 500_000
-_LOW = np.uint64((1 << 48) - 1)
 _words: dict[bytes, int] = {}
 
 
@@ -52,21 +51,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """The n-grams of a block's documents: per order, the distinct hashes and
-    each position's place among them."""
+    """The n-grams of a block's documents: per order (0 is the empty one), each
+    position's place among the distinct hashes ``keys``, and their ``counts``."""
 
     def __init__(self, texts: list[str | None], order: int) -> None:
         lists = [_hashes(t) for t in texts]
         self.sizes = np.array([len(x) for x in lists], np.int64)
         self.doc = np.repeat(np.arange(len(lists)), self.sizes)
         word = np.fromiter((h for x in lists for h in x), np.uint64, int(self.sizes.sum()))
-        self.place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        grams, h = [], _mix(word)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        grams, h = [np.zeros(len(word), np.uint64)], _mix(word)
         for n in range(order):
-            if n:  # the n-gram that ends at a position: the shorter one before it, and the word
-                h = np.concatenate((np.zeros(1, np.uint64), _mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + word[1:] + np.uint64(n)))) if len(h) else h
+            if n and len(h):  # the n-gram that ends at a position: the shorter one before it, and the word
+                h = np.concatenate((np.zeros(1, np.uint64), _mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + word[1:] + np.uint64(n))))
             grams.append(h)
-        self.valid = [self.place >= n for n in range(order)]
+        self.valid = [place >= max(0, n - 1) for n in range(order + 1)]
         self.keys, where = np.unique(np.concatenate([g[v] for g, v in zip(grams, self.valid, strict=True)]), return_inverse=True)
         self.counts = np.bincount(where, minlength=len(self.keys))
         cuts = np.cumsum([int(v.sum()) for v in self.valid])[:-1]
@@ -76,89 +75,60 @@ class _Block:
             full[v] = w
             self.at.append(full)
 
-    def scores(self, counts: np.ndarray, total: int, backoff: float) -> np.ndarray:
+    def scores(self, counts: np.ndarray, backoff: float) -> np.ndarray:
         """Per document, in millionths; ``counts`` of the whole table follow ``keys``."""
         others = []
         for v, at in zip(self.valid, self.at, strict=True):  # counts in other documents, at each position
             pair = self.doc * max(1, len(self.keys)) + at
             _, where, own = np.unique(np.where(v, pair, -1), return_inverse=True, return_counts=True)
             others.append(np.where(v, counts[at] - own[where], 0) if len(at) else at)
-        size = self.sizes[self.doc]
-        rest = np.maximum(total - size, 1)
-        score, open_, factor = np.zeros(len(size)), np.ones(len(size), bool), np.ones(len(size))
-        for n in reversed(range(len(others))):
+        score, open_, factor = np.zeros(len(self.doc)), np.ones(len(self.doc), bool), np.ones(len(self.doc))
+        for n in reversed(range(1, len(others))):
             c = others[n]
-            if n:
-                context = np.concatenate((np.zeros(1, np.int64), others[n - 1][:-1]))
-                # a context at a document's end has one occurrence fewer as context; its count stays that of the n-gram
+            if n > 1:
+                context = np.concatenate((np.zeros(1, np.int64), others[n - 1][:-1])) if len(c) else c
                 hit = open_ & self.valid[n] & (c > 0)
                 score[hit] = np.log(factor[hit] * (c[hit] / context[hit]))
                 open_ &= ~hit
                 factor[open_ & self.valid[n]] *= backoff
             else:
-                score[open_] = np.log(factor[open_] * (np.maximum(c[open_], 1) / rest[open_]))
+                score[open_] = np.log(factor[open_] * (np.maximum(c[open_], 1) / np.maximum(others[0][open_], 1)))
         return np.bincount(self.doc, weights=np.rint(score * 1e6), minlength=len(self.sizes)).astype(np.int64)
 
 
-def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = 2, backoff: float = 0.4) -> DataFrame:
-    """key, n_words, score_micro (sum of the positions' log scores in
-    millionths) and mean_log_score (null without words), one row per row of
-    ``docs``.
+def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = 3, backoff: float = 0.4) -> DataFrame:
+    """key, n_words, total_micro (sum of the positions' log scores in
+    millionths) and score_micro (its share a word, towards zero; null without
+    words), one row per row of ``docs``.
 
-    Null and wordless texts have no words and score 0. Repeated rows are
+    Null and wordless texts have no words and total 0. Repeated rows are
     documents of their own and see each other's counts. A null key is kept.
-    Extra columns are not read; an empty table gives an empty result.
+    A text of any length lies in one block and is scored whole; rows with equal
+    key and text share a block. Extra columns are not read; an empty table
+    gives an empty result.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(f"`{text}`")), F.lit(0)).alias("n")).first()["n"]
-    blocks, groups = max(1, -(-size // BLOCK_BYTES)), max(1, -(-(size * order) // (6 * GROUP_ENTRIES)))
+    blocks = max(1, -(-size // BLOCK_BYTES))
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)).cast("int"))
     rows = rows.repartition("block")
 
-    def asked(table: pa.Table) -> pa.Table:
-        block = _Block(table.column("t").to_pylist(), order)
-        part = ((block.keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)  # ascending, as the keys are
-        cuts = np.searchsorted(part, np.arange(groups + 1)).tolist()
-        b = table.column("block")[0].as_py()
-        out = {"block": [], "part": [], "keys": [], "counts": []}
-        words = np.array([len(block.doc)], "<u4")
-        for p in range(groups):
-            lo, hi = cuts[p], cuts[p + 1]
-            out["block"].append(b)
-            out["part"].append(p)
-            out["keys"].append(_six(block.keys[lo:hi] & _LOW))
-            out["counts"].append(np.concatenate((words, block.counts[lo:hi].astype("<u4"))).tobytes())
-        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    def counted(table: pa.Table) -> pa.Table:
-        keys = [_wide(x) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-        total = sum(int(c[0]) for c in counts)
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(where, weights=np.concatenate([c[1:] for c in counts])).astype("<u8")
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        found = [x.astype("<u4").tobytes() if not len(x) or x.max() < 1 << 32 else x.tobytes() for x in np.split(sums[where], ends)]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "n": [len(k) for k in keys], "total": [total] * len(keys), "sums": found}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("sums", pa.binary())]))
-
-    def scored(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        schema = pa.schema([(key, texts.schema.field("k").type), ("n_words", pa.int64()), ("score_micro", pa.int64())])
-        block = _Block(texts.column("t").to_pylist(), order)
-        ordered = sums.sort_by("part").to_pylist()
-        counts = np.concatenate([np.frombuffer(r["sums"], "<u8" if r["n"] and len(r["sums"]) == 8 * r["n"] else "<u4").astype(np.int64) for r in ordered])
-        made = block.scores(counts, ordered[0]["total"], backoff)
-        return pa.table([texts.column("k"), pa.array(block.sizes), pa.array(made)], schema=schema)
-
-    requests = rows.groupBy("block").applyInArrow(asked, "block long, part int, keys binary, counts binary")
-    answers = requests.groupBy("part").applyInArrow(counted, "block long, part int, n long, total long, sums binary")
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"`{key}` {kind}, n_words long, score_micro long")
-    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")))
-
-
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    def exploded(table: pa.Table) -> pa.Table:
+        found = _Block(table.column("t").to_pylist(), order)
+        block = np.full(len(found.keys), table.column("block")[0].as_py(), np.int32)
+        return pa.table({"h": found.keys.view(np.int64), "block": block, "n": found.counts.astype(np.int32)})
+
+    def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
+        schema = pa.schema([(key, texts.schema.field("k").type), ("n_words", pa.int64()), ("total_micro", pa.int64())])
+        if not texts.num_rows:
+            return schema.empty_table()
+        found = _Block(texts.column("t").to_pylist(), order)
+        counts = found.counts.copy()
+        counts[np.searchsorted(found.keys, known.column("h").to_numpy().view(np.uint64))] = known.column("total").to_numpy()
+        return pa.table([texts.column("k"), pa.array(found.sizes), pa.array(found.scores(counts, backoff))], schema=schema)
+
+    grams = rows.groupBy("block").applyInArrow(exploded, "h long, block int, n int").repartition("h")
+    totals = grams.groupBy("h").agg(F.sum("n").alias("total"))
+    elsewhere = grams.join(totals, "h").where("total > n").select("block", "h", "total")  # of the others, a block's own count is the total
+    out = rows.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(scored, f"`{key}` {kind}, n_words long, total_micro long")
+    return out.withColumn("score_micro", F.expr("CASE WHEN n_words > 0 THEN -(-total_micro DIV n_words) END"))

@@ -37,12 +37,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "score_micro")
-
-
-def op5_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigrams too; ``op5_lm_score`` has the order of its SQL."""
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"), order=3).select("doc_id", "n_words", "score_micro")
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,24 +102,27 @@ WITH d AS (
 ), p AS (
   SELECT d, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d
 ), g AS (
-  SELECT d, i, w, lag(w) OVER (PARTITION BY d ORDER BY i) AS v FROM p
-), u AS (SELECT d, w, count(*) AS own FROM p GROUP BY d, w
-), b AS (SELECT d, v, w, count(*) AS own FROM g WHERE i > 0 GROUP BY d, v, w
-), uu AS (SELECT w, sum(own) AS n FROM u GROUP BY w
-), bb AS (SELECT v, w, sum(own) AS n FROM b GROUP BY v, w
+  SELECT d, i, w, lag(w) OVER (PARTITION BY d ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY d ORDER BY i) AS u FROM p
+), n AS (
+  SELECT d, i, 1 AS k, [w] AS h FROM g UNION ALL SELECT d, i, 2, [v, w] FROM g WHERE i > 0 UNION ALL SELECT d, i, 3, [u, v, w] FROM g WHERE i > 1
+), own AS (SELECT d, h, count(*) AS n FROM n GROUP BY d, h
+), every AS (SELECT h, sum(n) AS n FROM own GROUP BY h
 ), c AS (
-  SELECT g.d, g.i, uu.n - u.own AS cw, bb.n - b.own AS cvw, uv.n - ov.own AS cv
-  FROM g JOIN u ON u.d = g.d AND u.w = g.w JOIN uu ON uu.w = g.w
-    LEFT JOIN b ON b.d = g.d AND b.v = g.v AND b.w = g.w LEFT JOIN bb ON bb.v = g.v AND bb.w = g.w
-    LEFT JOIN u ov ON ov.d = g.d AND ov.w = g.v LEFT JOIN uu uv ON uv.w = g.v
+  SELECT n.d, n.i, n.k, every.n - own.n AS c FROM n JOIN own ON own.d = n.d AND own.h = n.h JOIN every ON every.h = n.h
+), x AS (
+  SELECT d, i, max(c) FILTER (k = 1) AS c1, max(c) FILTER (k = 2) AS c2, max(c) FILTER (k = 3) AS c3 FROM c GROUP BY d, i
+), y AS (
+  SELECT *, lag(c1) OVER (PARTITION BY d ORDER BY i) AS b1, lag(c2) OVER (PARTITION BY d ORDER BY i) AS b2 FROM x
 ), t AS (SELECT sum(len(ws)) AS n FROM d
 ), s AS (
-  SELECT c.d, CASE WHEN i > 0 AND cvw > 0 THEN ln(cvw::DOUBLE / cv)
-    ELSE ln((CASE WHEN i > 0 THEN 0.4::DOUBLE ELSE 1::DOUBLE END) * (greatest(cw, 1)::DOUBLE / greatest(t.n - len(d.ws), 1))) END AS s
-  FROM c JOIN d USING (d), t
-)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS score_micro
-FROM d LEFT JOIN (SELECT d, sum(round_even(s * 1000000::DOUBLE, 0)::BIGINT) AS m FROM s GROUP BY d) x USING (d)
+  SELECT y.d, CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / b2)
+    WHEN c2 > 0 THEN ln((CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1::DOUBLE END) * (c2::DOUBLE / b1))
+    ELSE ln((CASE WHEN i > 1 THEN 0.4::DOUBLE * 0.4::DOUBLE WHEN i > 0 THEN 0.4::DOUBLE ELSE 1::DOUBLE END) * (greatest(c1, 1)::DOUBLE / greatest(t.n - len(d.ws), 1))) END AS s
+  FROM y JOIN d USING (d), t
+), m AS (SELECT d, sum(round_even(s * 1000000::DOUBLE, 0)::BIGINT)::BIGINT AS m FROM s GROUP BY d)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS total_micro,
+  CASE WHEN len(ws) > 0 THEN (-((-m) // len(ws)))::BIGINT END AS score_micro
+FROM d LEFT JOIN m USING (d)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -133,7 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_html": op4_html,
     "op5_lm_score": op5_lm_score,
-    "op5_lm_score_order3": op5_lm_score_order3,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,

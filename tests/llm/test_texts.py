@@ -125,13 +125,15 @@ def brute_scores(texts, order, alpha):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores(spark, monkeypatch, order):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 300)
-    monkeypatch.setattr(lm_score, "GROUP_ENTRIES", 60)
     rng = random.Random(3)
     texts = [" ".join(rng.choice("a b C d e f the of zig".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "unseen words only"]
     docs = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(texts)], SCHEMA + ", n_words int")
     got = lm_score.lm_scores(docs, order=order).collect()
     want = Counter((i // 2, *s) for i, s in enumerate(brute_scores(texts, order, 0.4)))
-    assert Counter((r.doc_id, r.n_words, r.score_micro) for r in got) == want
+    assert Counter((r.doc_id, r.n_words, r.total_micro) for r in got) == want
+    assert all(r.score_micro == (-(-r.total_micro // r.n_words) if r.n_words else None) for r in got)
+    long = spark.createDataFrame([(1, "many words " * 40_000), (2, "many words")], SCHEMA)
+    assert {r.doc_id: r.n_words for r in lm_score.lm_scores(long, order=order).collect()} == {1: 80_000, 2: 2}
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
@@ -279,9 +281,3 @@ def test_svg_closes_itself_and_nests():
     text = lambda page: [b.text for b in H.blocks(page)]
     assert text('<p>a</p><svg class="icon"/><p>b</p>') == ["a", "b"]
     assert text("<p>a</p><svg><svg><text>x</text></svg><svg/><text>y</text></svg><p>b</p>") == ["a", "b"]
-
-
-def test_order_3_is_registered(spark):
-    q = llm_queries.QUERIES
-    two, three = (dict(q[n](spark, "/root/testdata/sf0.001").select("doc_id", "score_micro").collect()) for n in ("op5_lm_score", "op5_lm_score_order3"))
-    assert two.keys() == three.keys() and two != three
