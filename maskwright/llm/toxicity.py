@@ -1,23 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built, one from the words that mark toxic
-labelled documents and one from ordinary text. A document's windows (its words,
-each between two fixed anchors that both dictionaries hold, so that the
-compressor looks for matches in windows this short) are compressed with both;
-a window's margin is the share of its bytes that the toxic dictionary saves
-over the ordinary one. Counts of windows above some margins are calibrated
-to a probability by logistic regression on labelled documents, each with
-dictionaries that it had no part in.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text
+of labelled documents. A document's windows, every two words that follow each
+other, are compressed with the ordinary dictionary, once with and once without
+the toxic one beside it; a window's margin is the number of bytes that the
+toxic one saves. A word's margin is the lesser one of the two windows that
+hold it, as chance matches rarely show in both. Counts of words above some
+margins are calibrated to a probability by logistic regression on labelled
+documents, each with dictionaries that it had no part in.
+
+Toxic training text: of toxic documents, the words (with what is written to
+them) that such documents hold far more often than others do; most text of a
+toxic document is ordinary. Ordinary training text: windows of the others.
 
 Dictionaries and calibration see at most about ``most`` labelled documents,
-chosen by a hash of their id; scoring sees every word of every document, each
-document in its own row.
+chosen by a hash of their id; scoring sees every window of every whole
+document, each document in its own row.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,66 +33,103 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Margins at which windows are counted.
-CUTS = (0.3, 0.4, 0.5, 0.6, 0.7)
-#: Words of either dictionary, and distinct words kept per Python process.
-TOXIC_WORDS, ORDINARY_WORDS, KEPT = 600, 1500, 400_000
-#: Bytes of a dictionary at least, by repetition: the compressor hardly uses smaller ones.
-SMALLEST = 4096
-#: Lengths of the stems that are counted.
-STEM = (5, 9)
-#: Longer words are cut into windows of this many characters.
-WINDOW = 32
+#: Margins at and above which words are counted.
+CUTS = (2, 3, 4, 5, 6, 7)
+#: Sizes of the dictionaries in bytes.
+TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
+#: Bytes of a segment of the ordinary one.
+SEGMENT = 20
+#: Parts of the sample; each is calibrated with the dictionaries of the others.
+FOLDS = 4
+#: Telling words, distinct toxic training texts and how often each may count, and ordinary windows, at most.
+TELLING, TOXIC_TEXTS, COPIES, ORDINARY_TEXTS = 600, 5000, 200, 50_000
+#: Bytes in common with the toxic dictionary that a window must have to save two bytes, what a match costs considered.
+RUN = 5
+#: Entries and bytes of words kept per Python process.
+KEPT, KEPT_BYTES = 400_000, 64
+# Both dictionaries end with these and every window begins and ends with them:
+# the compressor finds no matches in a window's last bytes, nor in windows too short to shrink.
 _HEAD, _TAIL = bytes(range(2, 8)) + bytes(range(14, 20)), bytes(range(20, 32)) + b"\x7f\x01\x7f"
-_WORD = re.compile(r"[^\W\d_]+")
 
 
-def _windows(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def _words(text: str | None) -> list[bytes]:
+    return text.lower().encode().split() if text else []
+
+
+def trained(size: int, texts: list[bytes], segment: int = 0) -> bytes:
+    """Content of a dictionary trained on these texts, of segments of so many
+    bytes (0: the library tries several); empty if the texts are too few."""
+    texts = sorted(texts)
+    random.Random(8).shuffle(texts)  # a segment chosen from copies in a row would hold one text again and again
+    try:
+        return zs.train_dictionary(size, texts, k=segment, d=6, **({} if segment else {"steps": 24})).as_bytes()
+    except zs.ZstdError:
+        return b""
+
+
+def compressor(content: bytes) -> zs.ZstdCompressor:
+    data = zs.ZstdCompressionDict(content + _TAIL + _HEAD, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    # Bare frames, as only lengths count.
+    how = zs.ZstdCompressionParameters(window_log=16, chain_log=12, hash_log=12, search_log=5, min_match=4, target_length=32, strategy=zs.STRATEGY_LAZY, write_checksum=False, write_content_size=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    data.precompute_compress(compression_params=how)
+    return zs.ZstdCompressor(dict_data=data, compression_params=how)
 
 
 class Model:
     """Dictionary contents and calibration; compressors are made where it is used."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
+    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.toxic, self.ordinary = toxic, ordinary
         self.centre = self.scale = self.weights = None
         self.bias = 0.0
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_kept", "_with", "_without")} | {"_ready": False}
-
-    def _compressor(self, words: list[str]) -> zs.ZstdCompressor:
-        content = b"".join((" " + w + " ").encode() for w in reversed(words))  # the best ones last: nearest
-        content = content * (1 + SMALLEST // (len(content) + 1)) + _TAIL + _HEAD
-        data = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-        # Every place of a dictionary is indexed, unlike by the fast strategies; bare frames, as only lengths count.
-        how = zs.ZstdCompressionParameters(window_log=15, chain_log=12, hash_log=12, search_log=5, min_match=4, target_length=32, strategy=zs.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
-        data.precompute_compress(compression_params=how)
-        return zs.ZstdCompressor(dict_data=data, compression_params=how)
-
-    def margin(self, word: str) -> float:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_kept", "_edges", "_runs", "_with", "_without")} | {"_ready": False}
+
+    def _prepare(self) -> None:
+        # In place of the toxic dictionary, bytes that no text has: the ordinary one stays as near to a window.
+        none = bytes(0xF8 + (i * i + i // 7) % 8 for i in range(len(self.toxic)))
+        self._with, self._without = compressor(self.ordinary + self.toxic), compressor(self.ordinary + none)
+        self._runs = {self.toxic[i : i + RUN] for i in range(len(self.toxic) - RUN + 1)}
+        self._kept, self._edges, self._ready = {}, {}, True
+
+    def saved(self, body: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a window."""
+        window = _HEAD + body + _TAIL
+        return len(self._without.compress(window)) - len(self._with.compress(window))
+
+    def _shares(self, held: dict, key: object, body: bytes) -> bool:
+        found = held.get(key)
+        if found is None:
+            found = not self._runs.isdisjoint([body[i : i + RUN] for i in range(len(body) - RUN + 1)])
+            if len(held) > KEPT:
+                held.clear()
+            if len(body) <= KEPT_BYTES:
+                held[key] = found
+        return found
+
+    def margins(self, text: str | None) -> np.ndarray:
+        """Of every word, 0 where a window shares no run of bytes with the toxic dictionary."""
         if not self._ready:
-            self._with, self._without = self._compressor(self.toxic), self._compressor(self.ordinary)
-            self._kept, self._ready = {}, True
-        m = self._kept.get(word)
-        if m is None:
-            m = -1.0
-            for at in range(0, len(word), WINDOW):
-                body = (" " + word[at : at + WINDOW] + " ").encode()
-                window = _HEAD + body + _TAIL
-                m = max(m, (len(self._without.compress(window)) - len(self._with.compress(window))) / (len(body) - 1))
-            if len(self._kept) > KEPT:
-                self._kept.clear()
-            self._kept[word] = m
-        return m
+            self._prepare()
+        words = _words(text)
+        if not words or not self.toxic:
+            return np.zeros(len(words), np.int64)
+        kept, edges, saved = self._kept, self._edges, []
+        near = [self._shares(kept, w, b" " + w + b" ") for w in words]
+        before, was = b"", False
+        for w, has in zip([*words, b""], [*near, False], strict=True):
+            edge = (before[-3:], w[:3])
+            go = was or has or self._shares(edges, edge, edge[0] + b" " + edge[1])
+            saved.append(self.saved(b" " + before + b" " + w + b" ") if go else 0)
+            before, was = w, has
+        return np.minimum(saved[:-1], saved[1:])
 
     def features(self, text: str | None) -> np.ndarray:
-        words = _windows(text)
-        margins = [m for m in map(self.margin, words) if m >= CUTS[0]]
-        counts = [sum(m >= c for m in margins) for c in CUTS]
-        n = max(1, len(words))
+        m = self.margins(text)
+        counts = [int((m >= c).sum()) for c in CUTS]
+        n = max(1, len(m))
         return np.array([*[math.log1p(c) for c in counts], *[math.log1p(100 * c / n) for c in counts]])
 
     def score(self, text: str | None) -> float:
@@ -121,42 +162,41 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     rated = rated if where is None else rated.where(where)
     parts = max(1, math.ceil(rated.count() / most))
     h = F.xxhash64("k", F.lit(8))
-    rated = rated.where(F.pmod(h, F.lit(parts)) == 0).withColumn("half", F.pmod(F.shiftright(h, 20), F.lit(2)))
+    rated = rated.where(F.pmod(h, F.lit(parts)) == 0).withColumn("fold", F.pmod(F.shiftright(h, 20), F.lit(FOLDS)))
     rated = F.broadcast(rated) if rated.count() <= 4 * most else rated  # many rows only where keys repeat
     sample = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").join(rated, "k")
     model = _dictionaries(sample)
-    # A half is calibrated with the dictionaries of the other, as documents meet words they brought in themselves too often.
-    halves = {h: _dictionaries(sample.where(F.col("half") == 1 - h)) for h in (0, 1)}
+    # Documents meet what they brought into a dictionary too often, so each is calibrated with others'.
+    folds = [_dictionaries(sample.where(F.col("fold") != f)) for f in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500, 1):
-            made = [halves[h].features(t).tolist() for t, h in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            made = [folds[f].features(t).tolist() for t, f in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.float64())), b.column(2)], names=["y", "x", "k"])
 
-    rest = sample.select("y", "t", F.col("k").cast("string").alias("k"), F.col("half").cast("int").alias("half")).mapInArrow(run, "y int, x array<double>, k string").toPandas()  # about ``most`` rows
+    rest = sample.select("y", "t", F.col("k").cast("string").alias("k"), F.col("fold").cast("int").alias("fold")).mapInArrow(run, "y int, x array<double>, k string").toPandas()  # about ``most`` rows
     rest = rest.sort_values(["k", "y"], kind="stable")
     model.calibrate(np.array(rest["x"].tolist()).reshape(len(rest), 2 * len(CUTS)), rest["y"].to_numpy().astype(float))
     return model
 
 
 def _dictionaries(sample: DataFrame) -> Model:
-    """Words and stems by the number of documents of either label that hold
-    them: the most telling of the toxic ones, and the most frequent words of the
-    others. A stem is the start of a word, marked by a hyphen."""
-    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))), lambda w: F.length(w) <= WINDOW)
-    stems = F.flatten(F.transform(F.filter("ws", lambda w: F.length(w) > STEM[0]), lambda w: F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length(w) - 1, F.lit(STEM[1]))), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("-")))))
-    held = sample.select("y", words.alias("ws")).select("y", F.explode(F.concat("ws", F.array_distinct(stems))).alias("w"))
-    counts = held.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b"))
+    texts = sample.select("y", "k", F.split(F.lower("t"), r"[ \t\n\x0B\f\r]+").alias("ws"))
+    cores = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.regexp_extract_all(w, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
+    counts = texts.select("y", F.explode(cores).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b"))
     sizes = sample.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n")).first()
     odds = F.log(((F.col("a") + 0.5) / (sizes["p"] + 1)) / ((F.col("b") + 0.5) / (sizes["n"] + 1)))
-    found = counts.withColumn("o", odds).where((F.col("a") >= 4) & (F.col("o") > math.log(8)) & (F.col("a") * F.col("o") >= 20)).orderBy(F.desc(F.col("a") * F.col("o")), "w").limit(4 * TOXIC_WORDS).select("w", "a").collect()
-    toxic: dict[str, int] = {}
-    for w, a in ((r["w"].rstrip("-"), r["a"]) for r in found):
-        # of forms that occur in about the same documents, one is enough
-        if len(toxic) < TOXIC_WORDS and not any((w.startswith(d) or d.startswith(w)) and a > 0.7 * n for d, n in toxic.items()):
-            toxic.setdefault(w, a)
-    ordinary = counts.where("b > 0 AND NOT endswith(w, '-')").orderBy(F.desc("b"), "w").limit(ORDINARY_WORDS).select("w").collect()
-    return Model(list(toxic), [r["w"] for r in ordinary if r["w"] not in toxic])
+    telling = counts.withColumn("o", odds).where((F.col("a") >= 4) & (F.col("o") > math.log(8))).orderBy(F.desc(F.col("a") * F.col("o")), "w").limit(TELLING).collect()
+    words = sorted(r["w"] for r in telling)
+    holds = F.arrays_overlap(F.regexp_extract_all("w", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array(*map(F.lit, words)).cast("array<string>"))
+    toxic = texts.where("y = 1").select(F.explode("ws").alias("w")).where(holds).groupBy("w").agg(F.count("*").alias("n"))
+    found = toxic.orderBy(F.desc("n"), "w").limit(TOXIC_TEXTS).collect() if words else []
+    pairs = texts.where("y <> 1 AND size(ws) > 1").select("k", F.posexplode(F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, F.size("ws")), lambda a, b: F.concat_ws(" ", a, b))).alias("i", "w"))
+    pairs = pairs.where("i % 2 = 0")
+    share = max(1, pairs.count() // ORDINARY_TEXTS)
+    ordinary = sorted(r["w"] for r in pairs.where(F.pmod(F.xxhash64("k", "i"), F.lit(share)) == 0).select("w").limit(2 * ORDINARY_TEXTS).collect())
+    wide = lambda w: f" {w} ".encode()
+    return Model(trained(TOXIC_BYTES, [wide(r["w"]) for r in found for _ in range(min(r["n"], COPIES))]), trained(ORDINARY_BYTES, [wide(w) for w in ordinary], SEGMENT))
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
