@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 from .tokens import encoder
 
-#: Sequences in a record batch.
+#: Sequences in a record batch; only a file's last one may have fewer.
 BATCH = 128
+#: Bytes of text a file, about.
+FILE_BYTES = 64 << 20
 
 
 def schema(length: int) -> pa.Schema:
@@ -56,17 +59,28 @@ class _Writer:
         self.docs += 1
         self.ends.append((doc, self.n))
         if self.n >= BATCH * self.length:
-            self._flush(self.n // self.length)
-
-    def _flush(self, sequences: int) -> None:
+            self._flush(False)
+
+    def _flush(self, all_: bool) -> None:
+        """Write what is held in batches of exactly ``BATCH`` sequences; if ``all_``, the rest too."""
+        flat, full = np.frombuffer(b"".join(self.held), "<u2"), BATCH * self.length
+        at = ended = 0
+        while len(flat) - at >= full or (all_ and at < len(flat)):
+            now = flat[at : at + full]
+            last = bisect_right(self.ends, at + len(now), ended, key=lambda e: e[1])
+            self._batch(now, [(d, e - at) for d, e in self.ends[ended:last]])
+            at, ended = at + len(now), last
+        self.total += at
+        self.ends = [(d, e - at) for d, e in self.ends[ended:]]
+        self.held, self.n = [flat[at:].tobytes()], len(flat) - at
+
+    def _batch(self, now: np.ndarray, ended: list[tuple[int | None, int]]) -> None:
+        sequences = -(-len(now) // self.length)
         size = sequences * self.length
-        flat = np.frombuffer(b"".join(self.held), "<u2")
-        now, rest = flat[:size], flat[size:]
         mask = np.ones(size, bool)
         if len(now) < size:
             mask[len(now) :] = False
             now = np.concatenate([now, np.zeros(size - len(now), "<u2")])
-        ended = [(d, e) for d, e in self.ends if e <= size]
         at = np.array([(e - 1) // self.length for _, e in ended], np.int64)
         offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=sequences)))).astype(np.int32))
         arrays = [
@@ -76,13 +90,9 @@ class _Writer:
             pa.ListArray.from_arrays(offsets, pa.array([e - k * self.length for (_, e), k in zip(ended, at.tolist(), strict=True)], pa.int32())),
         ]
         self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=schema(self.length)))
-        self.total += len(flat) - len(rest)
-        self.ends = [(d, e - size) for d, e in self.ends[len(ended) :]]
-        self.held, self.n = [rest.tobytes()], len(rest)
 
     def close(self) -> None:
-        if self.n:
-            self._flush(-(-self.n // self.length))
+        self._flush(True)
         self.file.close()
         self.out.close()
 
@@ -96,7 +106,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id",
     first; repeated keys follow one another by a hash of their text. Extra columns are not read.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("h", F.xxhash64("t"))
-    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    # Rows of equal key and text are alike, so a number that tells them apart lets them fill several files.
+    rows = rows.withColumn("s", F.monotonically_increasing_id() % 65_536)
+    rows = rows.repartitionByRange(files, "k", "h", "s").sortWithinPartitions("k", "h", "t").select("k", "t")
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +176,8 @@ class Sequences:
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i; the ids are a view of the file."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
         b = self.batch(i // BATCH)
         row = i % BATCH
         ids, mask = b.column("ids")[row].values, b.column("mask")[row].values

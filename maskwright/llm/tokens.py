@@ -3,7 +3,8 @@
 Encoding is exact: a text is cut only where the byte-level pre-tokeniser cuts
 it anyway (before a space that a non-space follows), each distinct piece is
 encoded once by the library and its ids kept in a bounded per-process cache.
-Texts with runs of white space around a space go to the library whole.
+Texts with runs of white space around a space, or with a special token's
+string, go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ CACHE_CHARS = 48
 #: Pieces encoded in one library call string.
 GROUP = 100
 
-_RUN = re.compile(r" (?:\s|\Z)")
 _EDGE = re.compile(r"\s\Z")
 #: Marks that the pre-tokeniser keeps together and apart from letters.
 _MARKS = ".,;:!?*#$%&|()"
@@ -30,7 +30,7 @@ _MARKS = ".,;:!?*#$%&|()"
 class Encoder:
     """``encode(texts)`` gives for each text the little-endian unsigned 16-bit ids as bytes.
 
-    Strings of special tokens in a text are ordinary text. None counts as empty.
+    A special token's string in a text gets that token's id, as the library has it by default. None counts as empty.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,7 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r" (?:\s|\Z)", *special]))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
         mark = self.tokenizer.encode("\r", add_special_tokens=False).ids
@@ -81,7 +82,7 @@ class Encoder:
         whole, cut, words = [], [], []
         for i, t in enumerate(texts):
             if t:
-                if _RUN.search(t):
+                if self.whole.search(t):
                     whole.append(i)
                 else:
                     head, *rest = t.split(" ")
