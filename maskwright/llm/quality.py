@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Hashed features, and distinct words kept per Python process.
-BUCKETS, KEPT = 1 << 14, 300_000
+#: Hashed features; distinct words of up to so many characters whose weights are kept per Python process.
+BUCKETS, KEPT, KEPT_CHARS = 1 << 14, 300_000, 64
 
 
 def _bucket(feature: str) -> int:
@@ -35,9 +35,9 @@ def _bucket(feature: str) -> int:
 
 def word_features(word: str) -> tuple[int, int, int]:
     core = word.strip(".,;:")
-    shape = "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in core[:24])
+    shape = "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c for c in core)
     shape = re.sub(r"(.)\1+", r"\1", shape)
-    return _bucket("w:" + core.lower()[:32]), _bucket("s:" + shape[:12]), _bucket("e:" + core[-2:].lower() if not core[-2:].isalnum() else "e:")
+    return _bucket("w:" + core.lower()), _bucket("s:" + shape), _bucket("e:" + core[-2:].lower())
 
 
 def text_features(words: list[str], distinct: int) -> list[int]:
@@ -64,7 +64,9 @@ class Model:
                 kept.clear()
             for i, x in enumerate(got):
                 if x is None:
-                    got[i] = kept[words[i]] = float(sum(self.weights[j] for j in word_features(words[i])))
+                    got[i] = float(sum(self.weights[j] for j in word_features(words[i])))
+                    if len(words[i]) <= KEPT_CHARS:
+                        kept[words[i]] = got[i]
         whole = float(sum(self.weights[j] for j in text_features(words, len(set(words)))))
         return math.fsum(got) / max(1, len(got)) + whole
 
