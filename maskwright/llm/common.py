@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every machine can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a local
-    temporary folder made and kept in the session's configuration.
+    Only where a session on one machine (a local master) names none is a
+    temporary folder made and kept in the session's configuration; on a
+    cluster that raises a ValueError.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -53,11 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def own_names(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns, so that extra columns can't clash with made ones."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int, text: int | None = None, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches to at most ``rows`` rows and, by the string column numbered
     ``text``, about ``limit`` bytes, to bound what Python holds at once."""

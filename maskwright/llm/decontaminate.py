@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, stored
 
 #: Words of at least one letter or digit, or of characters beyond ASCII, lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,7 +41,9 @@ class SuffixAutomaton:
     longest sequence of a state, ``link`` its longest proper suffix's state."""
 
     def __init__(self, window: int) -> None:
-        self.window, self.next, self.link, self.length, self.own = window, [{}], [-1], [0], [()]
+        self.window, self.next, self.link, self.length = window, [{}], [-1], [0]
+        self.own: list[list] = [[]]
+        self._ended: list[tuple[object, list[bytes]]] = []
         self.vocabulary: dict[bytes, int] = {}
         self.short: dict[int, list[tuple[int, object]]] = {}
         self.least = window
@@ -51,7 +53,7 @@ class SuffixAutomaton:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
-        self.own.append(())
+        self.own.append([])
         return len(self.next) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
@@ -82,12 +84,13 @@ class SuffixAutomaton:
         at = 0
         for w in item_words:
             at = self._extend(at, self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
-            self.own[at] = (*self.own[at], item)
-        self._ended = [*getattr(self, "_ended", []), (item, item_words)] if len(item_words) < self.window else getattr(self, "_ended", [])
+            self.own[at].append(item)
+        if len(item_words) < self.window:
+            self._ended.append((item, item_words))
 
     def close(self) -> SuffixAutomaton:
         """To be called after the last ``add``."""
-        for item, ws in getattr(self, "_ended", []):
+        for item, ws in self._ended:
             at = 0
             for w in ws:
                 at = self.next[at][self.vocabulary[w]]
@@ -183,17 +186,16 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
 
 _made: dict[str, SuffixAutomaton] = {}
 
-_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.LongType()))])
-
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, coverage: float = 0.05, shard_words: int = 1_000_000, with_text: bool = True) -> DataFrame:
     """``docs`` with added columns: n_words, n_hit, items (sorted item ids that
     occur), contaminated (share of hit words at ``coverage`` or more) and, if
     ``with_text``, clean_text: the text without its hit spans.
 
-    Items are collected by shards of about ``shard_words`` words, so what a
-    task holds is bounded however large the item set; each further shard adds
-    a pass over the documents, not a join.
+    Items are collected by shards of about ``shard_words`` words, one at a
+    time, so what a task or the driver holds is bounded however large the item
+    set; each further shard adds a pass over the documents, not a join, and the
+    table between two passes is stored.
 
     Nulls: a null text has no words and stays null; items with null or wordless
     text match nothing; a null item id hits but is not listed. Repeated items
@@ -202,22 +204,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in {"n_words", "n_hit", "items", "contaminated", "clean_text", "_hits", "_items"}]
+    kept = [c for c in docs.columns if c not in {"n_words", "n_hit", "items", "contaminated", *["clean_text"] * with_text}]
     out = docs.select(*[F.col(f"`{c}`") for c in kept])
     items = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.size(F.split("t", "[^0-9A-Za-z\\u0080-\\x{10FFFF}]+"))), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-size // shard_words))
+    held = tuple(f"{c}_{uuid.uuid4().hex}" for c in ("hits", "items"))  # found by earlier shards
     for k in range(shards):
-        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).collect()]
-        out = _passed(out, spark.sparkContext.broadcast(part), text, window, k, k == shards - 1, with_text)
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(coverage)))
-    return out
-
-
-def _passed(docs: DataFrame, items, text: str, window: int, shard: int, last: bool, with_text: bool) -> DataFrame:
-    fields = [f for f in docs.schema.fields if f.name not in ("n_words", "_hits", "_items")]
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))] + [T.StructField("clean_text", T.StringType())] * with_text if last else _HITS.fields
-    schema = T.StructType([*fields, *added])
+        part = spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).collect()])
+        out = _passed(out, part, text, window, held, k, k == shards - 1, with_text)
+        if k < shards - 1:
+            out = stored(out, "hits")
+            part.destroy()
+    # In whole numbers, as the share itself may be rounded.
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 1_000_000 >= F.col("n_words") * round(coverage * 1_000_000)))
+
+
+def _passed(docs: DataFrame, items, text: str, window: int, between: tuple[str, str], shard: int, last: bool, with_text: bool) -> DataFrame:
+    fields = [f for f in docs.schema.fields if f.name not in ("n_words", *between)]
+    found = [T.StructField("n_hit", T.LongType())] if last else [T.StructField(between[0], T.ArrayType(T.IntegerType()))]
+    clean = [T.StructField("clean_text", T.StringType())] if last and with_text else []
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), *found, T.StructField("items" if last else between[1], T.ArrayType(T.LongType())), *clean])
     at = [f.name for f in fields].index(text)
     names = [f.name for f in fields]
     key = uuid.uuid4().hex
@@ -228,8 +235,7 @@ def _passed(docs: DataFrame, items, text: str, window: int, shard: int, last: bo
             _made[key] = automaton(items.value, window)
         machine = _made[key]
         for b in slices(batches, 2000, at):
-            before = b.column("_hits").to_pylist() if shard else repeat([])
-            before_items = b.column("_items").to_pylist() if shard else repeat([])
+            before, before_items = (b.column(c).to_pylist() if shard else repeat([]) for c in between)
             n_words, n_hit, flat, held, clean = [], [], [], [], []
             for t, old, old_items in zip(b.column(at).to_pylist(), before, before_items, strict=False):
                 ws = words(t)
