@@ -26,7 +26,6 @@ SCHEMA = "doc_id long, text string"
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -60,6 +59,29 @@ def test_token_files_round_trip(spark, tmp_path, plain):
     assert token_files.read(token_files.write(docs.limit(0), f"file://{tmp_path}/e", TOKENIZER)).count() == 0
 
 
+def test_sequences_of_many_batches(spark, tmp_path, plain):
+    texts = {1: "some words, " * 60, 2: "one long text of 9 words a line.\n" * 4000, 3: "a<|endoftext|> b", 5: "", 6: "end " * 3000}
+    files = token_files.write(spark.createDataFrame(list(texts.items()), SCHEMA).coalesce(1), f"file://{tmp_path}/m", TOKENIZER, length=16).collect()
+    for f in files:
+        want = [i for k in sorted(texts) for i in [*plain(texts[k]), 0]] if len(files) == 1 else None
+        with token_files.Sequences(f.path) as s:
+            assert all(s.batch(i).num_rows == token_files.BATCH for i in range(s.batches - 1))
+            got = np.concatenate([s[i][0][s[i][1]] for i in range(len(s))]).tolist()
+            assert len(got) == f.n_tokens and (want is None or got == want)
+            for bad in (-1, len(s)):
+                with pytest.raises(IndexError):
+                    s[bad]
+    ids = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read(spark.createDataFrame(files)).collect()}
+    assert ids == {k: (len(plain(t)) + 1, crc([*plain(t), 0])) for k, t in texts.items()} and 50256 in plain(texts[3])
+    assert sum(-(-f.n_tokens // 16) for f in files) > 2 * token_files.BATCH
+
+
+def test_token_files_spread_rows_that_are_alike(spark, tmp_path):
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    files = token_files.write(docs, f"file://{tmp_path}/s", TOKENIZER).collect()
+    assert len(files) > 1 and max(f.n_docs for f in files) < 3000 and sum(f.n_docs for f in files) == 4000
+
+
 def test_packing(spark, plain):
     got = packing.pack(spark.createDataFrame(DOCS, SCHEMA), TOKENIZER, capacity=64).collect()
     want = Counter()
@@ -178,6 +200,36 @@ def test_toxicity(spark):
     assert {r.toxicity for r in toxicity.scored(docs, none).collect()} == {0.0}
 
 
+def test_word_margins_equal_plain_compression(spark):
+    rng = random.Random(8)
+    toxic = [f" {w} ".encode() for w in rng.choices(["grumblefex", "snarkwit", "vilegob!!", "pöbelnarr"], k=400)]
+    ordinary = [" ".join(rng.choices(["over", "the", "river", "hills", "größe", "12,5"], k=2)).encode() for _ in range(400)]
+    model = toxicity.Model(toxicity.trained(2048, toxic), toxicity.trained(2048, ordinary, toxicity.SEGMENT))
+    for text in ["the vilegob!! over 12,5 snarkwits hills", "GRUMBLEFEX", "over the river", "", None, "x" * 5000 + " pöbelnarr", " ".join(rng.choices(["vile", "gob", "over", "snark", "wit12", "größe"], k=300))]:
+        words = ["", *(text or "").lower().split(), ""]
+        plain = [model.saved(f" {a} {b} ".encode()) if model._ready or model.margins("a") is not None else 0 for a, b in zip(words, words[1:])]
+        want = np.minimum(plain[:-1], plain[1:])
+        got = model.margins(text)
+        assert len(got) == len(words) - 2
+        assert [(got >= c).sum() for c in toxicity.CUTS] == [(want >= c).sum() for c in toxicity.CUTS]
+    assert toxicity.trained(2048, []) == b""
+
+
+def test_toxicity_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 0.5), (1, None, None, "y", 1.0), (2, "word " * 300_000, "x", "y", 0.0)], "doc_id long, text string, fold string, toxic string, toxicity double")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    got = toxicity.scored(docs, model)
+    assert got.columns == ["doc_id", "text", "fold", "toxic", "toxicity"] and got.count() == 3
+    assert all(0 <= r.toxicity <= 1 for r in got.collect())
+
+
+def test_quality_features_read_whole_words():
+    a, b = "x" * 40 + "alpha", "x" * 40 + "gamma"
+    assert quality.word_features(a)[0] != quality.word_features(b)[0] and quality.word_features(a)[2] == quality.word_features("beta"[:2] + "ha")[2]
+    assert quality.word_features("ab1-" * 8 + "Q")[1] != quality.word_features("ab1-" * 8 + "q")[1]
+    assert quality.word_features("thing")[2] != quality.word_features("those")[2]
+
+
 def test_blocks():
     page = "<title>t</title><nav><a href=x>Home &amp; more</a></nav><article><h1>Head\n line</h1><p>One <b>two</b>&nbsp;three<br>four<p>Five &lt;six</article><script>var x = '<p>no</p>'</script><!-- no --><footer>&copy; x</footer><p>unfinished <a hre"
     assert [b.text for b in H.blocks(page)] == ["Home & more", "Head line", "One two three four", "Five <six", "© x", "unfinished"]
