@@ -8,10 +8,12 @@ counts estimated on a bounded sample of fingerprints; the sample steers cost
 only, never results. Probes are the partition's bits with up to t_i flips;
 candidates are verified on all 64 bits.
 
-Only distinct fingerprints are joined, so copies never multiply. A probe key
-that many fingerprints share is cut into blocks, compared block against block
-in separate tasks; each comparison returns a spanning forest of its links, not
-the pairs. Components are contracted by joins with shared-folder tables
+Only distinct fingerprints are joined, so copies never multiply. Within a probe
+key that many fingerprints share, the other bits are cut into ``limit + 1``
+parts, of which a linked pair has one in common, so that only such are compared;
+what still shares a key is cut into blocks, compared block against block in
+separate tasks; each comparison returns a spanning forest of its links, not the
+pairs. Components are contracted by joins with shared-folder tables
 between the rounds.
 """
 
@@ -31,8 +33,8 @@ from .common import drop_stored, slices, stored
 
 #: Sampled fingerprints at most, and the largest share of them.
 SAMPLE, SHARE = 4096, 0.1
-#: Fingerprints under one probe key that one task compares with as many others.
-BLOCK = 512
+#: Fingerprints under one probe key that one task compares with as many others; keys of more than HOT are cut by the other bits first.
+BLOCK, HOT = 512, 4096
 #: Shingles whose bits are counted at once.
 CHUNK = 65_536
 
@@ -156,15 +158,22 @@ def _probes(p: int, mask: int, flips: list[int]) -> Column:
 def links(fps: DataFrame, n: int, sample: np.ndarray, limit: int) -> DataFrame:
     """Edges a < b between the distinct fingerprints ``fps`` (column fp) that
     connect exactly what linking all pairs within ``limit`` bits connects."""
-    made = []
+    made, finer = [], []
     for p, (group, t) in enumerate(partitions(sample, n, limit)):
         flips = [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(group, k)]
         made.append(_probes(p, _signed(sum(1 << b for b in group)), flips))
+        rest = [b for b in range(64) if b not in group]
+        finer.append(F.array(*[F.lit(_signed(sum(1 << b for b in rest[j :: limit + 1]))) for j in range(limit + 1)]))
     probes = fps.select("fp", F.inline(F.concat(*made)))
-    hot = probes.groupBy("p", "k").agg(F.count("*").alias("c"), F.max("own").alias("o")).where((F.col("c") > 1) & F.col("o")).select("p", "k", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    counts = probes.groupBy("p", "k").agg(F.count("*").alias("c"), F.max("own").alias("o")).where((F.col("c") > 1) & F.col("o")).select("p", "k", "c")
+    met = probes.join(counts, ["p", "k"])
+    cold = met.where(F.col("c") <= HOT).select("p", "k", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("r"), "fp", "own", "c")
+    parts = met.where(F.col("c") > HOT).select("p", "k", F.posexplode(F.get(F.array(*finer), F.col("p"))).alias("j", "mask"), "fp", "own").withColumn("r", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+    again = parts.groupBy("p", "k", "j", "r").agg(F.count("*").alias("c"), F.max("own").alias("o")).where((F.col("c") > 1) & F.col("o")).drop("o")
+    grouped = cold.unionByName(parts.join(again, ["p", "k", "j", "r"])).withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
-    paired = probes.join(hot, ["p", "k"]).withColumn("b", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    paired = paired.select("p", "k", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "fp", "own")
+    paired = grouped.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    paired = paired.select("p", "k", "j", "r", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "fp", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, own = None, [], []
@@ -191,7 +200,7 @@ def links(fps: DataFrame, n: int, sample: np.ndarray, limit: int) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    keys = ["p", "k", "lo", "hi"]
+    keys = ["p", "k", "j", "r", "lo", "hi"]
     return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -227,7 +236,10 @@ def components(edges: DataFrame) -> DataFrame:
     for move in reversed(moves[:-1]):
         here = move.join(final, move["to"] == final["node"], "left").select(move["a"].alias("node"), F.coalesce("root", "to").alias("root"))
         final = stored(here.union(final).distinct(), "roots")
-    return final.union(final.select("root", "root")).distinct()
+    out = stored(final.union(final.select("root", "root")).distinct(), "components")
+    for done in moves:
+        drop_stored(spark, done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
@@ -243,8 +255,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     n = distinct.count()
     buckets = max(int(1 / SHARE), math.ceil(n / SAMPLE), 1)
     sample = np.array([r[0] for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(buckets)) == 0).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
-    found = stored(components(links(distinct.select("fp"), n, sample, limit)), "components")
-    placed = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "root", "least")
-    named = found.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("fp"), "component")
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    edges = stored(links(distinct.select("fp"), n, sample, limit), "links")
+    found = components(edges)
+    drop_stored(docs.sparkSession, edges)
+    placed = stored(found.join(distinct, found["node"] == distinct["fp"]).select("fp", "root", "least"), "placed")
+    least = stored(placed.groupBy("root").agg(F.min("least").alias("component")), "least")
+    named = stored(placed.join(least, "root").select("fp", "component"), "named")
+    # Tables on both sides of the last join: Spark can split what a fingerprint of many rows reads.
+    by_fp = stored(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    for done in (distinct, found, placed, least, named):
+        drop_stored(docs.sparkSession, done)
     return fps.join(by_fp, "fp", "left").select(F.col(f"`{key}`"), "fp", "component")
