@@ -39,8 +39,14 @@ def test_top_k_edges(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     repeated = topk.top_k(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (3, [1.0]), (3, [1.0])], schema)).collect()
     assert [(r.vec_id, r.score) for r in repeated] == [(3, 65536), (3, 65536)]
-    with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], schema))
+    unlike = topk.top_k(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, [0.0, 1.0, 5.0])], schema)).collect()
+    assert [(r.vec_id, r.score) for r in unlike] == [(2, 131072), (1, 65536)]
+    large = topk.top_k(spark.createDataFrame([(0, [1.0, 3.0]), (1, [1e8, 0.0]), (50, [1e8, 1.0]), (2, [1e30, 0.0])], schema)).collect()
+    got = {(r.query_id, r.vec_id): r.score for r in large}
+    assert got[0, 1] == 256 * 25_600_000_000 and got[0, 50] == 256 * 25_600_000_000 + 768 * 256
+    assert got[50, 1] == got[50, 2] == (1 << 63) - 1 and got[50, 0] == got[0, 50]
+    many = topk.top_k(spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") - 2000).alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")), every=500).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in many if r.query_id == 0) == [(0, i + 1, i + 1) for i in range(5)]
 
 
 def plain_fingerprint(text):
