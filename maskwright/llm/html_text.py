@@ -6,9 +6,10 @@ some numbers on length and links. A bidirectional LSTM in numpy reads the
 blocks of the whole page and labels every one as main text or not.
 
 The labeller is trained here: on pages made up of many layouts with known
-labels, and on at most ``most`` pages of the table labelled by the meaning of
-their tags and classes. Labelling sees every block of every page, each page in
-its own row.
+labels, and on a sample of the table's pages whose structure tells where the
+text is: the element that holds most sentences. Labelling sees every block of
+every page, each page in its own row; cutting takes time in proportion to the
+page, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,65 +30,140 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-PATH, WORDS, NUMBERS, HIDDEN = 96, 16, 7, 16
+PATH, WORDS, NUMBERS, HIDDEN = 192, 32, 5, 16
 WIDTH = PATH + WORDS + NUMBERS
+#: Blocks whose vectors are held at once.
+STEPS = 20_000
 
 # Elements without content, elements whose content is not text,
-# and elements that begin a new block.
+# elements that begin a new block, and those that hold others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title svg textarea select iframe object".split())
+RAW = frozenset("script style noscript template title textarea select iframe svg".split())
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+HOLDS = frozenset("article body center dd div fieldset form html main section table tbody td tr".split())
 #: Opening one of these ends an open one of the same group.
 ENDS = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr", "dt": "dt dd", "dd": "dt dd", "option": "option"}
-#: Words of tags, classes and ids that mean something other than main text.
-OTHER = frozenset("nav menu navbar header footer aside sidebar ad ads advert advertisement banner promo sponsor sponsored cookie cookies notice consent gdpr popup modal newsletter subscribe signup form login search breadcrumb breadcrumbs comment comments reply replies respond discussion disqus share sharing social related recommended widget toolbar pagination copyright legal skip alert button label dialog".split())
-MAIN = frozenset("article main content post story entry body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[\"'>]")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 
 
 class Block:
-    __slots__ = ("links", "path", "text")
-
-    def __init__(self, path: tuple[str, ...], text: str, links: int) -> None:
-        self.path, self.text, self.links = path, text, links
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: texts with character references decoded, white
-    space runs turned to one space, trimmed; empty ones left out."""
+    """A leaf block: its text, characters in links, vector of its tag path, and
+    the number of the element that it lies in."""
+
+    __slots__ = ("element", "links", "path", "text")
+
+    def __init__(self, path: np.ndarray, text: str, links: int, element: int = 0) -> None:
+        self.path, self.text, self.links, self.element = path, text, links, element
+
+
+class _Page:
+    """Finds the tags of a page one after another."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+        self.open_ended: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, -1 without one. A quote that nothing closes is an ordinary character."""
+        while True:
+            m = _STOP.search(self.page, at)
+            if not m:
+                return -1
+            if m[0] == ">":
+                return m.start()
+            at = (self.page.index(m[0], m.end()) if self.last[m[0]] > m.start() else m.start()) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """From ``at`` on: where the next tag or comment begins and ends, its
+        name (empty if it isn't an element's), whether it closes, its attributes."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(page), "", False, ""
+            closes = page.startswith("</", begin)
+            m = _NAME.match(page, begin + 1 + closes)
+            if m:
+                end = self.tag_end(m.end())
+                return begin, end + 1 if end >= 0 else len(page), m[0].lower() if end >= 0 else "", closes, page[m.end() : end] if end >= 0 else ""
+            if closes or page[begin + 1 : begin + 2] in ("!", "?"):
+                end = page.find(">", begin)
+                return begin, end + 1 if end >= 0 else len(page), "", False, ""
+            at = begin + 1
+        return None
+
+    def after(self, tag: str, at: int) -> int:
+        """Where a raw element that begins before ``at`` ends. One that is never
+        closed has no content, but for scripts and styles, which then last to
+        the end, and titles, which last to the next tag."""
+        if tag not in self.open_ended:
+            depth = 1
+            while depth:
+                m = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(self.page, at)
+                end = self.tag_end(m.end()) if m else -1
+                if end < 0:
+                    break
+                if m[1]:
+                    depth -= 1
+                elif tag == "svg" and self.page[end - 1] != "/":
+                    depth += 1
+                at_end, at = end + 1, end + 1
+            else:
+                return at_end
+            self.open_ended.add(tag)
+        if tag in ("script", "style"):
+            return len(self.page)
+        if tag in ("title", "textarea"):
+            return max(at, self.page.find("<", at)) if self.page.find("<", at) >= 0 else len(self.page)
+        return at
+
+
+def parsed(page: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
+    """Leaf blocks in page order (texts with character references decoded, white
+    space runs turned to one space, trimmed; empty ones left out), and the
+    elements, each with its tag and the number of the one around it. Element 0
+    is the page itself."""
+    page = page or ""
+    find = _Page(page)
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements: list[tuple[str, int]] = [("", -1)]
+    stack: list[tuple[str, int, tuple[str, ...], np.ndarray]] = [("", 0, (), np.zeros(PATH, np.float32))]
+    open_tags: Counter[str] = Counter()
+    open_tokens: Counter[str] = Counter()
+    paths: dict[tuple[int, tuple[str, ...]], np.ndarray] = {}
     held: list[str] = []
     linked = at = 0
-    page = page or ""
 
     def close() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(t for _, ts in stack for t in ts), text, linked))
+                out.append(Block(stack[-1][3], text, linked, stack[-1][1]))
             held.clear()
         linked = 0
 
+    def pop() -> str:
+        tag, _, tokens, _ = stack.pop()
+        open_tags[tag] -= 1
+        open_tokens.subtract(tokens)
+        return tag
+
     while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+        found = find.next(at)
+        piece = page[at : found[0] if found else len(page)]
         if piece:
-            if not m:  # an unfinished tag at the end is no text
-                cut = re.search(r"<[a-zA-Z/!][^>]*\Z", piece)
-                piece = piece[: cut.start()] if cut else piece
             held.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if open_tags["a"]:
                 linked += len(piece)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, tag, closes, attributes = found
         if not tag:
             continue
         if tag == "br":
@@ -94,43 +171,48 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             close()
-        if m[1]:
-            if any(tag == t for t, _ in stack):
-                while stack.pop()[0] != tag:
+        if closes:
+            if open_tags[tag]:
+                while pop() != tag:
                     pass
             continue
-        if tag == "svg":  # may close itself or hold others
-            depth = 0 if m[3].endswith("/") else 1
-            while depth:
-                m = _TOKEN.search(page, at)
-                at = m.end() if m else len(page)
-                if not m:
-                    break
-                if (m[2] or "").lower() == "svg":
-                    depth += -1 if m[1] else not m[3].endswith("/")
-            continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if not (tag == "svg" and attributes.endswith("/")):
+                at = find.after(tag, at)
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         for t in ENDS.get(tag, "").split():
-            if stack and any(x == t for x, _ in stack[-4:]):
-                while stack.pop()[0] != t:
+            if any(x[0] == t for x in stack[-4:]):
+                while pop() != t:
                     pass
-        stack.append((tag, _tokens(tag, m[3])))
+        tokens = _tokens(tag, attributes)
+        new = tuple(t for t in tokens if not open_tokens[t])
+        path = stack[-1][3]
+        if new:
+            key = (id(path), new)  # the arrays live in ``paths`` or on the stack
+            if key not in paths:
+                paths[key] = path + sum(_token(t) for t in new)
+            path = paths[key]
+        elements.append((tag, stack[-1][1]))
+        stack.append((tag, len(elements) - 1, tokens, path))
+        open_tags[tag] += 1
+        open_tokens.update(tokens)
     close()
-    return out
+    return out, elements
+
+
+def blocks(page: str | None) -> list[Block]:
+    return parsed(page)[0]
 
 
 def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
-    out = ["<" + tag]
+    out = {"<" + tag: None}
     if attributes:
         for m in _NAMED.finditer(attributes):
-            out += ["." + p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or "")]
+            out |= {"." + p.lower(): None for p in _PART.findall(m[1] or m[2] or m[3] or "")}
         if _HIDDEN.search(attributes):
-            out.append(".hidden")
+            out[".hidden"] = None
     return tuple(out)
 
 
@@ -147,47 +229,59 @@ def _kept(feature: str, size: int) -> tuple[int, float]:
     if at is None:
         if len(_slots) > 200_000:
             _slots.clear()
-        at = _slots[feature] = _slot(feature, size)
+        at = _slot(feature, size)
+        if len(feature) <= 64:
+            _slots[feature] = at
     return at
 
 
+def _token(token: str) -> np.ndarray:
+    out = np.zeros(PATH, np.float32)
+    j, sign = _kept(token, PATH)
+    out[j] = sign
+    return out
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), WIDTH), np.float32)
     for i, b in enumerate(found):
         row = x[i]
-        for t in set(b.path):
-            j, sign = _kept(t, PATH)
-            row[j] += sign
-            word = t[1:]
-            if word in OTHER:
-                row[PATH + WORDS + 4] = 1
-            if word in MAIN:
-                row[PATH + WORDS + 5] = 1
+        row[:PATH] = b.path
         kept = [_kept("w:" + w, WORDS) for w in b.text.lower().split()]
-        if kept:
-            at, signs = zip(*kept, strict=True)
-            row[PATH : PATH + WORDS] = np.bincount(at, signs, WORDS) / len(kept)
+        at, signs = zip(*kept, strict=True)
+        row[PATH : PATH + WORDS] = np.bincount(at, signs, WORDS) / len(kept)
         n = len(b.text)
         row[PATH + WORDS] = math.log1p(n) / 8
         row[PATH + WORDS + 1] = min(1.0, b.links / n)
         row[PATH + WORDS + 2] = b.text[-1] in ".!?…\"'»"
         row[PATH + WORDS + 3] = "©" in b.text
-        row[PATH + WORDS + 6] = 1
+        row[PATH + WORDS + 4] = 1
     return x
 
 
-def meaning(block: Block) -> int:
-    """Label of a block by the innermost telling name on its tag path, with
-    anything that names other matter winning over what encloses it."""
-    label = 0
-    for t in block.path:
-        word = t[1:]
-        if word in OTHER or t == ".hidden":
-            if not (word == "header" and label == 1):
-                return 0
-        elif word in MAIN and t != "<body":
-            label = 1
-    return label
+def told(found: list[Block], elements: list[tuple[str, int]], *, share: float = 0.7) -> np.ndarray | None:
+    """Labels of a page's blocks by structure and text: from the page down, the
+    element within that holds ``share`` of the letters of sentences, as long as
+    one does; its blocks are main text but for those that are mostly links. What
+    lies in a further container inside is not told (nan). None if nothing below
+    the body holds so much."""
+    mass = np.zeros(len(elements))
+    for b in found:
+        if b.text[-1] in ".!?…" and b.links < 0.3 * len(b.text):
+            mass[b.element] += len(b.text)
+    for e in range(len(elements) - 1, 0, -1):  # elements come after what they lie in
+        mass[elements[e][1]] += mass[e]
+    at, inside, deeper = 0, np.zeros(len(elements), bool), np.zeros(len(elements), bool)
+    for e in range(1, len(elements)):
+        if elements[e][1] == at and elements[e][0] in HOLDS and mass[e] >= share * max(1.0, mass[0]):
+            at = e
+    if elements[at][0] in ("", "html", "body"):
+        return None
+    inside[at] = True
+    for e in range(at + 1, len(elements)):
+        inside[e] = inside[elements[e][1]]
+        deeper[e] = inside[e] and (deeper[elements[e][1]] or elements[e][0] in HOLDS)
+    return np.array([math.nan if deeper[b.element] else float(inside[b.element] and b.links < 0.5 * len(b.text)) for b in found])
 
 
 # ---- the labeller ----
@@ -207,9 +301,13 @@ class Labeller:
         self.p["o"] = np.zeros(1)
 
     def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States of all steps for a batch (pages, steps, WIDTH); padded steps carry states on."""
+        return self._run(x, mask, d, keep, np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN)))[:2]
+
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list, tuple]:
+        """States of all steps for a batch (pages, steps, WIDTH) that begins with
+        states h and c, a record for the gradients, and the last states; padded
+        steps carry states on."""
         n, steps, _ = x.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
         out, tape = np.zeros((n, steps, HIDDEN)), []
         base = x @ self.p["W" + d] + self.p["c" + d]
         u = self.p["U" + d]
@@ -226,18 +324,31 @@ class Labeller:
             c = np.where(m, new, c)
             h = np.where(m, o * th, h)
             out[:, t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         hidden = np.concatenate([self._pass(x, mask, d, False)[0] for d in "fb"], axis=2)
         return 1 / (1 + np.exp(-np.clip(hidden @ self.p["v"] + self.p["o"], -30, 30)))
 
+    def predict_long(self, found: list[Block]) -> np.ndarray:
+        """Of one page of any number of blocks, holding the vectors of some of them at a time."""
+        z = np.full(len(found), self.p["o"][0])
+        for k, d in enumerate("fb"):
+            h, c = np.zeros((1, HIDDEN)), np.zeros((1, HIDDEN))
+            starts = range(0, len(found), STEPS)
+            for at in starts if d == "f" else reversed(starts):
+                x = vectors(found[at : at + STEPS])[None]
+                out, _, (h, c) = self._run(x, np.ones((1, x.shape[1]), bool), d, False, h, c)
+                z[at : at + STEPS] += out[0] @ self.p["v"][k * HIDDEN : (k + 1) * HIDDEN]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss, back through time."""
+        """Of the mean log loss over the blocks with a label, back through time."""
         runs = {d: self._pass(x, mask, d, True) for d in "fb"}
         hidden = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         p = 1 / (1 + np.exp(-np.clip(hidden @ self.p["v"] + self.p["o"], -30, 30)))
-        delta = (p - y) * mask / mask.sum()
+        known = mask & ~np.isnan(y)
+        delta = np.where(known, p - np.nan_to_num(y), 0) / max(1, known.sum())
         g = {"v": np.einsum("nt,nth->h", delta, hidden), "o": np.array([delta.sum()])}
         down = delta[:, :, None] * self.p["v"]
         for k, d in enumerate("fb"):
@@ -350,21 +461,23 @@ def made_up(count: int, seed: int = 9) -> list[tuple[str, list[int]]]:
     return pages
 
 
-def train(pages: DataFrame, *, html_column: str = "html", most: int = 200, made: int = 300, longest: int = 200) -> Labeller:
+def train(pages: DataFrame, *, html_column: str = "html", most: int = 200, made: int = 300, chars: int = 100_000, longest: int = 500) -> Labeller:
     """Fit on ``made`` made-up pages and at most about ``most`` pages of the table
-    (those of up to ``longest`` blocks) labelled by ``meaning``."""
+    that ``told`` labels, chosen by a hash of their HTML from those of up to
+    ``chars`` characters; of these, pages of up to ``longest`` blocks."""
     examples = []
     for page, labels in made_up(made):
         found = blocks(page)
         if len(found) == len(labels):
             examples.append((vectors(found), np.array(labels, float)))
-    n = pages.count()
-    share = max(1, n // most)
-    some = pages.select(F.col(f"`{html_column}`").alias("h")).where(F.col("h").isNotNull() & (F.pmod(F.xxhash64("h", F.lit(4)), F.lit(share)) == 0) & (F.length("h") <= 100_000))
-    for r in sorted(some.limit(most).collect()):
-        found = blocks(r["h"])
-        if 0 < len(found) <= longest:
-            examples.append((vectors(found), np.array([meaning(b) for b in found], float)))
+    some = pages.select(F.col(f"`{html_column}`").alias("h")).where(F.length("h") <= chars)
+    share = max(1, some.count() // most)
+    rank = F.xxhash64("h", F.lit(4))
+    for r in some.where(F.pmod(rank, F.lit(share)) == 0).distinct().orderBy(rank, "h").limit(2 * most).collect():
+        found, elements = parsed(r["h"])
+        labels = told(found, elements) if 0 < len(found) <= longest else None
+        if labels is not None:
+            examples.append((vectors(found), labels))
     return Labeller().fit(examples)
 
 
@@ -386,10 +499,11 @@ def main_text(pages: DataFrame, labeller: Labeller, *, html_column: str = "html"
             order = sorted((i for i in range(len(found)) if found[i]), key=lambda i: len(found[i]))
             for k in range(0, len(order), batch):
                 group = order[k : k + batch]
-                while group:  # long pages in smaller groups
-                    take = group[: max(1, 20_000 // len(found[group[-1]]))]
+                while group:  # long pages in smaller groups, the longest ones alone
+                    take = group[: max(1, STEPS // len(found[group[-1]]))]
                     group = group[len(take) :]
-                    p = labeller.predict(*padded([vectors(found[i]) for i in take]))
+                    alone = len(take) == 1 and len(found[take[0]]) > STEPS
+                    p = [labeller.predict_long(found[take[0]])] if alone else labeller.predict(*padded([vectors(found[i]) for i in take]))
                     for row, i in zip(p, take, strict=True):
                         texts[i] = "\n".join([x.text for x, y in zip(found[i], row, strict=False) if y >= 0.5])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "main_text"])
