@@ -323,9 +323,10 @@ def test_boosting_separates():
 
 def test_block_vectors_read_every_word():
     start = "one two three four five six seven eight nine ten eleven twelve"
-    a, b = (H.vectors([H.Block(("<p",), f"{start} {w}", 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("aaaa " * 5 + "bb", "cccc " * 5 + "dd"))
+    none = np.zeros(H.PATH, np.float32)
+    a, b = (H.vectors([H.Block(none, f"{start} {w}", 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("aaaa " * 5 + "bb", "cccc " * 5 + "dd"))
     assert (a != b).any()
-    c, d = (H.vectors([H.Block(("<p",), "x" * 30 + w, 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("abc", "xyzzy"))
+    c, d = (H.vectors([H.Block(none, "x" * 30 + w, 0)])[0, H.PATH : H.PATH + H.WORDS] for w in ("abc", "xyzzy"))
     assert (c != d).any()
 
 
@@ -333,3 +334,39 @@ def test_svg_closes_itself_and_nests():
     text = lambda page: [b.text for b in H.blocks(page)]
     assert text('<p>a</p><svg class="icon"/><p>b</p>') == ["a", "b"]
     assert text("<p>a</p><svg><svg><text>x</text></svg><svg/><text>y</text></svg><p>b</p>") == ["a", "b"]
+
+
+def test_text_after_what_is_not_closed():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    for tag in ("svg", "select", "iframe", "noscript", "object"):
+        assert text(f"<p>a</p><{tag} id=x><p>b</p>") == ["a", "b"], tag
+    for tag in ("title", "textarea"):
+        assert text(f"<p>a</p><{tag}>name<p>b</p>") == ["a", "b"], tag
+    assert text("<p>a</p><script>x = '<p>b</p>'") == ["a"]
+    assert text('<p title="abc>Real text.') == ["Real text."] and text("<p title='a>b' class=\"c>d\">Text") == ["Text"]
+    assert text("<object data=x><p>Instead.</p></object>") == ["Instead."]
+    assert text("1 < 2 <b>and</b> 3 > 2 <") == ["1 < 2 and 3 > 2 <"]
+    assert text("<TITLE>t</TITLE ><p>a<!doctype x></p></nothing><? b ?>c") == ["a", "c"]
+
+
+def test_deep_and_long_pages_take_linear_time(spark):
+    deep = "<div>" * 100_000 + "<p>In the middle.</p>" + "</div>" * 100_000
+    open_ = "<b class=x>w " * 50_000 + "<select>" * 20_000 + '<i title="' * 20_000
+    pages = spark.createDataFrame([(1, deep, "x"), (2, open_, "y"), (3, "<article>" + "<p>Some words here.</p>" * 50_000 + "</article>", "z")], "page_id long, html string, main_text string")
+    got = {r.page_id: r.main_text for r in H.main_text(pages, H.Labeller().fit([])).collect()}
+    assert set(got) == {1, 2, 3} and len(H.blocks(deep)) == 1
+    found = H.blocks("<p>One, two.</p>" * 30)
+    labeller = H.Labeller()
+    want = labeller.predict(*H.padded([H.vectors(found)]))[0]
+    old, H.STEPS = H.STEPS, 7
+    try:
+        assert np.allclose(labeller.predict_long(found), want)
+    finally:
+        H.STEPS = old
+
+
+def test_structure_tells_where_the_text_is():
+    page = "<body><nav><a href=x>Home</a></nav><div class=q><h1>Head</h1><p>One sentence of some length.</p><p>Another sentence, no shorter.</p><p><a href=y>Next page of it.</a></p></div><div>© Owner</div></body>"
+    found, elements = H.parsed(page)
+    assert dict(zip((b.text for b in found), H.told(found, elements), strict=True)) == {"Home": 0, "Head": 1, "One sentence of some length.": 1, "Another sentence, no shorter.": 1, "Next page of it.": 0, "© Owner": 0}
+    assert H.told(*H.parsed("<p>Only this.</p>")) is None and H.told(*H.parsed("")) is None
