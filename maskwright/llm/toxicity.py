@@ -5,7 +5,8 @@ of labelled documents. A document's windows, every two words that follow each
 other, are compressed with the ordinary dictionary, once with and once without
 the toxic one beside it; a window's margin is the number of bytes that the
 toxic one saves. A word's margin is the lesser one of the two windows that
-hold it, as chance matches rarely show in both. Counts of words above some
+hold it, as chance matches rarely show in both; windows that share no run of
+bytes with the toxic dictionary save nothing. Counts of words above some
 margins are calibrated to a probability by logistic regression on labelled
 documents, each with dictionaries that it had no part in.
 
@@ -31,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, stored
 
 #: Margins at and above which words are counted.
-CUTS = (2, 3, 4, 5, 6, 7)
+CUTS = (3, 4, 5, 6, 7, 8)
 #: Sizes of the dictionaries in bytes.
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
 #: Bytes of a segment of the ordinary one.
@@ -43,9 +44,9 @@ SEGMENT = 20
 FOLDS = 4
 #: Telling words, distinct toxic training texts and how often each may count, and ordinary windows, at most.
 TELLING, TOXIC_TEXTS, COPIES, ORDINARY_TEXTS = 600, 5000, 200, 50_000
-#: Bytes in common with the toxic dictionary that a window must have to save two bytes, what a match costs considered.
-RUN = 5
-#: Entries and bytes of words kept per Python process.
+#: Bytes in a row in common with the toxic dictionary without which a window counts as saving nothing; shorter matches save hardly more than they cost.
+RUN = 6
+#: Words, and bytes of one, whose sharing is kept per Python process.
 KEPT, KEPT_BYTES = 400_000, 64
 # Both dictionaries end with these and every window begins and ends with them:
 # the compressor finds no matches in a window's last bytes, nor in windows too short to shrink.
@@ -85,29 +86,31 @@ class Model:
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_kept", "_edges", "_runs", "_with", "_without")} | {"_ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_kept", "_ends", "_starts", "_runs", "_with", "_without")} | {"_ready": False}
 
     def _prepare(self) -> None:
         # In place of the toxic dictionary, bytes that no text has: the ordinary one stays as near to a window.
         none = bytes(0xF8 + (i * i + i // 7) % 8 for i in range(len(self.toxic)))
         self._with, self._without = compressor(self.ordinary + self.toxic), compressor(self.ordinary + none)
         self._runs = {self.toxic[i : i + RUN] for i in range(len(self.toxic) - RUN + 1)}
-        self._kept, self._edges, self._ready = {}, {}, True
+        across = [r.split(b" ") for r in self._runs if b" " in r[1:-1]]
+        self._ends, self._starts = {r[0] for r in across if len(r) == 2}, {r[1] for r in across if len(r) == 2}
+        self._kept, self._ready = {}, True
 
     def saved(self, body: bytes) -> int:
         """Bytes that the toxic dictionary saves on a window."""
         window = _HEAD + body + _TAIL
         return len(self._without.compress(window)) - len(self._with.compress(window))
 
-    def _shares(self, held: dict, key: object, body: bytes) -> bool:
-        found = held.get(key)
-        if found is None:
-            found = not self._runs.isdisjoint([body[i : i + RUN] for i in range(len(body) - RUN + 1)])
-            if len(held) > KEPT:
-                held.clear()
-            if len(body) <= KEPT_BYTES:
-                held[key] = found
-        return found
+    def _shares(self, body: bytes) -> bool:
+        return not self._runs.isdisjoint([body[i : i + RUN] for i in range(len(body) - RUN + 1)])
+
+    def _sharing(self, word: bytes) -> int:
+        """1 if the word between spaces shares a run; else 2 if a run may begin at its end, plus 4 if one may end at its start."""
+        if self._shares(b" " + word + b" "):
+            return 1
+        some = range(1, RUN - 1)
+        return 2 * any(word[-n:] in self._ends for n in some) + 4 * any(word[:n] in self._starts for n in some)
 
     def margins(self, text: str | None) -> np.ndarray:
         """Of every word, 0 where a window shares no run of bytes with the toxic dictionary."""
@@ -116,14 +119,27 @@ class Model:
         words = _words(text)
         if not words or not self.toxic:
             return np.zeros(len(words), np.int64)
-        kept, edges, saved = self._kept, self._edges, []
-        near = [self._shares(kept, w, b" " + w + b" ") for w in words]
-        before, was = b"", False
-        for w, has in zip([*words, b""], [*near, False], strict=True):
-            edge = (before[-3:], w[:3])
-            go = was or has or self._shares(edges, edge, edge[0] + b" " + edge[1])
-            saved.append(self.saved(b" " + before + b" " + w + b" ") if go else 0)
-            before, was = w, has
+        kept = self._kept
+        near = list(map(kept.get, words))
+        if None in near:
+            if len(kept) > KEPT:
+                kept.clear()
+            for i, w in enumerate(words):
+                if near[i] is None:
+                    near[i] = self._sharing(w)
+                    if len(w) <= KEPT_BYTES:
+                        kept[w] = near[i]
+        go = {0, len(words)}
+        for i, has in enumerate(near):
+            if has == 1:
+                go.add(i)
+                go.add(i + 1)
+            elif has & 4 and i and near[i - 1] & 2 and self._shares(words[i - 1][2 - RUN :] + b" " + words[i][: RUN - 2]):
+                go.add(i)
+        padded = [b"", *words, b""]
+        saved = np.zeros(len(words) + 1, np.int64)
+        for j in go:
+            saved[j] = self.saved(b" " + padded[j] + b" " + padded[j + 1] + b" ")
         return np.minimum(saved[:-1], saved[1:])
 
     def features(self, text: str | None) -> np.ndarray:
@@ -165,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     rated = rated.where(F.pmod(h, F.lit(parts)) == 0).withColumn("fold", F.pmod(F.shiftright(h, 20), F.lit(FOLDS)))
     rated = F.broadcast(rated) if rated.count() <= 4 * most else rated  # many rows only where keys repeat
     sample = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").join(rated, "k")
+    sample = stored(sample.select("y", "k", "t", "fold"), "sample")
     model = _dictionaries(sample)
     # Documents meet what they brought into a dictionary too often, so each is calibrated with others'.
     folds = [_dictionaries(sample.where(F.col("fold") != f)) for f in range(FOLDS)]
