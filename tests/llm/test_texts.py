@@ -205,13 +205,16 @@ def test_word_margins_equal_plain_compression(spark):
     toxic = [f" {w} ".encode() for w in rng.choices(["grumblefex", "snarkwit", "vilegob!!", "pöbelnarr"], k=400)]
     ordinary = [" ".join(rng.choices(["over", "the", "river", "hills", "größe", "12,5"], k=2)).encode() for _ in range(400)]
     model = toxicity.Model(toxicity.trained(2048, toxic), toxicity.trained(2048, ordinary, toxicity.SEGMENT))
+    model.margins("ready")
     for text in ["the vilegob!! over 12,5 snarkwits hills", "GRUMBLEFEX", "over the river", "", None, "x" * 5000 + " pöbelnarr", " ".join(rng.choices(["vile", "gob", "over", "snark", "wit12", "größe"], k=300))]:
         words = ["", *(text or "").lower().split(), ""]
-        plain = [model.saved(f" {a} {b} ".encode()) if model._ready or model.margins("a") is not None else 0 for a, b in zip(words, words[1:])]
+        windows = [f" {a} {b} ".encode() for a, b in zip(words, words[1:])]
+        shares = [any(w[i : i + toxicity.RUN] in model.toxic for i in range(len(w) - toxicity.RUN + 1)) or k in (0, len(words) - 2) for k, w in enumerate(windows)]
+        plain = [model.saved(w) * s for w, s in zip(windows, shares)]
         want = np.minimum(plain[:-1], plain[1:])
         got = model.margins(text)
         assert len(got) == len(words) - 2
-        assert [(got >= c).sum() for c in toxicity.CUTS] == [(want >= c).sum() for c in toxicity.CUTS]
+        assert got.tolist() == want.tolist()
     assert toxicity.trained(2048, []) == b""
 
 
