@@ -31,11 +31,16 @@ def test_stages(spark):
 
 def test_edges(spark):
     rows = [(1, "Same words in here.", "en", "s", 3), (2, "Same words in here.", "en", "s", 3), (2, "Same words in here.", "en", "s", 3), (None, "no id", None, None, None), (None, "no id", None, None, None), (5, None, None, None, None)]
+    rows += [(None, "Same words in here.", "en", "s", 3), (7, "One text of an id.", "en", "s", 3), (7, "Another text of the same id.", "en", "s", 3), (7, "Another text of the same id.", "de", None, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r.doc_id), r.text) for r in P.near_dedup(spark, docs, SF).collect())
-    assert got == [("1", "Same words in here."), ("5", None), ("None", "no id")]
-    assert P.redact_private(spark, docs, SF).count() == 6
-    assert P.near_dedup(spark, docs.limit(0), SF).count() == 0
+    assert got == [("1", "Same words in here."), ("5", None), ("7", "Another text of the same id."), ("7", "One text of an id."), ("None", "no id")]
+    wider = docs.withColumns({"quality": F.lit("x"), "base": F.lit("y"), "n_hit": F.lit("z"), "root": F.lit("r"), "node": F.lit(1), "t": F.lit(2)})
+    assert P.redact_private(spark, wider, SF).count() == P.quality_filter(spark, wider, SF).count() == 10
+    assert P.remove_benchmark(spark, wider, SF).count() == 10 and P.near_dedup(spark, wider, SF).count() == 5
+    assert P.pack(spark, wider, SF).select("doc_id").distinct().count() == 5
+    for stage in (P.quality_filter, P.near_dedup, P.remove_benchmark, P.redact_private, P.pack):
+        assert stage(spark, docs.limit(0), SF).count() == 0
 
 
 def test_registered():
