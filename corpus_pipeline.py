@@ -1,76 +1,5 @@
-"""Corpus preparation: quality filter, near-duplicate removal, benchmark
-decontamination, redaction of personal data, packing into training sequences.
+"""The corpus pipeline; its stages are in the subpackage of training-data operators."""
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept. All but the last return the columns of ``documents``.
-"""
+from maskwright.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, near_dedup, pack, quality_filter, redact_private, remove_benchmark, run, stored
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from maskwright.llm import decontaminate, packing, pii, quality, similar
-from maskwright.llm.common import stored, table
-from maskwright.llm.queries import TOKENIZER
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose top grade is at least as likely as not. The classifier
-    is fitted on the labels of the documents given."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.graded(docs, model).where("tail_probability >= 0.5").select(*COLUMNS)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group: texts joined by
-    similarities of 0.8 or more between their sets of 5-word shingles. Of rows
-    that repeat its id, one. Rows without an id name no group: of those with
-    equal texts, one stays."""
-    # The least ids by partial aggregation: groups of any size are cheap.
-    found = docs.select("doc_id", F.xxhash64("text").alias("node")).join(similar.similar(docs), "node", "left")
-    kept = found.groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.union(docs.where("doc_id IS NULL").select(*first.columns).dropDuplicates(["text"])).select(*COLUMNS)
-
-
-def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents; cuts benchmark passages from the others."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    cut = F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    kept = found.where(~F.col("contaminated")).withColumn("text", cut)
-    return kept.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
-
-
-def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind in brackets."""
-    found = pii.private_spans(docs)
-    hit = F.size("spans") > 0
-    text = F.when(hit, pii.redacted(F.col("text"), "spans")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 1024 tokens."""
-    return packing.pack(docs, TOKENIZER)
-
-
-STAGES = [
-    ("quality classifier", quality_filter),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", remove_benchmark),
-    ("PII", redact_private),
-    ("best-fit packing", pack),
-]
-#: None: SQL expresses neither the classifier nor the tokeniser.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "near_dedup", "pack", "quality_filter", "redact_private", "remove_benchmark", "run", "stored"]
