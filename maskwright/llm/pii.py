@@ -2,11 +2,15 @@
 
 High-recall generators propose overlapping spans as regular-expression
 matches. Each candidate is described by a few small discrete features of its
-format and context. Boosted trees are fitted on counts of feature vectors over
-the whole table (a table of bounded size), become one column expression, and
-score the candidates; a threshold per kind, calibrated on the labelled
-candidates, selects. Spans of the base rules, which have checks of their own,
-always stay; the trees add spans of other forms.
+format and context. Boosted trees are fitted on counts of feature vectors (a
+table of bounded size), become one column expression, and score the
+candidates; a threshold per kind, set out of fold, selects. Spans of the base
+rules, which have checks of their own, always stay; the trees add spans of
+other forms.
+
+The trees learn from texts made up for it, in which what is personal is known:
+addresses, numbers and cards in many forms, and look-alikes such as times and
+places after an @, version, part and order numbers and byte strings.
 
 Everything about a document is computed in its own row: no shuffle carries
 text, and no group can be hot.
@@ -15,9 +19,11 @@ text, and no group can be hot.
 from __future__ import annotations
 
 import math
+import random
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checksums import digits, luhn
@@ -47,9 +53,13 @@ MORE = {
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 MORE_HINT = {"email": r"\((?i:at)\)|\[at\]|@ | @", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[ ./_-]{1,2}[0-9]{4}", "phone": r"[0-9]{3}\)? ?[ .-]?[0-9]{3}[ .-][0-9]{4}"}
-CUES = r"(?i)(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|credit|pay|ip|host|server|addr)[^\n]{0,24}$"
+#: Words shortly before a candidate that speak for it, and against it.
+FOR = r"(?i)(?:e-?mail|\bmail|contact|write|reach|call|phone|tel\b|mobile|fax|card|visa|credit|pay|\bip\b|host|server|addr)[^\n]{0,24}$"
+AGAINST = r"(?i)(?:order|invoice|\bpart|version|ticket|serial|model|isbn|build|batch|release|tracking|article|hash|bytes|fingerprint|meet|see you|lunch|\bat$)[^\n]{0,24}$"
 #: Features and the number of values of each; their product bounds the fitted table.
-FEATURES = {"kind": 4, "size": 5, "seps": 3, "left": 3, "right": 3, "cue": 2}
+FEATURES = {"kind": 4, "form": 4, "tail": 3, "left": 3, "right": 3, "cue": 3}
+#: Made-up texts of each kind and label, and parts of them for thresholds.
+MADE, FOLDS = 400, 5
 
 
 def _spans(text: Column, rule: str, kind: int) -> Column:
@@ -86,37 +96,92 @@ def _sound_more(k: Column, m: Column) -> Column:
 
 
 def _described(text: Column, s: Column) -> Column:
-    """The span with its features as small integers."""
-    d = F.length(digits(s["m"]))
-    sound = reduce(lambda rest, i: F.when(s["k"] == i, _sound(KINDS[i], s["m"])).otherwise(rest), range(len(KINDS)), F.lit(False))
+    """The span with its features as small integers. form and tail are of its
+    kind: how an address is written and ends, of what an IP address's groups
+    are, and what stands between groups of digits."""
+    m, kind = s["m"], s["k"]
     before = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
     left, right = F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(text, s["end"] + 1, F.lit(1))
     side = lambda c: F.when(c.rlike(r"^[\p{L}\p{N}]"), 2).when(c.rlike(r"^[^\s.,;:!?()]"), 1).otherwise(0)
+    word_at, word_dot = m.rlike(r"[(\[]at[)\]]"), m.rlike(r"[(\[]dot[)\]]")
+    seps = F.size(F.array_distinct(F.filter(F.split(m, "[A-Za-z0-9]+"), lambda c: c != "")))
+    form = F.when(kind == 0, F.when(word_at & word_dot, 3).when(word_at, 2).when(m.rlike(r"\S@\S"), 1).otherwise(0))
+    form = form.when(kind == 1, F.when(m.rlike("[0-9A-Fa-f]{3}"), 2).when(m.rlike("[A-Fa-f]"), 1).otherwise(0)).otherwise(F.least(seps, F.lit(3)))
+    tail = F.when(kind == 0, F.when(m.rlike(r"\S\.[a-z]{2,6}$|[)\]] ?[a-z]{2,6}$"), 2).when(m.rlike("[A-Z][^.]*$"), 0).otherwise(1))
+    tail = tail.when(kind == 1, F.when(m.rlike(r"(?:^|:)(?:[0-9A-Fa-f]{2}:){7}[0-9A-Fa-f]{2}$"), 0).otherwise(1)).otherwise(F.when(m.rlike(r"^\("), 2).when(m.rlike("[./_]"), 0).otherwise(1))
+    cue = F.when(before.rlike(AGAINST), 0).when(before.rlike(FOR), 2).otherwise(1)
     return F.struct(
-        s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"),
-        s["k"].alias("kind"), sound.cast("int").alias("sound"),
-        F.when(d < 8, 0).when(d < 10, 1).when(d < 12, 2).when(d < 16, 3).otherwise(4).alias("size"),
-        F.least(F.length(F.regexp_replace(s["m"], "[A-Za-z0-9]", "")), F.lit(2)).alias("seps"),
-        side(left).alias("left"), side(right).alias("right"), before.rlike(CUES).cast("int").alias("cue"),
+        s["start"].alias("start"), kind.alias("k"), s["end"].alias("end"), kind.alias("kind"), form.alias("form"), tail.alias("tail"),
+        side(left).alias("left"), side(right).alias("right"), cue.alias("cue"),
     )
 
 
-def candidates(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with base (validated base spans), labelled (described base-form
-    candidates) and other (described candidates of other forms, apart from base)."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    forms = docs.withColumns({f"_{k}": _tried(t, HINT[k], BASE[k], i) for i, k in enumerate(KINDS)} | {f"_more_{k}": _tried(t, MORE_HINT[k], MORE[k], i) for i, k in enumerate(KINDS)})
-    with_base = forms.withColumn("base", F.array_sort(F.concat(*[_kept(f"_{k}", k) for k in KINDS])))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    other = F.transform(F.filter(F.concat(*[F.col(f"_more_{k}") for k in KINDS]), lambda s: apart(s) & _sound_more(s["k"], s["m"])), lambda s: _described(t, s))
-    labelled = F.transform(F.concat(*[F.col(f"_{k}") for k in KINDS]), lambda s: _described(t, s))
-    return with_base.withColumns({"other": other, "labelled": labelled}).drop(*[f"_{k}" for k in KINDS], *[f"_more_{k}" for k in KINDS])
+def candidates(docs: DataFrame, text: str, base: str, other: str) -> DataFrame:
+    """``docs`` with the columns named ``base`` (validated base spans) and
+    ``other`` (described candidates of other forms, apart from base)."""
+    t, tag = F.coalesce(F.col(f"`{text}`"), F.lit("")), uuid.uuid4().hex
+    names = [f"{k}_{tag}" for k in KINDS]
+    forms = docs.withColumns({n: _tried(t, HINT[k], BASE[k], i) for i, (k, n) in enumerate(zip(KINDS, names, strict=True))} | {f"more_{n}": _tried(t, MORE_HINT[k], MORE[k], i) for i, (k, n) in enumerate(zip(KINDS, names, strict=True))})
+    with_base = forms.withColumn(base, F.array_sort(F.concat(*[_kept(n, k) for k, n in zip(KINDS, names, strict=True)])))
+    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    found = F.transform(F.filter(F.concat(*[F.col(f"more_{n}") for n in names]), lambda s: apart(s) & _sound_more(s["k"], s["m"])), lambda s: _described(t, s))
+    return with_base.withColumn(other, found).drop(*names, *[f"more_{n}" for n in names])
 
 
 def _kept(column: str, kind: str) -> Column:
     return F.filter(column, lambda s: _sound(kind, s["m"]))
 
 
+def made_up(count: int = MADE, seed: int = 17) -> list[tuple[int, int, str]]:
+    """kind, label and text: ``count`` texts of each kind and label, each with a
+    candidate of a looser form that is personal (1) or only looks so (0)."""
+    rng = random.Random(seed)
+    word = lambda lo=2, hi=9: "".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(lo, hi)))
+    digits_ = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    top = lambda: rng.choice(("com", "org", "net", "de", "co.uk", "io", "example"))
+    at = lambda: rng.choice(("(at)", "[at]", " (at) ", " [at] "))
+    dot = lambda: rng.choice((".", "(dot)", "[dot]", " (dot) ", " [dot] "))
+
+    def email(y: int) -> str:
+        if y:
+            return word() + rng.choice(("", "." + word(), str(rng.randint(1, 99)))) + at() + word() + dot() + top()
+        place, more = word(), rng.choice((word().capitalize(), word().capitalize(), word(), top()))
+        return f"{word()} @ {place}{rng.choice(('. ', '. ', '.', ' . '))}{more}"
+
+    def ip(y: int) -> str:
+        return ":".join((f"{rng.randrange(1 << 16):x}" if rng.random() < 0.9 else "0") if y else rng.choice((f"{rng.randrange(256):02x}", f"{rng.randrange(256):02X}", f"{rng.randrange(60):02d}")) for _ in range(8))
+
+    def card(y: int) -> str:
+        while not _plain_luhn(d := rng.choice("3456" if y else "0123456789") + digits_(15)):
+            pass
+        sep = rng.choice((" ", "-", "  ", " - "[:2])) if y else rng.choice(("/", ".", "_", "-", " "))
+        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    def phone(y: int) -> str:
+        a, b, c = rng.choice("23456789") + digits_(2), digits_(3), digits_(4)
+        return rng.choice((f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}") if y else (f"{a}.{b}.{c}", f"{a}-{b}-{c}", f"{a} {b} {c}"))
+
+    said = {
+        (0, 1): ("email", "contact", "write to", "reach us:", "mail", ""), (0, 0): ("meet", "see you", "lunch", "sold", "", ""),
+        (1, 1): ("server", "host", "ip", "address", ""), (1, 0): ("hash", "bytes", "fingerprint", "", ""),
+        (2, 1): ("card", "visa", "pay with", "credit", ""), (2, 0): ("order", "tracking", "serial", "invoice", "batch"),
+        (3, 1): ("call", "phone", "tel", "mobile", "fax:", ""), (3, 0): ("part", "version", "build", "model", "article", "isbn"),
+    }
+    made = []
+    for kind, form in enumerate((email, ip, card, phone)):
+        for y in (0, 1):
+            for _ in range(count):
+                before, after = " ".join(word() for _ in range(rng.randint(0, 5))), " ".join(word() for _ in range(rng.randint(0, 5)))
+                cue = rng.choice(said[kind, y])
+                close = rng.choice((" ", " ", ", ", ". ", "; ")) if rng.random() < 0.95 else rng.choice(("x", "7", "#"))
+                made.append((kind, y, f"{before} {cue} {form(y)}{close}{after}".strip()))
+    return made
+
+
+def _plain_luhn(d: str) -> bool:
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
 # ---- boosting, on a table of feature-vector counts ----
 
 Leaf = float
@@ -173,53 +238,61 @@ def _scored(trees: list[Tree], s: Column) -> Column:
     return reduce(lambda a, b: a + b, [part(t) for t in trees], F.lit(0.0))
 
 
-def thresholds(trees: list[Tree], counts: list[tuple[dict[str, int], float, float]], precision: float) -> dict[int, float]:
-    """For each kind, the least margin at and above which candidates are sound
-    in at least ``precision`` of the cases (infinite if none is)."""
+def thresholds(counts: list[tuple[int, dict[str, int], float, float]], precision: float) -> dict[int, float]:
+    """For each kind, the least margin at and above which candidates are personal
+    in at least ``precision`` of the cases (infinite if none is). ``counts``
+    begin with a fold; each fold's margins are of trees fitted on the others."""
+    margins: list[tuple[int, float, float, float]] = []
+    for fold in sorted({c[0] for c in counts}):
+        trees = fit([c[1:] for c in counts if c[0] != fold])
+        margins += [(x["kind"], sum(value(t, x) for t in trees), pos, neg) for f, x, pos, neg in counts if f == fold]
     out = {}
     for kind in range(len(KINDS)):
-        ranked = sorted(((sum(value(t, x) for t in trees), pos, neg) for x, pos, neg in counts if x["kind"] == kind), reverse=True)
         out[kind], good, bad = math.inf, 0.0, 0.0
-        for m, pos, neg in ranked:
+        ranked = sorted((m[1:] for m in margins if m[0] == kind), reverse=True)
+        for i, (m, pos, neg) in enumerate(ranked):
             good, bad = good + pos, bad + neg
-            if good and good / (good + bad) >= precision and m > 0:
+            if (i + 1 == len(ranked) or ranked[i + 1][0] < m) and good and good / (good + bad) >= precision and m > 0:
                 out[kind] = m
     return out
 
 
-def private_spans(docs: DataFrame, *, text: str = "text", precision: float = 0.98) -> DataFrame:
+def trained(spark: SparkSession, *, precision: float = 0.95, seed: int = 17) -> tuple[list[Tree], dict[int, float]]:
+    """Trees and thresholds, from ``made_up`` texts."""
+    texts = [(i % FOLDS, k, y, t) for i, (k, y, t) in enumerate(made_up(seed=seed))]
+    names = list(FEATURES)
+    made = candidates(spark.createDataFrame(texts, "fold int, k int, y int, text string"), "text", "base", "other")
+    rows = made.select("fold", "y", F.col("k").alias("own"), F.inline("other")).where("own = kind").groupBy("fold", "y", *names).count().collect()
+    merged: dict[tuple, list[float]] = {}
+    for r in rows:
+        merged.setdefault((r["fold"], *[r[n] for n in names]), [0.0, 0.0])[1 - r["y"]] += r["count"]
+    counts = [(x[0], dict(zip(names, x[1:], strict=True)), pos, neg) for x, (pos, neg) in sorted(merged.items())]
+    return fit([c[1:] for c in counts]), thresholds(counts, precision)
+
+
+def private_spans(docs: DataFrame, *, text: str = "text", precision: float = 0.95) -> DataFrame:
     """``docs`` with added columns base and spans, arrays of (start, k, end) in
     code points, end exclusive, by start, kind and end; k indexes ``KINDS``.
     spans has all of base and what the boosted trees add.
 
-    A null or empty text has no spans. Overlapping base spans of different
-    kinds all stay; added spans overlap no base span nor each other. Columns of
-    ``docs`` named base or spans are replaced. The trees are fitted on every
-    candidate of base form in ``docs``, labelled by its kind's check; a table
-    without any adds nothing. Repeated rows count as often as they occur.
+    A null or empty text has no spans; texts of any length are searched whole.
+    Overlapping base spans of different kinds all stay; added spans overlap no
+    base span nor each other. Columns of ``docs`` named base or spans are
+    replaced, all others keep their values. Repeated rows are treated alike; an
+    empty table gives an empty result.
     """
-    taken = {"base", "spans", "other", "labelled", *[f"_{k}" for k in KINDS], *[f"_more_{k}" for k in KINDS]}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken])
-    found = candidates(docs, text)
-    names = list(FEATURES)
-    rows = candidates(docs.select(F.col(f"`{text}`")), text).select(F.inline("labelled")).groupBy("sound", *names).count().collect()  # at most twice the product of FEATURES
-    merged: dict[tuple, list[float]] = {}
-    for r in rows:
-        at = merged.setdefault(tuple(r[n] for n in names), [0.0, 0.0])
-        at[0 if r["sound"] else 1] += r["count"]
-    counts = [(dict(zip(names, x, strict=True)), pos, neg) for x, (pos, neg) in sorted(merged.items())]
-    trees = fit(counts) if counts else []
-    bars = thresholds(trees, counts, precision)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans")])
+    other = f"other_{uuid.uuid4().hex}"
+    found = candidates(docs, text, "base", other)
+    trees, bars = trained(docs.sparkSession, precision=precision)
     slim = lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))
     base = F.transform("base", slim)
-    if not trees:
-        return found.withColumn("spans", base).withColumn("base", base).drop("other", "labelled")
     passes = lambda s: reduce(lambda rest, k: F.when(s["k"] == k, F.lit(False) if math.isinf(bars[k]) else _scored(trees, s) >= bars[k] - 1e-9).otherwise(rest), bars, F.lit(False))
-    ranked = F.array_sort(F.transform(F.filter("other", passes), lambda s: F.struct((-_scored(trees, s)).alias("m"), s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))))
+    ranked = F.array_sort(F.transform(F.filter(other, passes), lambda s: F.struct((-_scored(trees, s)).alias("m"), s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))))
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
     clear = lambda kept, s: ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.aggregate(ranked, none, lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(slim(s)))).otherwise(kept))
-    return found.withColumn("base", base).withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).drop("other", "labelled")
+    return found.withColumn("base", base).withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).drop(other)
 
 
 def listed(spans: str) -> Column:
