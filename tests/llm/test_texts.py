@@ -315,15 +315,32 @@ def test_added_spans_and_redaction(spark):
 
 
 def test_boosting_separates():
-    row = lambda size, left: {"kind": 2, "size": size, "seps": 0, "left": left, "right": 0, "cue": 0}
+    row = lambda form, left: {"kind": 2, "form": form, "tail": 0, "left": left, "right": 0, "cue": 0}
     counts = [(row(3, 0), 50.0, 1.0), (row(3, 2), 2.0, 40.0), (row(1, 0), 0.0, 30.0)]
     trees = pii.fit(counts)
     margin = lambda x: sum(pii.value(t, x) for t in trees)
     assert margin(row(3, 0)) > 1 > -1 > margin(row(3, 2)) and margin(row(1, 0)) < -1
-    bars = pii.thresholds(trees, counts, 0.95)
+    bars = pii.thresholds([(f, *c) for f in (0, 1) for c in counts], 0.95)
     assert bars[0] == math.inf and margin(row(3, 0)) >= bars[2] > margin(row(3, 2))
 
 
+def test_added_spans_on_unseen_made_up_texts(spark):
+    made = pii.made_up(150, seed=99)
+    df = spark.createDataFrame([(k, y, t) for k, y, t in made], "k int, y int, text string")
+    more = F.exists("spans", lambda x: (x["k"] == F.col("k")) & ~F.array_contains("base", x))
+    got = {(r.k, r.y): r.share for r in pii.private_spans(df).where(~F.exists("base", lambda x: x["k"] == F.col("k"))).groupBy("k", "y").agg(F.avg(more.cast("int")).alias("share")).collect()}
+    assert all(got[k, 1] > 0.9 and got[k, 0] < 0.03 for k in range(4)), got
+
+
+def test_look_alikes_stay_and_columns_too(spark):
+    texts = ["see you @ noon. Then", "beans @ market.com", "Meet me @ home. Bring", "version 555.123.4567", "order 4111/1111/1111/1111", "bytes 01:02:03:04:05:06:07:08"]
+    df = spark.createDataFrame([(t, "o", "l", 3, 4) for t in texts], "text string, other string, labelled string, _email int, _more_ip int")
+    got = pii.private_spans(df)
+    assert got.columns == ["text", "other", "labelled", "_email", "_more_ip", "base", "spans"]
+    assert [r.spans for r in got.collect()] == [[]] * len(texts) and got.first()[1:5] == ("o", "l", 3, 4)
+    assert pii.private_spans(spark.createDataFrame([("x " * 400_000 + "me (at) home (dot) org",)], "text string")).select(F.size("spans").alias("n")).first().n == 1
+
+
 def test_block_vectors_read_every_word():
     start = "one two three four five six seven eight nine ten eleven twelve"
     none = np.zeros(H.PATH, np.float32)
