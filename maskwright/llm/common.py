@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +53,15 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few small columns up to which a table is broadcast to filter another one; more are joined by a shuffle.
+FEW = 2_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored table of small rows, marked for broadcast if it has at most ``FEW``."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
