@@ -40,9 +40,3 @@ def classify_field(type_: Column, text: Column, opted: Column) -> Column:
 def field_candidate(tag: Column, opted: Column, editable: Column) -> Column:
     """Whether an element is looked at as a field at all."""
     return F.lower(tag).isin("input", "textarea", "select") | F.coalesce(opted, F.lit(False)) | F.coalesce(editable, F.lit(False))
-
-
-def visible(hidden: Column, display: Column, visibility: Column, opacity: Column) -> Column:
-    """Not hidden by attribute, display, visibility or opacity."""
-    shown = ~F.coalesce(hidden, F.lit(False))
-    return shown & (F.coalesce(display, F.lit("")) != "none") & (F.coalesce(visibility, F.lit("")) != "hidden") & (F.coalesce(opacity, F.lit("1")) != "0")

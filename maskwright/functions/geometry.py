@@ -68,10 +68,6 @@ def share_of_smaller(a: Column, b: Column) -> Column:
     return overlap(a, b) / F.when(least == 0, 1).otherwise(least)
 
 
-def centre(b: Column) -> Column:
-    return F.struct((b["x"] + b["w"] / 2).alias("x"), (b["y"] + b["h"] / 2).alias("y"))
-
-
 def holds(b: Column, x: Column, y: Column) -> Column:
     """Whether a point lies in a box."""
     return (x >= b["x"]) & (x < b["x"] + b["w"]) & (y >= b["y"]) & (y < b["y"] + b["h"])

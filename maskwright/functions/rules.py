@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -69,14 +70,23 @@ SHORT_TOKENS = {
     "[MASK_UPI]": "[UPI]", "[MASK_PAN]": "[PAN]",
 }
 
-#: A text longer than this is not scanned (parity); None scans any length.
+#: A browser's scan passes over texts longer than this; here it is a limit that callers may ask for.
 SCAN_CHARS = 20_000
+#: Hits of this severity or more block what is about to leave.
+SEVERE = 2
 
 _WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 #: White space as browsers' engines have it.
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+# What is certainly a word character: a digit, a class of such characters, or one itself.
+_WORDLY = r"(?:\\d|\[(?:\w-\w|\w)+\]|\w)"
+_BEFORE, _AFTER = re.compile(rf"\\b(?=(?:\(\?:)?{_WORDLY})"), re.compile(rf"({_WORDLY}(?:\{{[\d,]+\}}|\+)?\)?)\\b")
+
+
 def java(pattern: str) -> str:
-    """The pattern for Java, whose \\b knows other letters than ASCII and whose \\s is ASCII."""
+    """The pattern for Java, whose \\b knows other letters than ASCII and whose \\s
+    is ASCII. Beside a word character an edge is one lookaround."""
+    pattern = _AFTER.sub(r"\1(?!\\w)", _BEFORE.sub(r"(?<!\\w)", pattern))
     return pattern.replace(r"\b", _WORD_EDGE).replace(r"\s", SPACE)

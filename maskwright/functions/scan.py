@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checksums import digits, luhn, verhoeff
-from .rules import SCAN_CHARS, SHORT_TOKENS, SPACE, TEXT_RULES, TextRule, java
+from .rules import SEVERE, SHORT_TOKENS, SPACE, TEXT_RULES, TextRule, java
 
 HIT = "struct<rule_id:string,token:string,severity:int,label:string,index:int,length:int,text:string>"
 
@@ -21,6 +21,10 @@ CHECKS = {
 }
 
 
+#: The rules whose hits are severe.
+SEVERE_RULES = tuple(r for r in TEXT_RULES if r.severity >= SEVERE)
+
+
 def _rule_hits(text: Column, rule: TextRule) -> Column:
     pattern = java(rule.pattern)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -38,10 +42,11 @@ def _rule_hits(text: Column, rule: TextRule) -> Column:
     return F.when(text.rlike(rule.hint) if rule.hint else F.lit(True), found).otherwise(none)
 
 
-def scan_text(text: Column, *, rules: tuple[TextRule, ...] = TEXT_RULES, limit: int | None = SCAN_CHARS) -> Column:
+def scan_text(text: Column, *, rules: tuple[TextRule, ...] = TEXT_RULES, limit: int | None = None) -> Column:
     """Array of hits in rule order, then position; offsets in code points. A
     match that fails its check still uses up its span. Hits of different rules
-    may overlap. Empty for null, empty, and texts longer than ``limit``."""
+    may overlap. Empty for null and empty texts, and for those longer than a
+    ``limit``, if one is given: such a text was not looked at."""
     none = F.array().cast(f"array<{HIT}>")
     scanned = F.concat(*[_rule_hits(text, r) for r in rules])
     fits = F.length(text) > 0 if limit is None else F.length(text).between(1, limit)
@@ -53,8 +58,23 @@ def hits(df: DataFrame, text: str, *keys: str, **options: object) -> DataFrame:
     return df.select(*keys, F.inline(scan_text(F.col(text), **options)))
 
 
-def has_severe(found: Column, least: int = 2) -> Column:
-    return F.exists(found, lambda h: h["severity"] >= least)
+def rule_counts(text: Column, *, rules: tuple[TextRule, ...] = TEXT_RULES) -> Column:
+    """Array of (rule_id, token, severity, n) of the rules that hit a text, in
+    rule order; where no offsets are wanted, each pattern runs once."""
+
+    def count(rule: TextRule) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(java(rule.pattern)), F.lit(0))
+        found = F.filter(matches, CHECKS[rule.check]) if rule.check else matches
+        tried = text.rlike(rule.hint) if rule.hint else F.lit(True)
+        n = F.coalesce(F.when(tried, F.size(found)), F.lit(0))
+        return F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.token).alias("token"), F.lit(rule.severity).alias("severity"), n.cast("long").alias("n"))
+
+    return F.filter(F.array(*[count(r) for r in rules]), lambda c: c["n"] > 0)
+
+
+def has_severe(text: Column) -> Column:
+    """Whether a text has a severe hit; null and empty texts have none."""
+    return F.size(rule_counts(F.coalesce(text, F.lit("")), rules=SEVERE_RULES)) > 0
 
 
 def _replaced(text: Column, ordered: Column) -> Column:

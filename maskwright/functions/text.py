@@ -12,9 +12,10 @@ TYPE_VERBS = ("type", "enter", "fill", "input", "write", "search")
 SCROLL_VERBS = ("scroll",)
 OPERATIONS = ("click", "type", "press", "scroll", "select", "noop")
 
-_SPLIT = r"(?i)\s*(?:,|;|\bthen\b|\band then\b|\band\b|->|→)\s*"
-_TYPED = r"^(?:type|enter|fill|input|write)\s+(?:in\s+)?[\"']?(.+?)[\"']?\s+(?:in|into|to)\s+(?:the\s+)?(.+)$"
-_SEARCH = r"^search\s+(?:for\s+)?[\"']?(.+?)[\"']?$"
+# The patterns of goals and intents.
+SPLIT = r"(?i)\s*(?:,|;|\bthen\b|\band then\b|\band\b|->|→)\s*"
+TYPED = r"^(?:type|enter|fill|input|write)\s+(?:in\s+)?[\"']?(.+?)[\"']?\s+(?:in|into|to)\s+(?:the\s+)?(.+)$"
+SEARCH = r"^search\s+(?:for\s+)?[\"']?(.+?)[\"']?$"
 
 
 def words(text: Column) -> Column:
@@ -25,7 +26,7 @@ def words(text: Column) -> Column:
 
 def subgoals(goal: Column) -> Column:
     """The parts of a goal, in order; quotes are not looked at."""
-    return F.filter(F.transform(F.split(F.coalesce(goal, F.lit("")), _SPLIT, -1), lambda p: F.btrim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(goal, F.lit("")), SPLIT, -1), lambda p: F.btrim(p)), lambda p: p != "")
 
 
 def intent(subgoal: Column) -> Column:
@@ -35,8 +36,8 @@ def intent(subgoal: Column) -> Column:
     made = lambda op, target, value: F.struct(F.lit(op).alias("op"), target.alias("target"), value.cast("string").alias("value"))
     none, empty = F.lit(None), F.lit("")
     return (
-        F.when(low.rlike(_TYPED), made("type", F.regexp_extract(low, _TYPED, 2), F.regexp_extract(low, _TYPED, 1)))
-        .when(low.rlike(_SEARCH), made("type", F.lit("search"), F.regexp_extract(low, _SEARCH, 1)))
+        F.when(low.rlike(TYPED), made("type", F.regexp_extract(low, TYPED, 2), F.regexp_extract(low, TYPED, 1)))
+        .when(low.rlike(SEARCH), made("type", F.lit("search"), F.regexp_extract(low, SEARCH, 1)))
         .when(first.isin(*SCROLL_VERBS), made("scroll", empty, none))
         .when(first.isin(*TYPE_VERBS), made("type", low, none))
         .when(first.isin(*CLICK_VERBS), made("click", F.regexp_replace(low, r"^\w+\s+", ""), none))
@@ -104,26 +105,52 @@ def normalised(raw: Column) -> Column:
 
 def json_object(text: Column) -> Column:
     """The JSON object of a model's answer, as text: code fences are stripped; if
-    the rest is no object, the first balanced braces that parse. Braces inside
-    strings count like others. Null if there is none. Objects nested to three
-    levels are found by the pattern."""
+    the rest is no object, the first balanced braces of any depth that parse.
+    Braces inside strings count like others. Null if there is none."""
     bare = F.btrim(F.regexp_replace(F.btrim(text), r"(?m)^```(?:json)?|```$", ""))
-    # possessive, so that long texts need neither a deep stack nor more than linear time per opening brace
-    flat = r"\{[^{}]*+\}"
-    two = rf"\{{(?:[^{{}}]++|{flat})*+\}}"
-    three = rf"\{{(?:[^{{}}]++|{two})*+\}}"
-    parses = lambda s: F.try_parse_json(s).isNotNull()
-    whole = F.when(bare.startswith("{") & parses(bare), bare)
-    inside = F.get(F.filter(F.regexp_extract_all(bare, F.lit(three), F.lit(0)), parses), F.lit(0))
-    return F.coalesce(whole, inside)
-
-
-def layout_brief(goal: Column, step: Column, most: Column, title: Column, tokens: Column, actions: Column) -> Column:
-    """A compact rendering of a frame for a model: at most 40 tokens and 80
-    actions, labels of at most 64 characters. ``tokens``: array of token,
-    severity, source and box; ``actions``: of ref, role, label, sensitive and box."""
+    # The parser passes over what follows a value, but not inside another one.
+    parses = lambda s: F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"k":'), s, F.lit("}"))).isNotNull()
+    braces = F.regexp_extract_all(bare, F.lit(r"[{}]"), F.lit(0))
+    gaps = F.split(bare, r"[{}]", -1)
+    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(braces), F.lit(0))), braces, lambda g, b: F.struct(F.length(g).alias("gap"), b.alias("b")))
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] + x["gap"] + 1  # the brace's place, from 1
+        opens = x["b"] == "{"
+        depth = a["depth"] + F.when(opens, 1).otherwise(-1)
+        start = F.when(opens & (a["depth"] == 0), at).otherwise(a["start"])
+        ends = ~opens & (depth == 0) & (a["start"] > 0) & a["found"].isNull()
+        whole = F.when(ends, F.substring(bare, a["start"], at - a["start"] + 1))
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(ends, 0).otherwise(start).alias("start"), F.coalesce(a["found"], F.when(parses(whole), whole)).alias("found"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(None).cast("string").alias("found"))
+    inside = F.aggregate(steps, begin, step, lambda a: a["found"])
+    return F.when(bare.startswith("{") & parses(bare), bare).otherwise(inside)
+
+
+def without_slash(url: Column) -> Column:
+    """An address without the slashes that end it."""
+    return F.rtrim(url, F.lit("/"))
+
+
+def layout_brief(envelope: Column) -> Column:
+    """A compact rendering of an envelope (see ``sources.tables.ENVELOPE``) for a
+    model: at most 40 tokens and 80 actions, JSON labels of at most 64 characters."""
+    # The lines' formats.
     at = lambda b: F.concat_ws(",", b["x"].cast("string"), b["y"].cast("string"))
-    token = lambda t: F.format_string("  %-18s sev%d %s %dx%d  (%s)", t["token"], t["severity"], at(t["box"]), t["box"]["w"], t["box"]["h"], t["source"])
-    action = lambda a: F.concat(F.format_string("  %-10s <%s> %s @%s", a["ref"], a["role"], F.substring(F.to_json(F.array(F.coalesce(a["label"], F.lit("")))), 2, 64), at(a["box"])), F.when(a["sensitive"], " SENSITIVE").otherwise(""))
-    head = F.array(F.concat(F.lit("GOAL: "), goal), F.format_string("STEP: %d of %d", step, most), F.concat(F.lit("PAGE: "), title), F.lit(""))
-    return F.array_join(F.concat(head, F.array(F.format_string("REDACTED REGIONS (%d):", F.size(tokens))), F.transform(F.slice(tokens, 1, 40), token), F.array(F.format_string("ACTIONABLE ELEMENTS (%d):", F.size(actions))), F.transform(F.slice(actions, 1, 80), action)), "\n")
+    none = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    label = lambda c: F.to_json(F.array(F.coalesce(c, F.lit(""))))
+    json_ = lambda c: F.substring(label(c), F.lit(2), F.length(label(c)) - 2)
+    token = lambda t: F.format_string("  %-18s sev%s %s %sx%s  (%s)", t["token"], none(t["severity"]), at(t["box"]), none(t["box"]["w"]), none(t["box"]["h"]), none(t["source"]))
+    action = lambda a: F.concat(F.format_string("  %-10s <%s> %s @%s", a["ref"], none(a["role"]), F.substring(json_(a["label"]), 1, 64), at(a["box"])), F.when(a["sensitive"], " SENSITIVE").otherwise(""))
+    done = lambda h: F.format_string("  step %s: %s -> ok=%s %s", none(h["step"]), F.to_json(h["action"]), F.when(h["ok"], "True").otherwise("False"), F.coalesce(h["code"], F.lit("")))
+    e, listed = envelope, lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    kinds = {"semanticTokens": "array<struct<token:string,label:string,severity:int,source:string,box:struct<x:int,y:int,w:int,h:int>>>", "actionMap": "array<struct<ref:string,role:string,type:string,label:string,sensitive:boolean,box:struct<x:int,y:int,w:int,h:int>>>", "history": "array<struct<step:int,action:struct<op:string,ref:string,text:string>,ok:boolean,code:string>>"}
+    tokens, actions, history = (listed(e[n], k) for n, k in kinds.items())
+    head = F.array(
+        F.concat(F.lit("GOAL: "), none(e["goal"])), F.format_string("STEP: %s of %s", none(e["step"]), none(e["maxSteps"])), F.concat(F.lit("PAGE: "), none(e["pageTitle"])),
+        F.format_string("VIEWPORT: %sx%s css px, dpr %s", none(e["viewport"]["w"]), none(e["viewport"]["h"]), none(e["viewport"]["dpr"])), F.lit(""),
+        F.format_string("REDACTED REGIONS (%d) — values destroyed on-device:", F.size(tokens)),
+    )
+    past = F.when(F.size(history) > 0, F.concat(F.array(F.lit(""), F.lit("HISTORY:")), F.transform(history, done))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(head, F.transform(F.slice(tokens, 1, 40), token), F.array(F.lit(""), F.format_string("ACTIONABLE ELEMENTS (%d):", F.size(actions))), F.transform(F.slice(actions, 1, 80), action), past), "\n")

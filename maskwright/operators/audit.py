@@ -39,6 +39,16 @@ def history_tail(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", rank).where(F.col("_n") <= HISTORY).drop("_n")
 
 
+def loop_status(steps: DataFrame, keys: list[str], order: str, event: str, *, most: int) -> DataFrame:
+    """Per run: steps taken, and status: done, blocked or aborted by the first
+    such event, else budget after ``most`` steps, else running."""
+    ends = F.col(event).isin("done", "blocked", "aborted")
+    over = F.coalesce(F.max(ends.cast("int")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    live = steps.withColumn("_over", over).where("_over = 0")
+    out = live.groupBy(*keys).agg(F.count("*").alias("steps"), F.max(F.when(ends, F.col(event))).alias("_end"))
+    return out.select(*keys, "steps", F.coalesce("_end", F.when(F.col("steps") >= most, "budget").otherwise("running")).alias("status"))
+
+
 def progress(history: DataFrame, keys: list[str], order: str, ok: str) -> DataFrame:
     """``history`` with ``subgoal``, the number of steps done well up to and with each."""
     run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -106,10 +106,11 @@ def plan_steps(goals: DataFrame, elements: DataFrame, keys: list[str], *, steps:
     ``steps`` of them: goals (keys, goal_id, goal) to step, op, ref, text, dy,
     confidence, done. Every subgoal's ranking is made once; a fold over a run's
     subgoals then takes each one's best element that no earlier one took. A
-    run's state is its subgoals times the frame's elements, 250 at most."""
+    run's state is at most ``steps`` elements for each of ``steps`` subgoals."""
     parts = goals.select(*keys, "goal_id", F.posexplode_outer(F.slice(subgoals(F.col("goal")), 1, steps)).alias("n", "subgoal"), F.size(subgoals(F.col("goal"))).alias("all"))
     live = parts.where("subgoal IS NOT NULL").select(*keys, F.struct("goal_id", "n").alias("goal_id"), "subgoal")
-    some = ranked(live, elements, keys, exact=exact).groupBy(*keys, "goal_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref", "score"))).alias("c"))
+    # A run takes at most ``steps`` elements, so no subgoal needs more of its best ones.
+    some = ranked(live, elements, keys, exact=exact).where(F.col("rank") <= steps).groupBy(*keys, "goal_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref", "score"))).alias("c"))
     some = some.select(*keys, F.col("goal_id.goal_id").alias("goal_id"), F.col("goal_id.n").alias("n"), "c")
     per = parts.join(some, [*keys, "goal_id", "n"], "left").withColumn("i", intent(F.col("subgoal")))
     runs = per.groupBy(*keys, "goal_id").agg(F.first("all").alias("all"), F.array_sort(F.collect_list(F.when(F.col("subgoal").isNotNull(), F.struct("n", "i", F.coalesce("c", F.array().cast("array<struct<rank:int,ref:string,score:double>>")).alias("c"))))).alias("s"))
@@ -139,5 +140,27 @@ def plan_steps(goals: DataFrame, elements: DataFrame, keys: list[str], *, steps:
     return d.select(*keys, "goal_id", F.posexplode("d").alias("p", "x")).select(*keys, "goal_id", (F.col("p") + 1).alias("step"), "x.*")
 
 
-def rationale(number: Column, count: Column, subgoal: Column, role: Column, label: Column, total: Column, tokens: Column) -> Column:
-    return F.format_string("Sub-goal %d/%d: “%s”. Grounded to <%s> “%s” (score %.2f). Redactions: %s.", number, count, subgoal, role, label, total, token_counts(tokens))
+def rationale(number: Column, count: Column, subgoal: Column, op: Column, best: Column, elements: Column, tokens: Column) -> Column:
+    """The sentence that explains a decision. ``number`` counts subgoals from 1;
+    ``best``: struct of role, label, sensitive, box and score of the best
+    element left, or null; ``elements``: how many the frame carries; ``tokens``:
+    the tokens of its masked regions."""
+    # The sentences.
+    seen = F.format_string("frame carries %d actionable elements; redactions: %s", elements, token_counts(tokens))
+    note = F.when(best["sensitive"], " Target is a masked field — I can see its token and coordinates but not its contents, and the client will refuse any write to a severity-3 field.").otherwise("")
+    unfounded = F.format_string("Could not ground “%s” on this frame (best candidate “%s” scored %s if any). ", subgoal, F.coalesce(best["label"], F.lit("—")), F.when(best["score"].isNull(), "0.00").otherwise(F.format_string("%.2f", best["score"])))
+    grounded = F.format_string("Sub-goal %d/%d: “%s”. Grounded to <%s> “%s” at %d,%d (score %.2f).", number, count, subgoal, best["role"], best["label"], best["box"]["x"], best["box"]["y"], best["score"])
+    said = (
+        F.when(number > count, F.format_string("All %d sub-goal(s) satisfied. ", count))
+        .when(op == "scroll", F.format_string("Sub-goal %d/%d is a scroll. ", number, count))
+        .when(F.coalesce(best["score"] < LEAST, F.lit(True)), unfounded)
+        .otherwise(F.concat(grounded, note, F.lit(" ")))
+    )
+    return F.concat(said, seen, F.lit("."))
+
+
+def outcome(decision: Column, error: Column, planner: str) -> Column:
+    """struct<status, error> of a back end's answer: 502 where it failed, so that
+    a dead model doesn't look like a privacy failure, else 200."""
+    failed = error.isNotNull() | decision.isNull()
+    return F.struct(F.when(failed, 502).otherwise(200).alias("status"), F.when(failed, F.concat(F.lit(f"{planner} back end failed: "), F.coalesce(error, F.lit("no decision")))).alias("error"))

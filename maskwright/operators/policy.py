@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scan import has_severe, scan_text
+from ..functions.scan import SEVERE_RULES, has_severe, scan_text
 from ..functions.text import payload
 
 # Codes and sentences of the policies.
@@ -24,12 +24,12 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def firewall(attested: Column, sanitised: Column, uniform: Column, image: Column, sha256: Column, metadata: Column, *, strict: bool = False) -> Column:
+def firewall(attested: Column, sanitised: Column, uniform: Column, image: Column, sha256: Column, metadata: Column, *, limit: int | None = None) -> Column:
     """struct<allowed, violations, scanned_chars> of an envelope about to leave.
     ``attested``: whether it has an attestation at all; ``metadata``: its JSON
-    without the image. ``strict`` scans metadata of any length; otherwise those
-    beyond the scan's limit pass unscanned, as the reference semantics have it."""
-    found = scan_text(metadata, limit=None) if strict else scan_text(metadata)
+    without the image, of which any length is scanned unless a ``limit`` is
+    given: a browser's firewall lets metadata of more than 20,000 characters pass."""
+    found = scan_text(metadata, rules=SEVERE_RULES, limit=limit)
     has = F.coalesce(attested, F.lit(False))
     named = F.array_compact(F.array(
         F.when(~(has & _true(sanitised)), MISSING),
@@ -37,7 +37,7 @@ def firewall(attested: Column, sanitised: Column, uniform: Column, image: Column
         F.when(~_true(image.startswith("data:image/webp;base64,")), NOT_ENCODED),
         F.when(has & (F.length(F.coalesce(image, F.lit(""))) > 0) & (F.length(F.coalesce(sha256, F.lit(""))) == 0), UNHASHED),
     ))
-    leaks = F.transform(F.filter(found, lambda h: h["severity"] >= 2), lambda h: F.concat(F.lit(IN_METADATA), h["rule_id"]))
+    leaks = F.transform(found, lambda h: F.concat(F.lit(IN_METADATA), h["rule_id"]))
     violations = F.concat(named, leaks)
     return F.struct((F.size(violations) == 0).alias("allowed"), violations.alias("violations"), F.length(metadata).alias("scanned_chars"))
 
@@ -62,7 +62,7 @@ def server_policy(sanitised: Column, uniform: Column, image: Column, claimed: Co
 
 def write_guard(op: Column, field_severity: Column, text: Column) -> Column:
     """Why an action may not be done; null if it may. Only typing is guarded."""
-    return F.when(op == "type", F.when(F.coalesce(field_severity, F.lit(0)) >= 3, BLOCKED_FIELD).when(has_severe(scan_text(F.coalesce(text, F.lit("")))), BLOCKED_TEXT))
+    return F.when(op == "type", F.when(F.coalesce(field_severity, F.lit(0)) >= 3, BLOCKED_FIELD).when(has_severe(text), BLOCKED_TEXT))
 
 
 def result(op: Column, guard: Column, found: Column, by_point: Column) -> Column:

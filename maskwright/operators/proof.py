@@ -48,11 +48,12 @@ def verification(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.bool_and("uniform").alias("all_uniform"), F.count("*").alias("regions"), F.count_if(~F.col("uniform")).alias("failed"))
 
 
-def attested(df: DataFrame, raw: str, sanitised: str, masks: Column, uniform: Column, now: Column) -> DataFrame:
-    """``df`` with a struct ``attestation`` over the raw and sanitised bytes or text."""
+def attested(df: DataFrame, raw: str, sanitised: str, masks: Column, uniform: Column, now: Column, *, done: Column | None = None) -> DataFrame:
+    """``df`` with a struct ``attestation`` over the raw and sanitised bytes or
+    text; ``done`` says of a row whether it was sanitised at all."""
     size = lambda c: F.octet_length(F.col(c))
     made = F.struct(
-        F.lit(True).alias("sanitized"), F.sha2(F.col(raw).cast("binary"), 256).alias("raw_sha256"), F.sha2(F.col(sanitised).cast("binary"), 256).alias("sanitized_sha256"),
+        (F.lit(True) if done is None else done).alias("sanitized"), F.sha2(F.col(raw).cast("binary"), 256).alias("raw_sha256"), F.sha2(F.col(sanitised).cast("binary"), 256).alias("sanitized_sha256"),
         size(raw).alias("raw_bytes"), size(sanitised).alias("sanitized_bytes"), masks.alias("mask_count"), uniform.alias("all_regions_uniform"), now.alias("produced_at"),
     )
     return df.withColumn("attestation", made)

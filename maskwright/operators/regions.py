@@ -52,10 +52,16 @@ def fuse(dom: DataFrame, visual: DataFrame, surfaces: DataFrame, keys: list[str]
     (covered 0.35 or more, unless ``paranoid``) and are not masked already
     (covered 0.55 or less), as source, token, severity, label, surface, box and
     confidence."""
-    wide = surfaces.where("box.w >= 40 AND box.h >= 14")
-    masked = coverage(visual, dom, keys, "id").withColumnRenamed("covered", "masked").where("masked <= 0.55")
-    on = coverage(masked, wide, keys, "id")
-    kept = first_overlap(on if paranoid else on.where("covered >= 0.35"), wide, keys, "id")
+    wide = surfaces.where("box.w >= 40 AND box.h >= 14").select(*keys, F.col("box").alias("other"), "kind", "seq", F.lit(True).alias("wide"))
+    own = dom.select(*keys, F.col("box").alias("other"), F.lit(None).cast(surfaces.schema["kind"].dataType).alias("kind"), F.lit(None).cast(surfaces.schema["seq"].dataType).alias("seq"), F.lit(False).alias("wide"))
+    # One overlap join against both; what lies under a region is summed by side.
+    pairs = overlapping(visual.select(*keys, "id", "box"), wide.unionByName(own), keys)
+    side = lambda on: F.sum(F.when(F.col("wide") == on, F.col("shared")))
+    sums = pairs.groupBy(*keys, "id").agg(side(True).alias("_on"), side(False).alias("_masked"), F.min_by(F.when(F.col("wide"), F.col("kind")), F.when(F.col("wide"), F.col("seq"))).alias("surface"))
+    whole = G.area(F.col("box"))
+    share = lambda c: F.when(whole == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(c, F.lit(0)) / whole))
+    kept = visual.join(sums, [*keys, "id"], "left").where(share("_masked") <= 0.55)
+    kept = kept if paranoid else kept.where(share("_on") >= 0.35)
     label = F.coalesce(F.concat(F.lit("Unreadable text on <"), F.col("surface"), F.lit(">")), F.lit("Unreadable on-screen text"))
     found = kept.select(*keys, "id", F.lit("gpu-visual").alias("source"), F.lit("[MASK_PII]").alias("token"), F.lit(2).alias("severity"), label.alias("label"), "surface", "box", F.least(F.lit(0.95), F.lit(0.45) + F.col("score") / 6).alias("confidence"))
     own = dom.select(*keys, "id", "source", "token", "severity", "label", F.lit(None).cast("string").alias("surface"), "box", "confidence")
@@ -78,18 +84,20 @@ def deduplicated(regions: Column) -> Column:
 def frame_offsets(frames: DataFrame, *, depth: int = 6) -> DataFrame:
     """Frames (id, parent null for tops, box in the parent) with their offset in
     the top frame, their visible window and depth; frames deeper than ``depth``
-    and those whose window has no area are left out. One join a level, on the
-    parent's id; a level's rows are only its own frames."""
-    window = F.struct(F.col("box.x").alias("x"), F.col("box.y").alias("y"), F.col("box.w").alias("w"), F.col("box.h").alias("h"))
-    level = frames.where("parent IS NULL").select("id", F.col("box.x").alias("ox"), F.col("box.y").alias("oy"), window.alias("clip"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        moved = G.box(F.col("ox") + F.col("box.x"), F.col("oy") + F.col("box.y"), F.col("box.w"), F.col("box.h"))
-        below = frames.withColumnRenamed("id", "child").join(level, F.col("parent") == F.col("id"))
-        below = below.select(F.col("child").alias("id"), moved.alias("m"), "clip").withColumn("c", G.intersection(F.col("m"), F.col("clip"))).where("c.w > 0 AND c.h > 0")
-        level = below.select("id", F.col("m.x").alias("ox"), F.col("m.y").alias("oy"), F.col("c").alias("clip"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    and those whose window has no area are left out. A recursive query: each step
+    joins the last level's frames with theirs on the parent's id."""
+    flat = frames.select("id", "parent", "box.x", "box.y", "box.w", "box.h")
+    x, y = "greatest(t.cx, t.ox + f.x)", "greatest(t.cy, t.oy + f.y)"
+    w, h = f"least(t.cx + t.cw, t.ox + f.x + f.w) - {x}", f"least(t.cy + t.ch, t.oy + f.y + f.h) - {y}"
+    found = frames.sparkSession.sql(
+        f"""WITH RECURSIVE t(id, ox, oy, cx, cy, cw, ch, depth) AS (
+          SELECT id, x, y, x, y, w, h, 0 FROM {{f}} WHERE parent IS NULL
+          UNION ALL SELECT f.id, t.ox + f.x, t.oy + f.y, {x}, {y}, {w}, {h}, t.depth + 1
+          FROM t JOIN {{f}} f ON f.parent = t.id WHERE t.depth < {depth} AND {w} > 0 AND {h} > 0)
+        SELECT id, ox, oy, named_struct('x', cx, 'y', cy, 'w', cw, 'h', ch) AS clip, depth FROM t""",
+        f=flat,
+    )
+    return found
 
 
 def hit_test(points: DataFrame, boxes: DataFrame, keys: list[str], id_: str, *, cell: int = CELL) -> DataFrame:
@@ -101,7 +109,26 @@ def hit_test(points: DataFrame, boxes: DataFrame, keys: list[str], id_: str, *,
     return points.join(top, [*keys, id_], "left")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], *, name: str = "seq", most: int | None = None) -> DataFrame:
-    """Rows numbered from 1 in each group; at most ``most`` of them."""
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return out if most is None else out.where(F.col(name) <= most)
+def gathered(*frames: DataFrame) -> DataFrame:
+    """The regions of several frames or lenses as one table; columns that one lacks are null."""
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def counts(regions: DataFrame, keys: list[str]) -> DataFrame:
+    """Per frame: regions, severe ones (severity 3), and by source."""
+    by = [F.count_if(F.col("source") == s).alias(n) for s, n in (("dom-field", "fields"), ("dom-text", "texts"), ("gpu-visual", "visual"))]
+    return regions.groupBy(*keys).agg(F.count("*").alias("regions"), F.count_if(F.col("severity") >= 3).alias("severe"), *by)
+
+
+def found_elements(actions: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
+    """Actions with the element that their ref names in their frame, ``owned``
+    false where none does. Elements of a frame are few; refs are unique there."""
+    return actions.join(elements.withColumn("owned", F.lit(True)), [*keys, "ref"], "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+
+
+def with_proofs(regions: Column, proofs: Column) -> Column:
+    """Array of (region, proof) by position: a region beyond the last proof has none."""
+    return F.transform(regions, lambda r, i: F.struct(r.alias("region"), F.get(proofs, i).alias("proof")))

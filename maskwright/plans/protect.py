@@ -10,13 +10,19 @@ from ..operators import proof, regions, vision
 from .settings import Settings
 
 
-def protect_texts(df: DataFrame, text: str, *, now, limit: int | None = 20_000) -> DataFrame:
+def protect_texts(df: DataFrame, text: str, *, now, limit: int | None = None) -> DataFrame:
     """Scan, mask, re-scan and attest texts: adds hits, masked, remaining (hits
-    left after masking) and attestation. One projection, no shuffle."""
-    found = df.withColumn("hits", scan_text(F.col(text), limit=limit))
-    masked = found.withColumn("masked", redact(F.col(text), F.col("hits")))
-    left = masked.withColumn("remaining", F.size(scan_text(F.col("masked"), limit=limit)))
-    return proof.attested(left, text, "masked", F.size("hits"), F.col("remaining") == 0, now)
+    left after masking) and attestation. One projection, no shuffle.
+
+    Texts of any length are scanned, unless a ``limit`` is given: longer ones,
+    and nulls, are not, so their hits, masked and remaining are null and their
+    attestation says neither sanitised nor uniform.
+    """
+    scanned = F.col(text).isNotNull() if limit is None else F.coalesce(F.length(text) <= limit, F.lit(False))
+    found = df.withColumn("hits", F.when(scanned, scan_text(F.col(text))))
+    masked = found.withColumn("masked", F.when(scanned, redact(F.col(text), F.col("hits"))))
+    left = masked.withColumn("remaining", F.when(scanned, F.size(scan_text(F.col("masked")))))
+    return proof.attested(left, text, "masked", F.when(scanned, F.size("hits")), F.coalesce(F.col("remaining") == 0, F.lit(False)), now, done=scanned)
 
 
 def visual_regions(pixels: DataFrame, keys: list[str], width: int, height: int, settings: Settings) -> DataFrame:

@@ -16,7 +16,8 @@ from .functions.checksums import verhoeff
 from .functions.checksums import VERHOEFF_D, VERHOEFF_P
 from .functions.rules import SCAN_CHARS, TEXT_RULES
 from .operators import audit, pages, planner, policy, proof, regions, vision
-from .sources.tables import envelopes, table
+from .plans.protect import protect_texts
+from .sources.tables import envelope, envelopes, metadata, table
 from .streaming import gather
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +65,9 @@ def _found(rule: str, t: str) -> str:
 
 
 def _all_counts(source: str, t: str = "text") -> str:
-    """rule_id, severity, n and keys for texts within the scan's limit."""
+    """rule_id, severity, n and keys."""
     parts = [f"SELECT *, '{r.id}' AS rule_id, '{r.token}' AS token, {r.severity} AS severity, len({_found(r.id, t)}) AS n FROM s" for r in TEXT_RULES]
-    return f"WITH s AS (SELECT * FROM ({source}) WHERE length({t}) BETWEEN 1 AND {SCAN_CHARS}), h AS ({' UNION ALL '.join(parts)})"
+    return f"WITH s AS (SELECT * FROM ({source}) WHERE length({t}) > 0), h AS ({' UNION ALL '.join(parts)})"
 
 
 # ---- scanning ----
@@ -77,17 +78,18 @@ _TEXTS = "SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'co
 @query(_all_counts(_TEXTS) + " SELECT source, rule_id, CAST(sum(n) AS BIGINT) AS hits FROM h WHERE n > 0 GROUP BY ALL")
 def rule_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(c).alias("text")) for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))]
-    return scan.hits(texts[0].union(texts[1]).union(texts[2]), "text", "source").groupBy("source", "rule_id").agg(F.count("*").alias("hits"))
+    found = texts[0].union(texts[1]).union(texts[2]).select("source", F.inline(scan.rule_counts(F.col("text"))))
+    return found.groupBy("source", "rule_id").agg(F.sum("n").alias("hits"))
 
 
 _CARD = next(r for r in TEXT_RULES if r.id == "card").pattern
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_CARD}')) AS candidates, len({_found('card', 'text')}) AS valid FROM documents WHERE length(text) <= {SCAN_CHARS} AND len(regexp_extract_all(text, '{_CARD}')) > 0")
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_CARD}')) AS candidates, len({_found('card', 'text')}) AS valid FROM documents WHERE len(regexp_extract_all(text, '{_CARD}')) > 0")
 def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.rules import java
 
-    d = table(spark, sf_dir, "documents").where(F.length("text") <= SCAN_CHARS)
+    d = table(spark, sf_dir, "documents")
     m = F.regexp_extract_all("text", F.lit(java(_CARD)), F.lit(0))
     d = d.select("doc_id", F.size(m).cast("long").alias("candidates"), F.size(F.filter(m, scan.CHECKS["card"])).cast("long").alias("valid"))
     return d.where("candidates > 0")
@@ -103,7 +105,7 @@ def _offsets_sql(rule: str) -> str:
     r = next(r for r in TEXT_RULES if r.id == rule)
     valid = f"length({_digits('m')}) BETWEEN 13 AND 19 AND {_luhn(_digits('m'))}" if r.check else "true"
     return f"""SELECT doc_id, '{rule}' AS rule_id, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS index, CAST(length(m) AS INTEGER) AS length, m AS text
-      FROM (SELECT doc_id, ms, p, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{r.pattern}') AS ms, regexp_split_to_array(text, '{r.pattern}') AS p FROM documents WHERE length(text) <= {SCAN_CHARS})) WHERE {valid}"""
+      FROM (SELECT doc_id, ms, p, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{r.pattern}') AS ms, regexp_split_to_array(text, '{r.pattern}') AS p FROM documents)) WHERE {valid}"""
 
 
 @query(_offsets_sql("card") + " UNION ALL " + _offsets_sql("email"))
@@ -131,19 +133,19 @@ def rescan_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_all_counts("SELECT doc_id, text FROM documents") + " SELECT doc_id, CAST(max(severity) AS INTEGER) AS severity, CAST(sum(n) AS BIGINT) AS hits FROM h WHERE n > 0 GROUP BY doc_id")
 def severity_max_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("h")
-    d = table(spark, sf_dir, "documents").select("doc_id", scan.scan_text(F.col("text")).alias("h")).where(F.size("h") > 0)
-    return d.select("doc_id", F.array_max(F.transform(h, lambda x: x["severity"])).alias("severity"), F.size(h).cast("long").alias("hits"))
+    d = table(spark, sf_dir, "documents").select("doc_id", scan.rule_counts(F.col("text")).alias("h")).where(F.size("h") > 0)
+    return d.select("doc_id", F.array_max(F.transform(h, lambda x: x["severity"])).alias("severity"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("hits"))
 
 
 @query(_all_counts("SELECT doc_id, text FROM documents") + ", d AS (SELECT doc_id, sum(n) > 0 AS hit FROM h GROUP BY doc_id) SELECT quality, hit, count(*) AS docs FROM d JOIN labels USING (doc_id) GROUP BY ALL")
 def quality_by_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.length("text").between(1, SCAN_CHARS)).select("doc_id", (F.size(scan.scan_text(F.col("text"))) > 0).alias("hit"))
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", (F.size(scan.rule_counts(F.col("text"))) > 0).alias("hit"))
     return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "hit").agg(F.count("*").alias("docs"))
 
 
 @query(_all_counts("SELECT doc_id, lang, source, text FROM documents") + " SELECT lang, source, CAST(sum(n) AS BIGINT) AS hits FROM h WHERE n > 0 GROUP BY ALL")
 def hits_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.hits(table(spark, sf_dir, "documents"), "text", "lang", "source").groupBy("lang", "source").agg(F.count("*").alias("hits"))
+    return table(spark, sf_dir, "documents").select("lang", "source", F.inline(scan.rule_counts(F.col("text")))).groupBy("lang", "source").agg(F.sum("n").alias("hits"))
 
 
 @query(f"SELECT CAST(count(*) FILTER (length(text) > {SCAN_CHARS}) AS BIGINT) AS over_limit, CAST(sum(len({_found('card', 'text')})) FILTER (length(text) <= {SCAN_CHARS}) AS BIGINT) AS within_limit_hits, CAST(sum(len({_found('card', 'text')})) AS BIGINT) AS all_hits FROM documents")
@@ -183,7 +185,7 @@ def page_anchors_action_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.text_nodes(table(spark, sf_dir, "pages"), "page_id", "html")
+    return pages.text_nodes(table(spark, sf_dir, "pages"), "page_id", "html").where("visible").select("page_id", "seq", "parent", "text")
 
 
 @query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path, regexp_matches(url, '^(chrome|edge|about|chrome-extension):') AS internal FROM pages")
@@ -412,7 +414,7 @@ _LEAKS = "list_concat(" * (len(_SEVERE) - 1) + ", ".join([f"list_transform({_fou
 
 
 @query(f"""WITH e AS (SELECT doc_id, text, doc_id % 11 <> 0 AS attested, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 5 <> 0 END AS san, doc_id % 3 <> 0 AS uni, CASE WHEN doc_id % 4 = 0 THEN 'data:image/png;base64,AA' ELSE 'data:image/webp;base64,AA' END AS image, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'ab' END AS sha FROM documents),
-v AS (SELECT doc_id, length(text) AS scanned, list_concat(list_filter([CASE WHEN NOT (attested AND coalesce(san, false)) THEN 'MISSING_ATTESTATION' END, CASE WHEN attested AND NOT uni THEN 'REDACTION_NOT_VERIFIED' END, CASE WHEN NOT starts_with(image, 'data:image/webp;base64,') THEN 'IMAGE_NOT_ENCLAVE_ENCODED' END, CASE WHEN attested AND sha = '' THEN 'IMAGE_UNHASHED' END], lambda x: x IS NOT NULL), CASE WHEN length(text) BETWEEN 1 AND {SCAN_CHARS} THEN {_LEAKS} ELSE [] END) AS violations FROM e)
+v AS (SELECT doc_id, length(text) AS scanned, list_concat(list_filter([CASE WHEN NOT (attested AND coalesce(san, false)) THEN 'MISSING_ATTESTATION' END, CASE WHEN attested AND NOT uni THEN 'REDACTION_NOT_VERIFIED' END, CASE WHEN NOT starts_with(image, 'data:image/webp;base64,') THEN 'IMAGE_NOT_ENCLAVE_ENCODED' END, CASE WHEN attested AND sha = '' THEN 'IMAGE_UNHASHED' END], lambda x: x IS NOT NULL), {_LEAKS}) AS violations FROM e)
 SELECT doc_id, len(violations) = 0 AS allowed, coalesce(array_to_string(violations, ','), '') AS violations, CAST(scanned AS INTEGER) AS scanned FROM v""")
 def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
@@ -434,7 +436,7 @@ def server_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("item_id", "v.status", F.array_join("v.reasons", ",").alias("reasons"), "v.sha256", "v.bytes")
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'BLOCKED_CREDENTIAL_FIELD' WHEN length(text) BETWEEN 1 AND {SCAN_CHARS} AND len({_LEAKS}) > 0 THEN 'BLOCKED_PII_PAYLOAD' END AS code FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'BLOCKED_CREDENTIAL_FIELD' WHEN len({_LEAKS}) > 0 THEN 'BLOCKED_PII_PAYLOAD' END AS code FROM documents")
 def write_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     guard = policy.write_guard(F.when(k % 4 == 0, "press").otherwise("type"), F.when(k % 3 == 0, 3).otherwise(1), F.col("text"))
@@ -451,7 +453,7 @@ def _words_sql(t: str) -> str:
     return f"list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: NOT list_contains({_STOP}, w))"
 
 
-_PARTS = r"list_filter(list_transform(regexp_split_to_array(goal, '(?i)\s*(?:,|;|\bthen\b|\band then\b|\band\b|->|→)\s*'), lambda p: trim(p)), lambda p: p <> '')"
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(goal, '{text.SPLIT}'), lambda p: trim(p)), lambda p: p <> '')"
 
 
 def _goals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,8 +469,7 @@ def subgoal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("n", F.col("n").cast("long"))
 
 
-_TYPED = r"""^(?:type|enter|fill|input|write)\s+(?:in\s+)?["'']?(.+?)["'']?\s+(?:in|into|to)\s+(?:the\s+)?(.+)$"""
-_SEARCH = r"""^search\s+(?:for\s+)?["'']?(.+?)["'']?$"""
+_TYPED, _SEARCH = (p.replace("'", "''") for p in (text.TYPED, text.SEARCH))
 
 
 @query(f"""WITH s AS (SELECT p_partkey, unnest({_PARTS}) AS subgoal, unnest(range(0, len({_PARTS}))) AS n FROM (SELECT p_partkey, {_GOAL} AS goal FROM part)),
@@ -518,6 +519,16 @@ def rank_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("page_id", "subgoal", "ref", F.round("score", 6).alias("score"))
 
 
+@query(SQL["element_score_exact"].replace("WITH a AS", "WITH e AS (WITH a AS", 1) + """)
+SELECT page_id, 'f0:' || seq AS ref, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, seq) AS r FROM e) WHERE r = 1""")
+def rank_top1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best element of each page's first subgoal, by whole words only."""
+    first = F.regexp_extract_all("html", F.lit(r'<a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    g = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("goal_id"), F.concat(F.lit("click "), F.coalesce(F.get(first, F.lit(1)), F.lit("x"))).alias("subgoal"))
+    best = planner.ranked(g, _elements(spark, sf_dir).withColumn("role", F.lit("a")), ["page_id"], exact=True).where("rank = 1")
+    return best.select("page_id", "ref", F.round("score", 6).alias("score"))
+
+
 @query()
 def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.plan_steps(_page_goals(spark, sf_dir), _elements(spark, sf_dir), ["page_id"], steps=4)
@@ -599,11 +610,129 @@ def rolling_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT event_type, user_id % 2 = 0 AS even, count(*) AS n FROM events GROUP BY ALL")
+_LENSES = ("dom-field", "dom-text", "gpu-visual")
+
+
+@query(f"""WITH r AS (SELECT frame, {list(_LENSES)}[CAST(id % 3 + 1 AS INTEGER)] AS source, id % 3 + 1 AS severity FROM ({_BOXES}))
+SELECT frame, count(*) AS regions, count(*) FILTER (severity >= 3) AS severe, count(*) FILTER (source = 'dom-field') AS fields, count(*) FILTER (source = 'dom-text') AS texts, count(*) FILTER (source = 'gpu-visual') AS visual FROM r GROUP BY frame""")
 def masks_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 2 == 0).alias("even")).agg(F.count("*").alias("n"))
+    """Regions of three lenses gathered and counted per frame."""
+    b = _boxes(spark, sf_dir)
+    lens = lambda i: b.where(F.col("id") % 3 == i).select("frame", "id", F.lit(_LENSES[i]).alias("source"), F.lit(i + 1).alias("severity"))
+    return regions.counts(regions.gathered(lens(0), lens(1).withColumn("index", F.lit(0)), lens(2)), ["frame"])
+
+
+@query("SELECT event_id, 'f0:' || user_id % 40 AS ref, e.label, e.label IS NOT NULL AS owned FROM events LEFT JOIN (SELECT n_nationkey, n_name AS label FROM nation) e ON e.n_nationkey = user_id % 40")
+def ref_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = lambda c: F.concat(F.lit("f0:"), c.cast("string"))
+    actions = table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("frame"), ref(F.col("user_id") % 40).alias("ref"))
+    elements = table(spark, sf_dir, "nation").select(F.lit(0).alias("frame"), ref(F.col("n_nationkey")).alias("ref"), F.col("n_name").alias("label"))
+    return regions.found_elements(actions, elements, ["frame"]).select("event_id", "ref", "label", "owned")
+
+
+@query("SELECT o_orderkey, CAST(i AS INTEGER) AS n, 'T' || i AS token, CASE WHEN i < o_custkey % 4 THEN (o_orderkey + i) % 2 = 0 END AS uniform FROM orders, range(0, 5) r(i) WHERE i < o_orderkey % 5")
+def region_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their proofs by position; some frames have fewer proofs than regions."""
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < n)
+    r = F.transform(upto(F.col("o_orderkey") % 5), lambda i: F.struct(F.concat(F.lit("T"), i.cast("string")).alias("token")))
+    p = F.transform(upto(F.col("o_custkey") % 4), lambda i: F.struct(((F.col("o_orderkey") + i) % 2 == 0).alias("uniform")))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(regions.with_proofs(r, p)).alias("n", "x"))
+    return found.select("o_orderkey", "n", "x.region.token", "x.proof.uniform")
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'signup' THEN 'done' ELSE 'step' END AS e FROM events),
+o AS (SELECT *, coalesce(max(CASE WHEN e <> 'step' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM s)
+SELECT user_id, count(*) AS steps, coalesce(max(CASE WHEN e <> 'step' THEN e END), CASE WHEN count(*) >= 8 THEN 'budget' ELSE 'running' END) AS status FROM o WHERE over = 0 GROUP BY user_id""")
+def loop_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.when(F.col("event_type") == "error", "blocked").when(F.col("event_type") == "signup", "done").otherwise("step")
+    return audit.loop_status(table(spark, sf_dir, "events").select("user_id", "event_id", e.alias("e")), ["user_id"], "event_id", "e", most=8)
+
+
+# ---- planted texts: every rule has hits ----
+
+_PLANTED = {
+    "aadhaar": "2345 6789 0124", "pan": "ABCDE1234F", "card": "4111-1111-1111-1111", "ifsc": "HDFC0A1B2C3", "gstin": "22ABCDE1234F1Z5", "passport": "K1234567", "email": "a.b@mail.example.org", "phone_in": "+91 9876543210",
+    "upi": "some.one@okaxis", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "apikey": "tok_ABCDEFGH12345678", "geo": "12.345 N, 77.123456 E", "dob": "31/12/1999", "none": "2345 6789 0123",
+}
+_PLANT = list(_PLANTED.values())
+
+
+def _planted_sql(keys: str = "doc_id") -> str:
+    return f"SELECT {keys}, substr(text, 1, 200) || ' ' || ({_PLANT})[CAST(doc_id % {len(_PLANT)} + 1 AS INTEGER)] || ' end' AS text FROM documents"
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.substring("text", 1, 200), F.lit(" "), F.get(F.array(*map(F.lit, _PLANT)), F.col("doc_id") % len(_PLANT)), F.lit(" end"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
+
+
+@query(_all_counts(_planted_sql()) + " SELECT rule_id, token, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS docs FROM h WHERE n > 0 GROUP BY ALL")
+def planted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _planted(spark, sf_dir).select("doc_id", F.inline(scan.rule_counts(F.col("text"))))
+    return found.groupBy("rule_id", "token").agg(F.sum("n").alias("hits"), F.count("*").alias("docs"))
+
+
+@query(_all_counts(_planted_sql()) + """, c AS (SELECT doc_id, sum(n) AS n FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS INTEGER) AS hits, CAST(0 AS INTEGER) AS remaining, true AS sanitized, true AS uniform, sha256(d.text) AS raw_sha256, CAST(strlen(d.text) AS INTEGER) AS raw_bytes, coalesce(c.n, 0) > 0 AS changed FROM (""" + _planted_sql() + ") d LEFT JOIN c USING (doc_id)")
+def protected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = protect_texts(_planted(spark, sf_dir), "text", now=F.lit(None).cast("timestamp"))
+    a = F.col("attestation")
+    return d.select("doc_id", F.size("hits").alias("hits"), "remaining", a["sanitized"].alias("sanitized"), a["all_regions_uniform"].alias("uniform"), a["raw_sha256"].alias("raw_sha256"), a["raw_bytes"].alias("raw_bytes"), (F.col("masked") != F.col("text")).alias("changed"))
+
+
+@query("SELECT doc_id, 'see ' || CASE doc_id % 3 WHEN 0 THEN '[MASK_EMAIL]' WHEN 1 THEN '[MASK_PAN] and [MASK_DOB]' ELSE 'nothing' END || ' end' AS label FROM documents")
+def scrubbed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    raw = F.concat(F.lit("  see \n "), F.when(k == 0, "x.y@example.org").when(k == 1, "ABCDE1234F \t and 01-02-1990").otherwise("nothing"), F.lit("  end "))
+    return table(spark, sf_dir, "documents").select("doc_id", scan.scrub(raw).alias("label"))
+
+
+# ---- explanations and envelopes ----
+
+
+@query("""WITH d AS (SELECT event_id, CAST(event_id % 4 + 1 AS INTEGER) AS number, 3 AS count, CASE WHEN user_id % 5 = 0 THEN 'scroll' ELSE 'click' END AS op, CASE WHEN user_id % 7 <> 0 THEN (event_id % 10) / 4.0::DOUBLE END AS score, user_id % 2 = 0 AS sensitive, CAST(user_id % 90 AS INTEGER) AS x FROM events)
+SELECT event_id, CASE WHEN number > count THEN 'All 3 sub-goal(s) satisfied. ' WHEN op = 'scroll' THEN 'Sub-goal ' || number || '/3 is a scroll. '
+  WHEN coalesce(score < 0.75, true) THEN 'Could not ground “open it” on this frame (best candidate “' || CASE WHEN score IS NULL THEN '—' ELSE 'It' END || '” scored ' || coalesce(printf('%.2f', score), '0.00') || ' if any). '
+  ELSE 'Sub-goal ' || number || '/3: “open it”. Grounded to <a> “It” at ' || x || ',7 (score ' || printf('%.2f', score) || ').' || CASE WHEN sensitive THEN ' Target is a masked field — I can see its token and coordinates but not its contents, and the client will refuse any write to a severity-3 field.' ELSE '' END || ' ' END
+  || 'frame carries 12 actionable elements; redactions: [A]×2, [B]×1.' AS rationale FROM d""")
+def rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    best = F.when(u % 7 != 0, F.struct(F.lit("a").alias("role"), F.lit("It").alias("label"), (u % 2 == 0).alias("sensitive"), geometry.box(u % 90, F.lit(7), F.lit(5), F.lit(5)).alias("box"), ((e % 10) / 4.0).alias("score")))
+    said = planner.rationale((e % 4 + 1).cast("int"), F.lit(3), F.lit("open it"), F.when(u % 5 == 0, "scroll").otherwise("click"), best, F.lit(12), F.array(*map(F.lit, ("[B]", "[A]", "[A]"))))
+    return table(spark, sf_dir, "events").select("event_id", said.alias("rationale"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 502 ELSE 200 END AS status, CASE event_id % 5 WHEN 0 THEN 'model back end failed: timeout' WHEN 1 THEN 'model back end failed: no decision' END AS error FROM events")
+def planner_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    made = planner.outcome(F.when(k != 1, "noop"), F.when(k == 0, "timeout"), "model")
+    return table(spark, sf_dir, "events").select("event_id", made.alias("o")).select("event_id", "o.status", "o.error")
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    history = F.transform(F.filter(F.sequence(F.lit(1), F.lit(9)), lambda i: i <= e % 10), lambda i: F.struct(i.alias("step"), F.struct(F.lit("click").alias("op"), F.concat(F.lit("f0:"), i.cast("string")).alias("ref"), F.lit(None).cast("string").alias("text")).alias("action"), (i % 2 == 0).alias("ok"), F.lit(None).cast("string").alias("code")))
+    box = geometry.box(F.lit(1), F.lit(2), F.lit(30), F.lit(40))
+    found = F.array(F.struct(F.lit("[MASK_PII]").alias("token"), F.lit("secret value").alias("value"), F.lit("x").alias("label"), F.lit(2).alias("severity"), F.lit("dom-text").alias("source"), box.alias("box")))
+    actions = F.array(F.struct(F.lit("f0:1").alias("ref"), F.lit("a").alias("role"), F.lit(None).cast("string").alias("type"), F.col("event_type").alias("label"), (e % 2 == 0).alias("sensitive"), box.alias("box")))
+    made = envelope("frames/1", F.lit("do it"), (e % 9).cast("int"), F.lit(8), F.lit("data:image/webp;base64,AA"), F.struct(F.lit(640).alias("w"), F.lit(400).alias("h"), F.lit(1.5).alias("dpr")), F.when(e % 3 != 0, "Home"), found, actions, history, F.struct(F.lit(True).alias("sanitized")))
+    return table(spark, sf_dir, "events").select("event_id", made.alias("envelope"))
+
+
+
+
+def _history_sql(entry: str) -> str:
+    return f"list_transform(range(greatest(1, event_id % 10 - 5), event_id % 10 + 1), lambda i: {entry})"
+
+
+@query("SELECT event_id, '{\"protocol\":\"frames/1\",\"goal\":\"do it\",\"step\":' || event_id % 9 || ',\"maxSteps\":8,\"viewport\":{\"w\":640,\"h\":400,\"dpr\":1.5},\"pageTitle\":\"' || CASE WHEN event_id % 3 <> 0 THEN 'Home' ELSE '' END || '\",\"semanticTokens\":[{\"token\":\"[MASK_PII]\",\"label\":\"x\",\"severity\":2,\"source\":\"dom-text\",\"box\":{\"x\":1,\"y\":2,\"w\":30,\"h\":40}}],\"actionMap\":[{\"ref\":\"f0:1\",\"role\":\"a\",\"type\":null,\"label\":\"' || event_type || '\",\"sensitive\":' || (event_id % 2 = 0) || ',\"box\":{\"x\":1,\"y\":2,\"w\":30,\"h\":40}}],\"history\":[' || array_to_string(" + _history_sql("'{\"step\":' || i || ',\"action\":{\"op\":\"click\",\"ref\":\"f0:' || i || '\",\"text\":null},\"ok\":' || (i % 2 = 0) || ',\"code\":null}'") + ", ',') || '],\"attestation\":{\"sanitized\":true}}' AS metadata FROM events")
+def envelope_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _envelopes(spark, sf_dir).select("event_id", metadata(F.col("envelope")).alias("metadata"))
 
 
+@query("SELECT event_id, 'GOAL: do it' || chr(10) || 'STEP: ' || event_id % 9 || ' of 8' || chr(10) || 'PAGE: ' || CASE WHEN event_id % 3 <> 0 THEN 'Home' ELSE '' END || chr(10) || 'VIEWPORT: 640x400 css px, dpr 1.5' || chr(10) || chr(10) || 'REDACTED REGIONS (1) — values destroyed on-device:' || chr(10) || '  [MASK_PII]         sev2 1,2 30x40  (dom-text)' || chr(10) || chr(10) || 'ACTIONABLE ELEMENTS (1):' || chr(10) || '  f0:1       <a> \"' || event_type || '\" @1,2' || CASE WHEN event_id % 2 = 0 THEN ' SENSITIVE' ELSE '' END || CASE WHEN event_id % 10 > 0 THEN chr(10) || chr(10) || 'HISTORY:' || chr(10) || array_to_string(" + _history_sql("'  step ' || i || ': {\"op\":\"click\",\"ref\":\"f0:' || i || '\"} -> ok=' || CASE WHEN i % 2 = 0 THEN 'True' ELSE 'False' END || ' '") + ", chr(10)) ELSE '' END AS brief FROM events")
+def layout_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _envelopes(spark, sf_dir).select("event_id", text.layout_brief(F.col("envelope")).alias("brief"))
 
 
 # ---- records at the edge ----

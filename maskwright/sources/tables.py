@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Envelope fields at the JSON edge; anything absent is null.
@@ -25,6 +25,21 @@ def envelopes(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("envelope", F.from_json(column, ENVELOPE, {"mode": "PERMISSIVE"}))
 
 
+def envelope(protocol: str, goal: Column, step: Column, max_steps: Column, image: Column, viewport: Column, title: Column, regions: Column, actions: Column, history: Column, attestation: Column) -> Column:
+    """The struct of an outgoing envelope. ``regions`` travel as tokens, without
+    any value; of the history the last six entries."""
+    token = lambda r: F.struct(r["token"].alias("token"), r["label"].alias("label"), r["severity"].alias("severity"), r["source"].alias("source"), r["box"].alias("box"))
+    return F.struct(
+        F.lit(protocol).alias("protocol"), goal.alias("goal"), step.alias("step"), max_steps.alias("maxSteps"), image.alias("image"), viewport.alias("viewport"), F.coalesce(title, F.lit("")).alias("pageTitle"),
+        F.transform(regions, token).alias("semanticTokens"), actions.alias("actionMap"), F.slice(history, F.greatest(F.size(history) - 5, F.lit(1)), 6).alias("history"), attestation.alias("attestation"),
+    )
+
+
+def metadata(envelope: Column) -> Column:
+    """An envelope's JSON without its image, nulls included: what a firewall scans."""
+    return F.to_json(envelope.dropFields("image"), {"ignoreNullFields": "false"})
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image files as path, length and content."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")

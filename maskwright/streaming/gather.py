@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed value: how long replies of a scan are waited for.
 DEADLINE_MS = 400
+#: How long after that a closed scan is remembered, so that its late replies are dropped.
+KEPT_MS = 60_000
+#: Entries of a run's trace, and how many of the last keep their image.
+TRACE, IMAGES = 24, 3
 
 
 def gathered_batch(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS) -> DataFrame:
@@ -28,18 +33,22 @@ def gathered_batch(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS) -> Dat
     return kept.withColumn("complete", F.col("replies") >= F.col("expected"))
 
 
-def gathered_stream(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS) -> DataFrame:
+def gathered_stream(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS, kept_ms: int = KEPT_MS) -> DataFrame:
     """The streaming form: state per scan holds the counters; a scan is put out
     when complete, or partial when the watermark passes its deadline. Replies
-    that come later than that find a closed scan and are dropped."""
+    that come later than that find a closed scan and are dropped; a closed scan
+    is forgotten ``kept_ms`` after its deadline, in the watermark's time."""
     timed = replies.withWatermark("ts", f"{deadline_ms} milliseconds")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, expected, nodes, first, closed = state.get if state.exists else (0, 1, 0, None, False)
         if state.hasTimedOut:
-            state.remove()
-            if not closed:
-                yield pd.DataFrame({"scan_id": [key[0]], "replies": [n], "expected": [expected], "nodes": [nodes], "complete": [False]})
+            if closed:
+                state.remove()
+                return
+            yield pd.DataFrame({"scan_id": [key[0]], "replies": [n], "expected": [expected], "nodes": [nodes], "complete": [False]})
+            state.update((n, expected, nodes, first, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + kept_ms)
             return
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
         for ts, children, more in zip(rows["ts"], rows["children"], rows["nodes"], strict=True):
@@ -52,12 +61,31 @@ def gathered_stream(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS) -> Da
             if closed:
                 yield pd.DataFrame({"scan_id": [key[0]], "replies": [n], "expected": [expected], "nodes": [nodes], "complete": [True]})
         state.update((n, expected, nodes, first, closed))
-        state.setTimeoutTimestamp(max(first + deadline_ms, state.getCurrentWatermarkMs()) + 1)
+        state.setTimeoutTimestamp(max(first + deadline_ms, state.getCurrentWatermarkMs()) + (kept_ms if closed else 1))
 
     kind = replies.schema["scan_id"].dataType.simpleString()
     return timed.groupBy("scan_id").applyInPandasWithState(step, f"scan_id {kind}, replies long, expected long, nodes long, complete boolean", "n long, expected long, nodes long, first long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def traced_stream(entries: DataFrame) -> DataFrame:
+    """The streaming form of ``audit.trace_ring``: entries (run_id, seq, note,
+    image) in; after each micro-batch, for each run that it touched, the run's
+    last entries (run_id, seq, note, image), images only in the newest ones.
+    A run's state is the entries it puts out, no more."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        new = pd.concat(list(frames))
+        held += [[int(s), None if pd.isna(n) else n, None if pd.isna(i) else i] for s, n, i in zip(new["seq"], new["note"], new["image"], strict=True)]
+        held = sorted(held, key=lambda e: e[0])[-TRACE:]
+        held = [[s, n, i if k >= len(held) - IMAGES else None] for k, (s, n, i) in enumerate(held)]
+        state.update((json.dumps(held),))
+        yield pd.DataFrame({"run_id": [key[0]] * len(held), "seq": [e[0] for e in held], "note": [e[1] for e in held], "image": [e[2] for e in held]})
+
+    kind = entries.schema["run_id"].dataType.simpleString()
+    return entries.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, seq long, note string, image string", "held string", "update", GroupStateTimeout.NoTimeout)
+
+
 def rolling_audit(events: DataFrame, *, every: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """Counters for each window of time: requests, rejected, bytes_in; of a batch,
     or of a stream with rows up to ``late`` late. ``events``: ts, accepted, bytes."""

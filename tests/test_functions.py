@@ -1,8 +1,11 @@
 """Scalar functions: checksums, rules, scanning, fields, boxes, text."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from maskwright.functions import fields, geometry, scan, text
+from maskwright.functions import fields, geometry, rules, scan, text
 from maskwright.functions.checksums import luhn, verhoeff
 from maskwright.functions.register import register
 
@@ -37,10 +40,10 @@ def test_word_edges_are_ascii(spark):
     assert ids(spark, "ü9845512207") == ["phone_in"]
 
 
-def test_long_texts_pass_unless_unlimited(spark):
+def test_long_texts_are_scanned_unless_limited(spark):
     t = "x " * 10_001 + "4111111111111111"
-    assert ids(spark, t) == []
-    assert ids(spark, t, limit=None) == ["card"]
+    assert ids(spark, t) == ["card"]
+    assert ids(spark, t, limit=20_000) == []
     assert ids(spark, "") == [] and ids(spark, None) == []
 
 
@@ -86,7 +89,33 @@ def test_goals(spark):
 
 
 def test_json(spark):
-    assert values(spark, text.json_object, ['```json\n{"a": {"b": 1}}\n```', 'well {no}: {"a": 1} and {"b": 2}', "none", None, "{" + "x" * 50_000 + "{}"]) == ['{"a": {"b": 1}}', '{"a": 1}', None, None, "{}"]
+    assert values(spark, text.json_object, ['```json\n{"a": {"b": 1}}\n```', 'well {no}: {"a": 1} and {"b": 2}', "none", None, "{}" + "x" * 50_000 + "{", "{" + "x" * 50_000 + "{}"]) == ['{"a": {"b": 1}}', '{"a": 1}', None, None, "{}", None]  # the last one's outer brace never closes
+
+
+def test_json_of_any_depth(spark):
+    deep = "{" + '"a":{' * 40 + '"b":1' + "}" * 41
+    texts = ['Sure: {"a":{"b":{"c":{"d":1}}}} done', f"so {deep} and {{}}", "{x} then {\"y\":{\"z\":[{}]}} end {", "no } { \"a\":1 }", "}{", "", "a" * 50_000 + '{"k":2}', '```json\n{"q":{"r":{"s":{"t":5}}}}\n```']
+    assert values(spark, text.json_object, texts) == ['{"a":{"b":{"c":{"d":1}}}}', deep, '{"y":{"z":[{}]}}', None, None, None, '{"k":2}', '{"q":{"r":{"s":{"t":5}}}}']
+
+
+def test_word_edges_beside_words_are_one_lookaround(spark):
+    assert rules.java(r"\b[2-9]\d{3}\b") == r"(?<!\w)[2-9]\d{3}(?!\w)" and rules.java(r"\b(?:sk|pk)[-_a]{2,}\b") == r"(?<!\w)(?:sk|pk)[-_a]{2,}" + rules._WORD_EDGE
+    texts = ["ABCDE1234F", "xABCDE1234F", "ABCDE1234F_", "é ABCDE1234Fé", "-K1234567-", "K12345678", "+919876543210", "tok_ABCDEFGH12345678-", "12345678901 9876543210", "a@b.com.", "..a@b.com"]
+    for r in rules.TEXT_RULES:
+        want = [[m.group() for m in re.finditer(r.pattern, t, re.ASCII)] for t in texts]
+        assert values(spark, lambda c, r=r: F.regexp_extract_all(c, F.lit(rules.java(r.pattern)), F.lit(0)), texts) == want, r.id
+
+
+def test_counts_are_those_of_hits(spark):
+    texts = ["a@b.co 4111111111111111 a@b.co", "", None, "x " * 12_000 + "ABCDE1234F", "4111111111111112"]
+    got = values(spark, scan.rule_counts, texts)
+    want = values(spark, scan.scan_text, texts)
+    assert [{c["rule_id"]: c["n"] for c in g or []} for g in got] == [dict(Counter(h["rule_id"] for h in w)) for w in want]
+    assert values(spark, scan.has_severe, texts) == [True, False, False, True, False]
+
+
+def test_without_slash(spark):
+    assert values(spark, text.without_slash, ["http://a.b/", "http://a.b//", "x", None]) == ["http://a.b", "http://a.b", "x", None]
 
 
 def test_payload(spark):
@@ -98,3 +127,9 @@ def test_sql_names(spark):
     register(spark)
     assert spark.sql("SELECT luhn('4111111111111111') AS a, luhn('1') AS b").first() == (True, False)
     assert spark.table("text_rules").count() == 13
+
+
+def test_sql_names_of_scans(spark):
+    register(spark)
+    got = spark.sql("SELECT verhoeff('352741839170') AS v, verhoeff('352741839171') AS w, rule_hits('a@b.co 4111 1111 1111 1111, or 4111 1111 1111 1112') AS h, rule_hits(NULL) AS n").first()
+    assert got.v and not got.w and [(h.rule_id, h.token, h.severity, h.text) for h in got.h] == [("card", "[MASK_CARD]", 3, "4111 1111 1111 1111"), ("email", "[MASK_EMAIL]", 1, "a@b.co")] and got.n == []

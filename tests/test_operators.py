@@ -85,7 +85,7 @@ def test_firewall_names_every_violation(spark):
     assert v(False, None, None, "x", "", "pay 4111111111111111")[1] == ["MISSING_ATTESTATION", "IMAGE_NOT_ENCLAVE_ENCODED", "PII_IN_METADATA:card"]
     assert v(True, None, False, webp, "", "mail a@b.co")[1] == ["MISSING_ATTESTATION", "REDACTION_NOT_VERIFIED", "IMAGE_UNHASHED"]
     long = "x " * 10_001 + "4111111111111111"
-    assert v(True, True, True, webp, "ab", long)[0] and not v(True, True, True, webp, "ab", long, strict=True)[0]
+    assert v(True, True, True, webp, "ab", long, limit=20_000)[0] and not v(True, True, True, webp, "ab", long)[0]
 
 
 def test_server_policy(spark):
@@ -145,3 +145,29 @@ def test_pages(spark):
 
 def test_settings():
     assert layered({"tile": 16}, {"tile": None, "mode": "paranoid", "other": 1}) == Settings(tile=16, mode="paranoid")
+
+
+def test_what_was_not_scanned_is_not_attested(spark):
+    t = "x " * 12_000 + "4111111111111111"
+    df = spark.createDataFrame([(1, t), (2, "4111111111111111"), (3, None)], "i int, t string")
+    whole = {r.i: r for r in protect.protect_texts(df, "t", now=F.current_timestamp()).collect()}
+    assert whole[1].masked.endswith("[MASK_CARD]") and whole[1].remaining == 0 and whole[1].attestation.sanitized and whole[1].attestation.all_regions_uniform
+    some = {r.i: r for r in protect.protect_texts(df, "t", now=F.current_timestamp(), limit=20_000).collect()}
+    assert some[1].masked is None and some[1].remaining is None and not some[1].attestation.sanitized and not some[1].attestation.all_regions_uniform
+    assert some[2].masked == "[MASK_CARD]" and some[2].attestation.sanitized and not some[3].attestation.sanitized
+
+
+def test_field_and_text_regions_of_visible_elements(spark):
+    page = """<title>me@title.org is no text</title><body><input type=password name=p><input type=hidden><input type=email hidden>
+    <div style="display: none"><input type=tel><p>mail a@b.co</p></div><p style="opacity:0">card 4111111111111111</p><textarea name=otp></textarea>
+    <p>write to x@y.org now</p><div contenteditable data-sensitive>z</div><button disabled>no</button><a href=/>Go</a><script>var a = 'k@l.org'</script>"""
+    df = spark.createDataFrame([(1, page)], "page int, html string")
+    e = pages.elements(df, "page", "html")
+    assert [(r.rule_id, r.tag, r.severity, r.source, r.confidence) for r in pages.field_regions(e, "page").orderBy("seq").collect()] == [("password", "input", 3, "dom-field", 1.0), ("otp", "textarea", 3, "dom-field", 1.0), ("opt_out", "div", 3, "dom-field", 1.0)]
+    nodes = pages.text_nodes(df, "page", "html")
+    assert [(r.rule_id, r.tag, r["index"], r.length) for r in pages.text_regions(nodes, "page").collect()] == [("email", "p", 9, 7)]
+    assert [r.role for r in pages.action_map(e, "page").orderBy("seq").collect()] == ["input", "input", "textarea", "a"]
+    many = spark.createDataFrame([(1, "<a>x</a>" * 300 + "<canvas></canvas>" * 90)], "page int, html string")
+    found = pages.elements(many, "page", "html")
+    assert pages.action_map(found, "page").count() == 300 and pages.action_map(found, "page", most=pages.ACTIONS).count() == 250
+    assert pages.surfaces(found, "page").count() == 90 and pages.surfaces(found, "page", most=pages.SURFACES).count() == 80

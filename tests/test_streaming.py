@@ -36,6 +36,35 @@ def test_stream_gather(spark, tmp_path):
     assert got == {1: (2, 2, 12, True), 2: (1, 2, 1, False), 3: (1, 1, 4, True)}
 
 
+def _run(spark, tmp_path, make, schema, batches, mode, name):
+    """Feeds the batches one after another and returns all rows put out."""
+    source = tmp_path / f"{name}-in"
+    source.mkdir()
+    q = make(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-c")).start()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        for _ in range(3):  # a further batch without data follows where the watermark moved
+            q.processAllAvailable()
+            time.sleep(0.3)
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_late_replies_do_not_open_a_closed_scan(spark, tmp_path):
+    batches = [[(1, 1, at(0), 1, 5), (7, 1, at(0), 0, 1)], [(9, 9, at(1000), 0, 0)], [(1, 2, at(1500), 0, 7), (7, 2, at(1500), 0, 1)], [(9, 10, at(3000), 0, 0)], [(9, 11, at(200_000), 0, 0)], [(8, 1, at(200_001), 0, 3)]]
+    got = [(r.scan_id, r.replies, r.nodes, r.complete) for r in _run(spark, tmp_path, gather.gathered_stream, SCHEMA, batches, "append", "late")]
+    assert sorted(x for x in got if x[0] != 9) == [(1, 1, 5, False), (7, 1, 1, True), (8, 1, 3, True)]
+
+
+def test_traced_stream_keeps_the_last_entries(spark, tmp_path):
+    schema = "run_id long, seq long, note string, image string"
+    batches = [[(1, i, f"n{i}", f"i{i}") for i in range(20)] + [(2, 0, None, None)], [(1, i, f"n{i}", f"i{i}") for i in range(20, 30)]]
+    got = _run(spark, tmp_path, gather.traced_stream, schema, batches, "update", "traced")
+    last = [r for r in got if r.run_id == 1][-gather.TRACE :]
+    assert [(r.seq, r.note, r.image) for r in last] == [(i, f"n{i}", f"i{i}" if i >= 27 else None) for i in range(6, 30)]
+    assert [(r.seq, r.note, r.image) for r in got if r.run_id == 2] == [(0, None, None)]
+
+
 def test_rolling_audit_stream(spark, tmp_path):
     schema = "ts timestamp, accepted boolean, bytes long"
     rows = [(at(0), True, 5), (at(1000), False, 7), (at(3_700_000), True, 9)]
