@@ -125,6 +125,32 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS total_micro
 FROM d LEFT JOIN m USING (d)
 """
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents
+), b AS (
+  SELECT item_id, {_WORDS} AS ws FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), p AS (
+  SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)
+), h AS (
+  SELECT r, i, n, item_id FROM p JOIN w USING (n, s)
+), hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM h) GROUP BY r
+), items AS (
+  SELECT r, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS ids FROM h GROUP BY r
+), x AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, coalesce(ids, CAST([] AS VARCHAR[])) AS ids
+  FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+)
+SELECT doc_id, n_words, n_hit, CAST(len(ids) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -140,4 +166,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op5_lm_score": OP5_SQL,
+    "op9_decontaminate": OP9_SQL,
 }
