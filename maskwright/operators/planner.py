@@ -21,19 +21,30 @@ def element_words(label: Column, role: Column, type_: Column) -> Column:
     return F.concat(words(label), words(role), words(type_))
 
 
+#: Ratios of word pairs kept per Python process, over batches and tasks.
+KEPT = 500_000
+_ratios: dict[tuple[str, str], float] = {}
+
+
 @F.pandas_udf(T.DoubleType())
 def fuzzy(targets: pd.Series, own: pd.Series) -> pd.Series:
     """Mean over the target words of the best Ratcliff-Obershelp ratio with an
     element's words; there is no built-in function of it."""
-    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
-    kept: dict[tuple[str, str], float] = {}
+    if len(_ratios) > KEPT:
+        _ratios.clear()
 
     def best(w: str, es: list) -> float:
         top = 0.0
         for e in es:
-            if (w, e) not in kept:
-                kept[w, e] = ratio(w, e)
-            top = max(top, kept[w, e])
+            if w == e:
+                return 1.0
+            r = _ratios.get((w, e))
+            if r is None:
+                m = difflib.SequenceMatcher(None, w, e)
+                r = m.ratio() if m.real_quick_ratio() > top else 0.0
+                if r:
+                    _ratios[w, e] = r
+            top = max(top, r)
         return top
 
     return pd.Series([sum(best(w, list(e)) for w in t) / len(t) if len(t) else 0.0 for t, e in zip(targets, own, strict=True)])

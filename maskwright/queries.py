@@ -338,6 +338,22 @@ def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiles(spark, sf_dir).select("vec_id", *[F.round(c, 6).alias(c) for c in ("variance", "contrast", "edges", "crossings", "score")])
 
 
+_QUADS = """WITH p AS (SELECT vec_id // 4 AS frame, i // 8 + vec_id % 4 // 2 * 8 AS y, i % 8 + vec_id % 2 * 8 AS x, (CAST(v AS DOUBLE) + 0.55::DOUBLE) / 1.1::DOUBLE AS lum FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings)),
+d AS (SELECT *, y // 8 AS ty, x // 8 AS tx, coalesce(lead(lum) OVER (PARTITION BY frame, y ORDER BY x), lum) - lum AS dh, coalesce(lead(lum) OVER (PARTITION BY frame, x ORDER BY y), lum) - lum AS dv FROM p),
+s AS (SELECT *, CASE WHEN abs(dh) > 0.12 THEN sign(dh) END AS s FROM d),
+b AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY frame, ty, tx, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT frame, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, round((sum(abs(dh)) + sum(abs(dv))) / count(*), 6) AS edges, round(count(*) FILTER (s IS NOT NULL AND before <> s) / count(*), 6) AS crossings FROM b GROUP BY frame, ty, tx"""
+
+
+@query(_QUADS)
+def tile_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two by two tiles: differences cross the tiles' borders, crossings begin anew in each tile."""
+    v = F.col("vec_id")
+    p = vision.pixels_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    p = p.select(F.floor(v / 4).alias("frame"), (F.col("y") + F.floor(v % 4 / 2).cast("int") * 8).alias("y"), (F.col("x") + (v % 2).cast("int") * 8).alias("x"), "lum")
+    return vision.tile_features(p, ["frame"]).select("frame", "ty", "tx", F.round("edges", 6).alias("edges"), F.round("crossings", 6).alias("crossings"))
+
+
 _GRID = _TILES + ", m AS (SELECT vec_id // 500 AS frame, CAST(vec_id % 500 // 25 AS INTEGER) AS ty, CAST(vec_id % 25 AS INTEGER) AS tx, score FROM f WHERE score >= 3.9)"
 
 
