@@ -19,9 +19,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings: 0 of poor quality, 1 good but toxic, 2 good; tail_probability is that of 1 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), where=held_in("k"))
-    found = quality.graded(docs, model)
+    clean = F.when(F.coalesce("toxic", F.lit(0)) == 0, 1).otherwise(0)
+    rated = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1 + clean).otherwise(F.col("quality")).alias("quality"))
+    model = quality.train(docs, rated, where=held_in("k"))
+    found = quality.graded(docs, model, at_least=1)
     return found.select("doc_id", (~held_in("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
