@@ -290,7 +290,25 @@ def point_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.hit_test(p, b, ["frame"], "pid").select("frame", "px", "py", "hit")
 
 
-@query()
+def _near_sql(k: str, r: str) -> str:
+    shared = f"greatest(0, least({k}.x + {k}.w, {r}.x + {r}.w) - greatest({k}.x, {r}.x)) * greatest(0, least({k}.y + {k}.h, {r}.y + {r}.h) - greatest({k}.y, {r}.y))"
+    least = f"least({k}.w * {k}.h, {r}.w * {r}.h)"
+    return f"({shared})::DOUBLE / CASE WHEN {least} = 0 THEN 1 ELSE {least} END > 0.7::DOUBLE"
+
+
+# A fold by recursion: one more region of each frame a step.
+_MERGED = "{'token': CASE WHEN r.severity > k.severity THEN r.token ELSE k.token END, 'severity': greatest(r.severity, k.severity), 'x': least(k.x, r.x), 'y': least(k.y, r.y), 'w': greatest(k.x + k.w, r.x + r.w) - least(k.x, r.x), 'h': greatest(k.y + k.h, r.y + r.h) - least(k.y, r.y)}"
+
+
+@query(f"""WITH RECURSIVE b AS ({_BOXES}), v AS (SELECT frame, id, {{'token': '[T' || id % 4 || ']', 'severity': CAST(id % 3 + 1 AS INTEGER), 'x': CAST(x % 120 AS INTEGER), 'y': CAST(y % 60 AS INTEGER), 'w': w, 'h': h}} AS r FROM b),
+f(frame, n, kept) AS (
+  SELECT frame, 1, [r] FROM v WHERE id = 1
+  UNION ALL SELECT f.frame, f.n + 1, CASE WHEN len(list_filter(f.kept, lambda k: {_near_sql('k', 'v.r')})) = 0 THEN list_append(f.kept, v.r)
+    ELSE list_transform(f.kept, lambda k, i: CASE WHEN i = list_position(list_transform(f.kept, lambda q: {_near_sql('q', 'v.r')}), true) THEN {_MERGED.replace('r.', 'v.r.')} ELSE k END) END
+  FROM f JOIN v ON v.frame = f.frame AND v.id = f.n + 1),
+l AS (SELECT frame, max_by(kept, n) AS kept FROM f GROUP BY frame),
+u AS (SELECT frame, unnest(kept) AS k, CAST(unnest(range(0, len(kept))) AS INTEGER) AS n FROM l)
+SELECT frame, n, k.token AS token, k.severity AS severity, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM u""")
 def dedupe_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _boxes(spark, sf_dir).select("frame", F.struct("id", F.struct(F.concat(F.lit("[T"), (F.col("id") % 4).cast("string"), F.lit("]")).alias("token"), (F.col("id") % 3 + 1).cast("int").alias("severity"), F.lit("l").alias("label"), geometry.box(F.col("box.x") % 120, F.col("box.y") % 60, F.col("box.w"), F.col("box.h")).alias("box")).alias("r")).alias("s"))
     kept = r.groupBy("frame").agg(F.array_sort(F.collect_list("s")).alias("s")).select("frame", regions.deduplicated(F.transform("s", lambda x: x["r"])).alias("k"))
