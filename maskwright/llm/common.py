@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +54,7 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
 
 
 #: Rows of a few small columns up to which a table is broadcast to filter another one; more are joined by a shuffle.
-FEW = 2_000_000
+FEW = 500_000
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -66,6 +66,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What modules keep per Python process, and how it is dropped.
+_keeps: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, drop: Callable[[], None]) -> None:
+    _keeps[module] = drop
+
+
+def drop_others(module: str) -> None:
+    """Drop what other modules keep in this process: workers are used again, and
+    the words of one stage are no use to the next one."""
+    for name, drop in _keeps.items():
+        if name != module:
+            drop()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, text: int | None = None, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches to at most ``rows`` rows and, by the string column numbered
     ``text``, about ``limit`` bytes, to bound what Python holds at once."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import drop_others, keeps, slices, stored
 
 #: Words of at least one letter or digit, or of characters beyond ASCII, lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -185,6 +185,7 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
 
 
 _made: dict[str, SuffixAutomaton] = {}
+keeps("decontaminate", _made.clear)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, coverage: float = 0.05, shard_words: int = 1_000_000, with_text: bool = True) -> DataFrame:
@@ -230,6 +231,7 @@ def _passed(docs: DataFrame, items, text: str, window: int, between: tuple[str,
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("decontaminate")
         if key not in _made:
             _made.clear()
             _made[key] = automaton(items.value, window)

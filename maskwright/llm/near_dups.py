@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, slices, stored
+from .common import drop_others, drop_stored, slices, stored
 
 #: Sampled fingerprints at most, and the largest share of them.
 SAMPLE, SHARE = 4096, 0.1
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     """key and fp, a signed long with the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("near_dups")
         for b in slices(batches, 2000, 1):
             made = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], names=[key, "fp"])

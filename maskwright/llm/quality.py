@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import drop_others, slices
 
 #: Hashed features; distinct words of up to so many characters whose weights are kept per Python process.
 BUCKETS, KEPT, KEPT_CHARS = 1 << 14, 300_000, 64
@@ -158,6 +158,7 @@ def graded(docs: DataFrame, model: Model, *, text: str = "text", at_least: int |
     j = int(np.searchsorted(model.grades, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("quality")
         steps = np.diff(model.grades)
         for b in slices(batches, 2000, at):
             tails = [model.tails(model.score(t)) for t in b.column(at).to_pylist()]

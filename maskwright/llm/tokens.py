@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .common import keeps
+
 #: Pieces kept per Python process (about 200 bytes each).
 CACHE_PIECES = 1_000_000
 #: Longer pieces are encoded but not kept.
@@ -136,6 +138,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+keeps("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
