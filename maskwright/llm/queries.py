@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_score, near_dups, packing, pii, quality, token_files, topk, toxicity
+from . import decontaminate, html_text, lm_score, near_dups, packing, pii, quality, token_files, topk, toxicity, word_table
 from .common import fresh_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,13 @@ def _counted(kind: int):
     return F.size(F.filter("base", lambda s: s["k"] == kind)).cast("long")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = word_table.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, keys=["doc_id"])
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    found = word_table.decoded(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, "ids"), TOKENIZER, keys=["doc_id", "n_tokens", "ids_sha256"])
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def held_in(key: str):
     """Whether a row's labels may be learnt from: crc32 of the id as text isn't divisible by 5."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0, F.lit(True))
@@ -165,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_word_bpe": op11_word_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
