@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_score, near_dups, packing, pii, quality, token_files, topk, toxicity, word_table
+from . import decontaminate, html_text, lm_score, near_dups, packing, pii, prefix_trie, quality, repair, token_files, topk, toxicity, word_table
 from .common import fresh_path, table
+from .ordered import joined_sha256
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,6 +84,22 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(turns))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "conversations")
+    summary, turns = repair.repaired(repair.damaged(source))
+    said = turns.select("conv", "pos", "i", F.concat("role", F.lit(":"), "text").alias("line"))
+    digests = joined_sha256(said, "conv", ["pos", "i"], "line", "\n").withColumnRenamed("sha256", "repaired_sha256")
+    every = source.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv")).distinct()
+    found = every.join(summary, "conv", "left").join(digests, "conv", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(prefix_trie.NOTHING)).alias("repaired_sha256"))
+
+
 def held_in(key: str):
     """Whether a row's labels may be learnt from: crc32 of the id as text isn't divisible by 5."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0, F.lit(True))
@@ -161,6 +178,102 @@ WITH d AS (
 SELECT doc_id, n_words, n_hit, CAST(len(ids) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM x
 """
 
+
+
+def _crc32(text: str) -> str:
+    """SQL of the crc32 of an ASCII text, bit by bit."""
+    bytes_ = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, CAST(i AS INTEGER), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY p) AS ts FROM o GROUP BY conv_id
+), c AS (
+  SELECT a.conv_id, coalesce(b.ts[1:h], []) || a.ts[h + 1:] AS ts
+  FROM (SELECT *, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS INTEGER) AS h FROM l) a LEFT JOIN l b ON b.conv_id = a.conv_id - a.conv_id % 100
+), m AS (
+  SELECT conv_id, len(ts) AS n, d AS depth, ts[1:d] AS node FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM c)
+), v AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM m GROUP BY node, depth
+), k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1
+), w AS (
+  SELECT v.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].t) ELSE 0 END AS saved FROM v LEFT JOIN k USING (node)
+), s AS (
+  SELECT node[1:d] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM w) GROUP BY 1
+)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (node) LEFT JOIN v p ON w.depth > 0 AND p.node = w.node[1:w.depth - 1]
+"""
+
+
+def _op13_sql() -> str:
+    """A recursion over the turns that keeps, for each state of the grammar, the
+    least (cost, edits) that leads to it; two rounds of putting turns in reach all states."""
+    never = "{'c': 1000000, 'e': ''}"
+    add = lambda v, c, e: f"{{'c': {v}.c + {c}, 'e': {v}.e || '{e}'}}"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+
+    def put(v: list[str]) -> list[str]:
+        to2 = [add(v[s], 3, "I") for s in (0, 1, 3)]
+        return [v[0], v[1], least(v[2], *to2), least(v[3], add(v[2], 3, "I"))]
+
+    q, a, b = (["".join((p, str(s))) for s in range(4)] for p in "qab")
+    cut = [add(b[s], 4, "D") for s in range(4)]
+    keep = lambda s, r: f"CASE WHEN r = '{r}' AND f <> 1 THEN {{'c': {b[s]}.c + x, 'e': {b[s]}.e || 'K'}} ELSE {never} END"
+    role = lambda s: f"CASE WHEN f <> 1 THEN {{'c': {b[s]}.c + 3 + x, 'e': {b[s]}.e || 'R'}} ELSE {never} END"
+    took = [
+        cut[0], least(cut[1], keep(0, "s")), least(cut[2], *[keep(s, "u") for s in (0, 1, 3)], *[role(s) for s in (0, 1, 3)]), least(cut[3], keep(2, "a"), role(2)),
+    ]
+    named = lambda made, names: ", ".join(f"{m} AS {n}" for m, n in zip(made, names, strict=True))
+    start = ["{'c': 0, 'e': ''}", never, never, never]
+    start = [f"CAST({x} AS STRUCT(c BIGINT, e VARCHAR))" for x in start]
+    white = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE z AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations
+), y AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM z WHERE kind <> 0
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS r, rtrim(text, {white}) AS bare FROM y
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again, r || lead(r) OVER (PARTITION BY conv ORDER BY i) AS pair FROM w
+), d AS (
+  SELECT *, CASE WHEN bare = '' OR again THEN 1 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 2 ELSE 0 END AS f FROM o
+), g AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (bare = '') AS blank, count(*) FILTER (bare <> '' AND again) AS duplicate,
+    count(*) FILTER (f = 2) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM d GROUP BY conv
+), t AS (
+  SELECT conv, CAST(0 AS BIGINT) AS i, {named(start, q)} FROM g
+  UNION ALL
+  SELECT conv, i, {named(took, q)} FROM (SELECT conv, i, r, f, x, {named(put(a), b)} FROM (SELECT t.conv, d.i, d.r, d.f, CASE WHEN d.f = 2 THEN 3 ELSE 0 END AS x, {named(put(q), a)} FROM t JOIN d ON d.conv = t.conv AND d.i = t.i + 1))
+), e AS (
+  SELECT conv, {least("b0", "b3")} AS best FROM (SELECT conv, {named(put(a), b)} FROM (SELECT t.conv, {named(put(q), a)} FROM t JOIN g ON g.conv = t.conv AND g.n = t.i))
+), p AS (
+  SELECT conv, j, best.e[j] AS op, len(replace(best.e[1:j], 'I', '')) + CASE WHEN best.e[j] = 'I' THEN 1 ELSE 0 END AS i FROM (SELECT conv, best, unnest(range(1, len(best.e) + 1)) AS j FROM e)
+), h AS (
+  SELECT p.conv, p.j, op, role, text, count(*) OVER (PARTITION BY p.conv ORDER BY p.j) AS nth, first_value(r) OVER (PARTITION BY p.conv ORDER BY p.j) = 's' AND first_value(op) OVER (PARTITION BY p.conv ORDER BY p.j) = 'K' AS led
+  FROM p LEFT JOIN d ON d.conv = p.conv AND d.i = p.i WHERE op <> 'D'
+), s AS (
+  SELECT conv, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (nth - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS repaired_sha256 FROM h GROUP BY conv
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.e, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv FROM conversations) c LEFT JOIN g USING (conv) LEFT JOIN e USING (conv) LEFT JOIN s USING (conv)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -173,9 +286,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_word_bpe": op11_word_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_repair": op13_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op5_lm_score": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_repair": OP13_SQL,
 }

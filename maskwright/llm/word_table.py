@@ -127,7 +127,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Rec
         holes = np.flatnonzero(value.is_null().to_numpy(zero_copy_only=False)) if value.null_count else np.zeros(0, "i8")
         starts = np.flatnonzero(at == 0)
         head = int(starts[0]) if len(starts) else batch.num_rows
-        ends = [*starts[1:].tolist(), batch.num_rows]
+        ends = [*starts[1:].tolist(), batch.num_rows] if len(starts) else []
         cut = np.searchsorted(holes, [0, head, *ends]).tolist()
 
         def holes_in(k: int, first: int, base: int) -> list[tuple[int, int]]:
