@@ -79,8 +79,7 @@ def _counted(kind: int):
 
 def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = word_table.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, keys=["doc_id"])
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
-    found = word_table.decoded(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, "ids"), TOKENIZER, keys=["doc_id", "n_tokens", "ids_sha256"])
+    found = word_table.decoded(word_table.digests(ids, key="doc_id"), TOKENIZER, keys=["doc_id", "n_tokens", "ids_sha256"])
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

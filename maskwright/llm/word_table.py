@@ -1,15 +1,18 @@
 """Byte-level BPE through a table of distinct words.
 
-Texts are split into words in Spark, each distinct word is encoded once by the
-``tokenizers`` library, and the words' ids are joined back by position. The
-words that occur most often (a bounded number of short ones) are joined by a
-broadcast, all others by a shuffle of their own occurrences; as those are the
-rare ones, no key of that shuffle is hot. Decoding joins ids to their pieces.
-
-A word ends where the pre-tokeniser always cuts: before a space that no other
-white space follows, and between an ASCII letter and an ASCII mark. So words
-are encoded as they are within their text. Only that pre-tokeniser (byte-level
-with its usual pattern, no normaliser) is taken; others raise a ValueError.
+Spark splits texts into words and counts the distinct ones, each of which the
+``tokenizers`` library encodes once. The words' ids are then joined back by
+position: the commonest words, as many as fit a stated number of bytes, by a
+broadcast table that tasks look whole columns of words up in; all others by a
+shuffle of their own occurrences, which are few for each word, so no key of that
+shuffle is hot. Decoding joins ids to their pieces in the same way; a vocabulary
+is bounded.
+
+A word begins at a space that no white space follows, and ends before the ASCII
+marks that close it after an ASCII letter: the pre-tokeniser cuts there always,
+so words are encoded as they are within their text. Only that pre-tokeniser
+(byte-level with its usual pattern, no normaliser) is taken; others raise a
+ValueError.
 
 Null texts count as empty, empty ones have no ids, texts may be of any length;
 repeated rows are encoded each for itself. The columns named ``keys`` stay,
@@ -18,26 +21,35 @@ others are dropped; names that begin with an underscore are this module's.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import string
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, stored
 
-#: Words that are broadcast at most, and their most characters: the bound of what is sent to each executor.
-FREQUENT, FREQUENT_CHARS = 1_000_000, 48
-#: Ids of a vocabulary that is broadcast; larger vocabularies raise.
+#: Bytes of common words and their ids that are sent to each task's process.
+SENT_BYTES = 64 << 20
+#: Ids that a vocabulary may have; larger ones raise.
 MOST_IDS = 1_000_000
+#: Bytes of text that a task looks up at once.
+BATCH_BYTES = 16 << 20
 
 #: After a space these may count as white space: there no word begins.
 _DOUBTFUL = r"\x09-\x0D\x1C-\x20\x7F-\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF"
+#: Where texts are split; the space goes.
+SPLIT = rf" (?=[^{_DOUBTFUL}])"
 
 
 class Vocabulary:
@@ -62,7 +74,12 @@ class Vocabulary:
         # A mark that follows a letter inside an added token ends no word.
         inner = {b for t in added for a, b in zip(t["content"], t["content"][1:], strict=False) if a in string.ascii_letters}
         marks = "".join("\\" + c for c in string.punctuation if c not in inner)
-        self.edges = rf"(?= [^{_DOUBTFUL}])|(?<=[A-Za-z])(?=[{marks}])"
+        self._closed = re.compile(rf"(.*[A-Za-z])([{marks}]+)", re.S)
+
+    def closed(self, word: str) -> tuple[str, str]:
+        """A word without the marks that close it, and the marks."""
+        found = self._closed.fullmatch(word)
+        return (found[1], found[2]) if found else (word, "")
 
     def pieces(self) -> list[tuple[int, bytes]]:
         """Each id with its bytes."""
@@ -84,14 +101,49 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def words_of(text: Column, path: str) -> Column:
-    """The words of a text, in order; joined they are the text. Of an empty one the empty word."""
-    return F.split(F.coalesce(text, F.lit("")), vocabulary(path).edges, -1)
+def words_of(text: Column) -> Column:
+    """The words of a text, in order and without the space before all but the first; of an empty one the empty word."""
+    return F.split(F.coalesce(text, F.lit("")), SPLIT, -1)
+
+
+class _Words:
+    """The words of a batch of texts: ``which`` of the distinct words each is, and
+    these without (``cores``) the marks that close them (``tails``)."""
+
+    def __init__(self, lists: pa.ListArray, v: Vocabulary) -> None:
+        self.ends = np.asarray(lists.offsets, dtype="i8") - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        firsts = self.ends[:-1]
+        coded = flat.dictionary_encode()
+        inner = coded.dictionary.to_pylist()
+        # A text's first word has no space before it, so it is a word of its own.
+        self.which = np.array(coded.indices, dtype="i8")
+        self.which[firsts] = len(inner) + np.arange(len(firsts))
+        parts = [v.closed(w) for w in [*(" " + w for w in inner), *flat.take(pa.array(firsts)).to_pylist()]]
+        self.cores, self.tails = [p[0] for p in parts], [p[1] for p in parts]
+
+    def texts(self) -> np.ndarray:
+        """Which text each word is of."""
+        return np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+
+
+def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 50_000, words, BATCH_BYTES):
+        if batch.num_rows:
+            yield batch
 
 
 def word_table(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """A stored row for each distinct word: word, n (its occurrences), ids (little-endian bytes)."""
-    counts = df.select(F.explode(words_of(F.col(text), path)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in _batches(batches, 0):
+            found = _Words(batch.column(0), v)
+            n = np.bincount(found.which, minlength=len(found.cores))
+            here = np.flatnonzero(n).tolist()
+            rows = [(found.cores[i], n[i]) for i in here] + [(found.tails[i], n[i]) for i in here if found.tails[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -100,141 +152,184 @@ def word_table(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
             ids = [np.array(e.ids, dtype=v.kind).tobytes() for e in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
+    counts = df.select(words_of(F.col(text))).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return stored(counts.mapInArrow(encode, "word string, n long, ids binary"), "words")
 
 
-def _often(words: DataFrame, most: int) -> int | None:
-    """The least power of two that at most ``most`` short words reach in number; None if all words may be sent."""
-    short = F.length("word") <= FREQUENT_CHARS
-    reach = words.agg(F.count("*").alias("all"), *[F.count_if(short & (F.col("n") >= 1 << k)).alias(str(k)) for k in range(63)]).first()
-    if reach["0"] == reach["all"] <= most:
-        return None
-    return next((1 << k for k in range(63) if reach[str(k)] <= most), 1 << 62)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int]]]]]:
-    """Rows that follow one another, from position 0 on, put together: key rows,
-    each one's joined bytes, and its holes as (position, place in the bytes).
-    Columns: the keys, a position, bytes (null: a hole). One row's bytes are held at once, and a batch."""
-    held: tuple[pa.RecordBatch, list[bytes], list[tuple[int, int]], int] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at, value = batch.column(keys).to_numpy(zero_copy_only=False), batch.column(keys + 1)
-        offsets = np.frombuffer(value.buffers()[1], dtype="<i4", count=len(value) + 1, offset=4 * value.offset)
-        data = value.buffers()[2]
-        raw = data.to_pybytes() if data is not None else b""
-        holes = np.flatnonzero(value.is_null().to_numpy(zero_copy_only=False)) if value.null_count else np.zeros(0, "i8")
-        starts = np.flatnonzero(at == 0)
-        head = int(starts[0]) if len(starts) else batch.num_rows
-        ends = [*starts[1:].tolist(), batch.num_rows] if len(starts) else []
-        cut = np.searchsorted(holes, [0, head, *ends]).tolist()
-
-        def holes_in(k: int, first: int, base: int) -> list[tuple[int, int]]:
-            return [(int(at[i]), base + int(offsets[i] - offsets[first])) for i in holes[cut[k] : cut[k + 1]].tolist()]
-
-        done: list[tuple[bytes, list[tuple[int, int]]]] = []
-        firsts = []
-        if held and head:
-            held[1].append(raw[offsets[0] : offsets[head]])
-            held = (held[0], held[1], held[2] + holes_in(0, 0, held[3]), held[3] + int(offsets[head] - offsets[0]))
-        if held and len(starts):
-            yield held[0], [b"".join(held[1])], [held[2]]
-            held = None
-        for k, (a, b) in enumerate(zip(starts.tolist(), ends, strict=True)):
-            got = raw[offsets[a] : offsets[b]], holes_in(k + 1, a, 0)
-            if k + 1 < len(ends):
-                done.append(got)
-                firsts.append(a)
-            else:
-                row = batch.select(list(range(keys))).take(pa.array([a]))
-                held = (row, [got[0]], got[1], len(got[0]))
-        if done:
-            yield batch.select(list(range(keys))).take(pa.array(firsts)), [d[0] for d in done], [d[1] for d in done]
-    if held:
-        yield held[0], [b"".join(held[1])], [held[2]]
+def _often(words: DataFrame, most: int) -> int:
+    """The least power of two such that the words of as many occurrences fit ``most`` bytes."""
+    size = F.octet_length("word") + F.octet_length("ids") + 16
+    fits = words.agg(*[F.coalesce(F.sum(F.when(F.col("n") >= 1 << k, size)), F.lit(0)).alias(str(k)) for k in range(63)]).first()
+    return next((1 << k for k in range(63) if fits[str(k)] <= most), 1 << 62)
+
+
+class _Table:
+    """Common words and their ids, as it is sent to the tasks."""
+
+    def __init__(self, often: pa.Table, kind: str) -> None:
+        whole = often.combine_chunks()
+        column = lambda c: whole.column(c).chunk(0) if whole.num_rows else pa.array([], whole.schema.field(c).type)
+        self.words, ids, size = column("word"), column("ids"), np.dtype(kind).itemsize
+        self.lengths = np.array([*pc.binary_length(ids).to_pylist(), 0], dtype="i8") // size  # the last one is of what isn't there
+        self.starts = np.concatenate([np.zeros(1, "i8"), np.cumsum(self.lengths[:-1])])
+        self.flat = np.frombuffer(b"".join(ids.to_pylist()), dtype=kind)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Places of words; the last place for those that aren't there."""
+        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
+        return np.asarray(found.fill_null(len(self.words)), dtype="i8")
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Slices of ``flat`` one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class _Joined:
+    """A batch's words joined to the common ones: ``ids`` of all texts with
+    ``places`` where each text's begin, and the words that aren't common, as (text,
+    position twice, plus one for marks; word; place in the text's ids)."""
+
+    def __init__(self, found: _Words, table: _Table) -> None:
+        missing = len(table.words)
+        core, tail = table.find(found.cores), table.find(found.tails)
+        tail_there = np.array([bool(t) for t in found.tails], dtype=bool)
+        both = np.stack([core, np.where(tail_there, tail, missing)], axis=1)
+        lengths = table.lengths[both]
+        own = _gathered(table.flat, table.starts[both].ravel() if len(table.starts) else both.ravel(), lengths.ravel())
+        size = lengths.sum(axis=1)
+        starts = np.cumsum(size) - size
+        each = size[found.which]
+        self.ids = _gathered(own, starts[found.which], each)
+        at = np.concatenate([np.zeros(1, "i8"), np.cumsum(each)])
+        self.places = at[found.ends]
+        lacks = np.stack([core == missing, tail_there & (tail == missing)], axis=1)
+        holes = np.flatnonzero(lacks.any(axis=1)[found.which])
+        text = found.texts()[holes]
+        self.holes: list[tuple[int, int, str, int]] = []
+        for i, t in zip(holes.tolist(), text.tolist(), strict=True):
+            w, place = found.which[i], int(at[i] - self.places[t])
+            for half, lack in enumerate(lacks[w].tolist()):
+                if lack:
+                    self.holes.append((t, 2 * (i - int(found.ends[t])) + half, found.tails[w] if half else found.cores[w], place + (int(lengths[w, 0]) if half else 0)))
 
 
 def _kept(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """``keys`` and ``ids`` (array<int>) of each row's text. ``frequent`` bounds
-    the words that are broadcast; results don't depend on it."""
-    keys = list(keys)
-    table = word_table(df, path, text=text)
-    least = _often(table, frequent)
-    kind = vocabulary(path).kind
-    often = table if least is None else table.where((F.col("n") >= least) & (F.length("word") <= FREQUENT_CHARS))
-    sent = F.broadcast(often.select(F.col("word").alias("_word"), F.col("ids").alias("_ids")))
-    # What tells texts apart in the shuffle of rare words: a hash and the length.
-    mark = [F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), F.length(F.coalesce(text, F.lit(""))).alias("_len")]
-    each = lambda *more: df.select(*more, F.posexplode(words_of(F.col(text), path)).alias("_at", "_word"))
-    fields = _kept(df, keys)
-    ids_field = T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)
+def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """``keys`` and ``ids`` (array<int>) of each row's text. ``sent_bytes`` bounds
+    the table of words that is broadcast; results don't depend on it."""
+    keys, kind = list(keys), vocabulary(path).kind
+    words = word_table(df, path, text=text)
+    least = _often(words, sent_bytes)
+    table = df.sparkSession.sparkContext.broadcast(_Table(words.where(F.col("n") >= least).select("word", "ids").toArrow(), kind))
+    fields, at = _kept(df, keys), len(keys)
+    done = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    lists = lambda ids, places: pa.ListArray.from_arrays(pa.array(places.astype("i4")), pa.array(ids.astype("i4")))
 
-    if least is None:
+    if least == 1:  # all words are common
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, ids, _ in _runs(batches, len(keys)):
-                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids, kind)], [*keys, "ids"])
+            for batch in _batches(batches, at):
+                made = _Joined(_Words(batch.column(at), vocabulary(path)), table.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists(made.ids, made.places)], [*keys, "ids"])
 
-        found = each(*keys).join(sent, "_word", "left").select(*keys, "_at", "_ids")
-        return found.mapInArrow(whole, T.StructType([*fields, ids_field]))
+        return df.select(*keys, words_of(F.col(text)).alias("_words")).mapInArrow(whole, done)
 
-    names = [*keys, "_h", "_len"]
+    # What tells texts apart in the shuffle of rare words: a hash and the length.
+    full = F.coalesce(F.col(text), F.lit(""))
+    marked = df.select(*keys, F.xxhash64(full).alias("_h"), F.length(full).alias("_len"), words_of(F.col(text)).alias("_words"))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, holes in _runs(batches, len(names)):
-            at = pa.array([[x for h in hs for x in h] for hs in holes], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary()), at], [*names, "_known", "_holes"])
+        squeeze = zs.ZstdCompressor(level=1).compress
+        for batch in _batches(batches, at + 2):
+            made = _Joined(_Words(batch.column(at + 2), vocabulary(path)), table.value)
+            holes: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for t, position, _, place in made.holes:
+                holes[t] += (position, place)
+            ids = [squeeze(made.ids[a:b].tobytes()) for a, b in pairwise(made.places.tolist())]
+            gaps = [squeeze(np.diff(np.array(h, "i4").reshape(-1, 2), axis=0, prepend=np.zeros((1, 2), "i4")).T.tobytes()) if h else None for h in holes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], pa.array(ids, pa.binary()), pa.array(gaps, pa.binary())], [*keys, "_h", "_len", "_known", "_holes"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches, 2):
+            holes = _Joined(_Words(batch.column(2), vocabulary(path)), table.value).holes
+            rows = pa.array([h[0] for h in holes], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([h[1] for h in holes], pa.int32()), pa.array([h[2] for h in holes], pa.string())], ["_h", "_len", "_at", "word"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
-            *_, known, holes, rare = batch.columns
-            out = [_patched(*x) for x in zip(known.to_pylist(), holes.to_pylist(), rare.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], _lists(out, kind)], [*keys, "ids"])
-
-    # Occurrences of rare words: fewer than ``least`` of each, but for long ones.
-    rare = each(*mark).join(F.broadcast(often.select(F.col("word").alias("_word"))), "_word", "left_anti")
-    scarce = table.join(F.broadcast(often.select("word")), "word", "left_anti").select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    patches = rare.join(scarce, "_word").groupBy("_h", "_len").agg(F.collect_set(F.struct("_at", "_ids")).alias("_rare"))
-    schema = T.StructType([*fields, T.StructField("_h", T.LongType()), T.StructField("_len", T.IntegerType()), T.StructField("_known", T.BinaryType()), T.StructField("_holes", T.ArrayType(T.IntegerType()))])
-    first = each(*keys, *mark).join(sent, "_word", "left").select(*names, "_at", "_ids").mapInArrow(known, schema)
-    both = first.join(patches, ["_h", "_len"], "left").select(*keys, "_known", "_holes", "_rare")
-    return both.mapInArrow(filled, T.StructType([*fields, ids_field]))
-
-
-def _patched(known: bytes, holes: list[int], rare: list[dict] | None) -> bytes:
+        open_ = zs.ZstdDecompressor().decompress
+        for batch in slices(batches, 2000):
+            out = []
+            for raw, gaps, more in zip(*(batch.column(at + i).to_pylist() for i in range(3)), strict=True):
+                ids = np.frombuffer(open_(raw), dtype=kind) if raw else np.zeros(0, kind)
+                if gaps is not None:
+                    ids = _patched(ids, np.frombuffer(open_(gaps), dtype="i4").reshape(2, -1).cumsum(axis=1), {x["_at"]: x["ids"] for x in more}, kind)
+                out.append(ids)
+            places = np.cumsum([0, *map(len, out)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists(np.concatenate(out) if out else np.zeros(0, kind), places)], [*keys, "ids"])
+
+    # Words that aren't common occur fewer than ``least`` times, so neither they nor the texts that hold them are hot.
+    seldom = marked.select("_h", "_len", "_words").mapInArrow(rare, "_h long, _len int, _at int, word string")
+    patches = seldom.join(words.where(F.col("n") < least).select("word", "ids"), "word").groupBy("_h", "_len").agg(F.collect_set(F.struct("_at", "ids")).alias("_rare"))
+    schema = T.StructType([*fields, T.StructField("_h", T.LongType()), T.StructField("_len", T.IntegerType()), T.StructField("_known", T.BinaryType()), T.StructField("_holes", T.BinaryType())])
+    both = marked.mapInArrow(known, schema).join(patches, ["_h", "_len"], "left").select(*keys, "_known", "_holes", "_rare")
+    return both.mapInArrow(filled, done)
+
+
+def _patched(ids: np.ndarray, holes: np.ndarray, rare: dict[int, bytes], kind: str) -> np.ndarray:
     """Ids with the rare words' put in where they belong."""
-    if not holes:
-        return known
-    found = {x["_at"]: x["_ids"] for x in rare}
     out, last = [], 0
-    for at, place in zip(holes[::2], holes[1::2], strict=True):
-        out += [known[last:place], found[at]]
+    for position, place in holes.T.tolist():
+        out += [ids[last:place], np.frombuffer(rare[position], dtype=kind)]
         last = place
-    return b"".join([*out, known[last:]])
-
-
-def _lists(ids: list[bytes], kind: str) -> pa.Array:
-    size = np.dtype(kind).itemsize
-    ends = np.cumsum([0, *[len(x) // size for x in ids]]).astype("i4")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=kind).astype("i4")))
+    return np.concatenate([*out, ids[last:]])
 
 
 def decoded(df: DataFrame, path: str, *, keys: Sequence[str], ids: str = "ids") -> DataFrame:
-    """``keys`` and ``decoded``, the text of each row's ``ids``: each id joined to
-    its piece, the pieces' bytes put together and read as UTF-8, with a
+    """``keys`` and ``decoded``, the text of each row's ``ids``: ids are joined to
+    their pieces, the pieces' bytes put together and read as UTF-8, with a
     replacement character for what isn't. Ids without a piece, and null ones, are
     passed over, as the library does; null and empty arrays give an empty text."""
     keys = list(keys)
-    pieces = df.sparkSession.createDataFrame(vocabulary(path).pieces(), "_id int, _piece binary")
-    rows = df.select(*keys, F.posexplode_outer(ids).alias("_at", "_id")).withColumn("_at", F.coalesce("_at", F.lit(0)))
-    found = rows.join(F.broadcast(pieces), "_id", "left").select(*keys, "_at", "_piece")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, _ in _runs(batches, len(keys)):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], [*keys, "decoded"])
-
-    return found.mapInArrow(read, T.StructType([*_kept(df, keys), T.StructField("decoded", T.StringType(), False)]))
+        pieces = _pieces(path)
+        for batch in slices(batches, 2000, len(keys), BATCH_BYTES):
+            column = pc.coalesce(batch.column(len(keys)), pa.scalar([], batch.schema.field(len(keys)).type))
+            flat = column.flatten()
+            each = np.asarray(flat.fill_null(-1), dtype="i8")
+            each = np.where((each < 0) | (each >= len(pieces)), len(pieces) - 1, each)
+            joined = pieces.take(pa.array(each))
+            ends = np.concatenate([np.zeros(1, "i8"), np.cumsum(np.asarray(pc.binary_length(joined), dtype="i8"))])
+            raw = b"".join(joined.to_pylist()) if joined.offset else (joined.buffers()[2].to_pybytes() if joined.buffers()[2] else b"")
+            cuts = ends[np.asarray(column.offsets, dtype="i8") - column.offsets[0].as_py()].tolist()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in pairwise(cuts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keys, "decoded"])
+
+    return df.select(*keys, ids).mapInArrow(read, T.StructType([*_kept(df, keys), T.StructField("decoded", T.StringType(), False)]))
+
+
+def _pieces(path: str) -> pa.Array:
+    """Pieces by id, the last one empty: that of ids that have none."""
+    pieces = dict(vocabulary(path).pieces())
+    return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 2)], pa.binary())
+
+
+def digests(df: DataFrame, *, key: str, ids: str = "ids") -> DataFrame:
+    """key, n_tokens, ids_sha256 (of the decimal ids joined by commas) and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[bytes] = []
+        for batch in slices(batches, 2000, 1, BATCH_BYTES):
+            made = []
+            for x in batch.column(1):
+                each = np.asarray(x.values, dtype="i8").tolist()
+                top = max(each, default=-1)
+                names += [b"%d" % i for i in range(len(names), top + 1)]
+                made.append((len(each), hashlib.sha256(b",".join([names[i] for i in each])).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), batch.column(1)], [key, "n_tokens", "ids_sha256", "ids"])
+
+    return df.select(key, ids).mapInArrow(run, T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("ids", df.schema[ids].dataType)]))

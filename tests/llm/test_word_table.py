@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 
 import pytest
 import public_tokenizers
@@ -25,11 +26,11 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-@pytest.mark.parametrize("frequent", [1_000_000, 3, 0])
-def test_equals_the_library(spark, library, frequent):
+@pytest.mark.parametrize("sent", [1 << 20, 300, 0])
+def test_equals_the_library(spark, library, sent):
     texts = [*ODD, *ODD]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "k int, text string, word string")
-    got = W.decoded(W.encoded(df, PATH, keys=["k"], frequent=frequent), PATH, keys=["k", "ids"]).collect()
+    got = W.decoded(W.encoded(df, PATH, keys=["k"], sent_bytes=sent), PATH, keys=["k", "ids"]).collect()
     assert sorted(r.k for r in got) == list(range(len(texts)))
     for r in got:
         want = library.encode(texts[r.k] or "", add_special_tokens=False).ids
@@ -39,10 +40,9 @@ def test_equals_the_library(spark, library, frequent):
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet=st.sampled_from(" \n\t\r'.,|<>abé 　st1\U0001f600"), max_size=30))
 def test_words_are_encoded_as_within_their_text(library, text):
-    import re
-
-    edges = re.compile(W.vocabulary(PATH).edges)
-    words = edges.split(text)
+    v = W.vocabulary(PATH)
+    first, *rest = re.split(W.SPLIT, text)
+    words = [x for w in (first, *(" " + w for w in rest)) for x in v.closed(w)]
     assert "".join(words) == text
     assert [i for w in words for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
 
