@@ -8,11 +8,10 @@ shuffle of their own occurrences, which are few for each word, so no key of that
 shuffle is hot. Decoding joins ids to their pieces in the same way; a vocabulary
 is bounded.
 
-A word begins at a space that no white space follows, and ends before the ASCII
-marks that close it after an ASCII letter: the pre-tokeniser cuts there always,
-so words are encoded as they are within their text. Only that pre-tokeniser
-(byte-level with its usual pattern, no normaliser) is taken; others raise a
-ValueError.
+A word begins at a space that no white space follows: the pre-tokeniser cuts
+there always, so words are encoded as they are within their text. Only that
+pre-tokeniser (byte-level with its usual pattern, no normaliser) is taken;
+others raise a ValueError.
 
 Null texts count as empty, empty ones have no ids, texts may be of any length;
 repeated rows are encoded each for itself. The columns named ``keys`` stay,
@@ -24,8 +23,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
-import string
 from collections.abc import Iterator, Sequence
 from itertools import pairwise
 
@@ -38,13 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, stored
+from .tokens import Encoder
 
 #: Bytes of common words and their ids that are sent to each task's process.
-SENT_BYTES = 64 << 20
+SENT_BYTES = 32 << 20
 #: Ids that a vocabulary may have; larger ones raise.
 MOST_IDS = 1_000_000
 #: Bytes of text that a task looks up at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: After a space these may count as white space: there no word begins.
 _DOUBTFUL = r"\x09-\x0D\x1C-\x20\x7F-\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF"
@@ -53,52 +51,40 @@ SPLIT = rf" (?=[^{_DOUBTFUL}])"
 
 
 class Vocabulary:
-    """What is asked of a tokeniser file: where words end, ids of words, pieces of ids."""
+    """What is asked of a tokeniser file, once it is known to be a fitting one."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        spec = json.loads(self.tokenizer.to_str())
-        pre, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["normalizer"] is None
-        if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added):
+        self.tokenizer = tokenizer(path)
+        # The parts' states are their JSON.
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        pre, added = state(self.tokenizer.pre_tokenizer), self.tokenizer.get_added_tokens_decoder().values()
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.tokenizer.normalizer is None
+        if not plain or any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added):
             raise ValueError("not a plain byte-level tokeniser")
-        self.size = self.tokenizer.get_vocab_size()
-        if self.size > MOST_IDS:
+        size = self.tokenizer.get_vocab_size()
+        if size > MOST_IDS:
             raise ValueError(f"more than {MOST_IDS} ids")
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        # A mark that follows a letter inside an added token ends no word.
-        inner = {b for t in added for a, b in zip(t["content"], t["content"][1:], strict=False) if a in string.ascii_letters}
-        marks = "".join("\\" + c for c in string.punctuation if c not in inner)
-        self._closed = re.compile(rf"(.*[A-Za-z])([{marks}]+)", re.S)
-
-    def closed(self, word: str) -> tuple[str, str]:
-        """A word without the marks that close it, and the marks."""
-        found = self._closed.fullmatch(word)
-        return (found[1], found[2]) if found else (word, "")
-
-    def pieces(self) -> list[tuple[int, bytes]]:
-        """Each id with its bytes."""
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+
+    def pieces(self) -> list[bytes]:
+        """Pieces by id, the last one empty: that of ids that have none."""
         # The usual naming of bytes by printable characters.
         named = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(named)]
         byte_of = {chr(b): b for b in named} | {chr(256 + i): b for i, b in enumerate(rest)}
         plain = lambda s: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
-        return [(i, plain(s)) for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()]
-
+        found = {i: plain(s) for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        return [found.get(i, b"") for i in range(max(found) + 2)]
 
-_loaded: dict[str, Vocabulary] = {}
 
+def tokenizer(path: str):  # noqa: ANN201  loaded only where words are encoded, and on the driver
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-def vocabulary(path: str) -> Vocabulary:
-    """One for each process and file."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
 
 def words_of(text: Column) -> Column:
@@ -107,24 +93,17 @@ def words_of(text: Column) -> Column:
 
 
 class _Words:
-    """The words of a batch of texts: ``which`` of the distinct words each is, and
-    these without (``cores``) the marks that close them (``tails``)."""
+    """The distinct ``words`` of a batch of texts, ``which`` of them each word is, and where each text's words end."""
 
-    def __init__(self, lists: pa.ListArray, v: Vocabulary) -> None:
+    def __init__(self, lists: pa.ListArray) -> None:
         self.ends = np.asarray(lists.offsets, dtype="i8") - lists.offsets[0].as_py()
-        flat = lists.flatten()
-        firsts = self.ends[:-1]
+        flat, firsts = lists.flatten(), self.ends[:-1]
         coded = flat.dictionary_encode()
-        inner = coded.dictionary.to_pylist()
         # A text's first word has no space before it, so it is a word of its own.
-        self.which = np.array(coded.indices, dtype="i8")
-        self.which[firsts] = len(inner) + np.arange(len(firsts))
-        parts = [v.closed(w) for w in [*(" " + w for w in inner), *flat.take(pa.array(firsts)).to_pylist()]]
-        self.cores, self.tails = [p[0] for p in parts], [p[1] for p in parts]
-
-    def texts(self) -> np.ndarray:
-        """Which text each word is of."""
-        return np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+        self.which = np.array(coded.indices, dtype="i4")
+        self.which[firsts] = len(coded.dictionary) + np.arange(len(firsts), dtype="i4")
+        spaced = pc.binary_join_element_wise(pa.array([" "], pa.string()).take(pa.array(np.zeros(len(coded.dictionary), "i4"))), coded.dictionary, "")
+        self.words = pa.concat_arrays([spaced, flat.take(pa.array(firsts))])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -136,21 +115,22 @@ def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
 def word_table(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """A stored row for each distinct word: word, n (its occurrences), ids (little-endian bytes)."""
 
+    kind = Vocabulary(path).kind
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
         for batch in _batches(batches, 0):
-            found = _Words(batch.column(0), v)
-            n = np.bincount(found.which, minlength=len(found.cores))
-            here = np.flatnonzero(n).tolist()
-            rows = [(found.cores[i], n[i]) for i in here] + [(found.tails[i], n[i]) for i in here if found.tails[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
+            found = _Words(batch.column(0))
+            n = np.bincount(found.which, minlength=len(found.words))
+            yield pa.RecordBatch.from_arrays([found.words.filter(pa.array(n > 0)), pa.array(n[n > 0])], ["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        if kind == "<u2":
+            ids_of = Encoder(path)._pieces  # many words in a call
+        else:
+            library = tokenizer(path)
+            ids_of = lambda words: [np.array(e.ids, dtype=kind).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
         for batch in slices(batches, 20_000, text=0):
-            found = v.tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            ids = [np.array(e.ids, dtype=v.kind).tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids_of(batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
     counts = df.select(words_of(F.col(text))).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return stored(counts.mapInArrow(encode, "word string, n long, ids binary"), "words")
@@ -170,14 +150,14 @@ class _Table:
         whole = often.combine_chunks()
         column = lambda c: whole.column(c).chunk(0) if whole.num_rows else pa.array([], whole.schema.field(c).type)
         self.words, ids, size = column("word"), column("ids"), np.dtype(kind).itemsize
-        self.lengths = np.array([*pc.binary_length(ids).to_pylist(), 0], dtype="i8") // size  # the last one is of what isn't there
-        self.starts = np.concatenate([np.zeros(1, "i8"), np.cumsum(self.lengths[:-1])])
+        # The last one is of what isn't there.
+        self.lengths = np.append(np.asarray(pc.binary_length(ids), dtype="i4") // size, np.int32(0))
+        self.starts = np.append(np.zeros(1, "i4"), np.cumsum(self.lengths[:-1], dtype="i4"))
         self.flat = np.frombuffer(b"".join(ids.to_pylist()), dtype=kind)
 
-    def find(self, words: list[str]) -> np.ndarray:
+    def find(self, words: pa.StringArray) -> np.ndarray:
         """Places of words; the last place for those that aren't there."""
-        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
-        return np.asarray(found.fill_null(len(self.words)), dtype="i8")
+        return np.asarray(pc.index_in(words, value_set=self.words).fill_null(len(self.words)), dtype="i4")
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -187,32 +167,20 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 class _Joined:
-    """A batch's words joined to the common ones: ``ids`` of all texts with
-    ``places`` where each text's begin, and the words that aren't common, as (text,
-    position twice, plus one for marks; word; place in the text's ids)."""
+    """A batch's words joined to the common ones: ``ids`` of all texts, ``places``
+    where each text's begin, and of the words that aren't common their number
+    in the batch, text, position in it and place in its ids."""
 
     def __init__(self, found: _Words, table: _Table) -> None:
-        missing = len(table.words)
-        core, tail = table.find(found.cores), table.find(found.tails)
-        tail_there = np.array([bool(t) for t in found.tails], dtype=bool)
-        both = np.stack([core, np.where(tail_there, tail, missing)], axis=1)
-        lengths = table.lengths[both]
-        own = _gathered(table.flat, table.starts[both].ravel() if len(table.starts) else both.ravel(), lengths.ravel())
-        size = lengths.sum(axis=1)
-        starts = np.cumsum(size) - size
-        each = size[found.which]
-        self.ids = _gathered(own, starts[found.which], each)
+        code = table.find(found.words)
+        each = table.lengths[code][found.which].astype("i8")
+        self.ids = _gathered(table.flat, table.starts[code][found.which].astype("i8"), each)
         at = np.concatenate([np.zeros(1, "i8"), np.cumsum(each)])
         self.places = at[found.ends]
-        lacks = np.stack([core == missing, tail_there & (tail == missing)], axis=1)
-        holes = np.flatnonzero(lacks.any(axis=1)[found.which])
-        text = found.texts()[holes]
-        self.holes: list[tuple[int, int, str, int]] = []
-        for i, t in zip(holes.tolist(), text.tolist(), strict=True):
-            w, place = found.which[i], int(at[i] - self.places[t])
-            for half, lack in enumerate(lacks[w].tolist()):
-                if lack:
-                    self.holes.append((t, 2 * (i - int(found.ends[t])) + half, found.tails[w] if half else found.cores[w], place + (int(lengths[w, 0]) if half else 0)))
+        self.number = np.flatnonzero((code == len(table.words))[found.which])
+        self.text = np.searchsorted(found.ends, self.number, side="right") - 1
+        self.position = (self.number - found.ends[self.text]).astype("i4")
+        self.place = (at[self.number] - self.places[self.text]).astype("i4")
 
 
 def _kept(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -222,7 +190,7 @@ def _kept(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
 def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``keys`` and ``ids`` (array<int>) of each row's text. ``sent_bytes`` bounds
     the table of words that is broadcast; results don't depend on it."""
-    keys, kind = list(keys), vocabulary(path).kind
+    keys, kind = list(keys), Vocabulary(path).kind
     words = word_table(df, path, text=text)
     least = _often(words, sent_bytes)
     table = df.sparkSession.sparkContext.broadcast(_Table(words.where(F.col("n") >= least).select("word", "ids").toArrow(), kind))
@@ -233,7 +201,7 @@ def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text"
     if least == 1:  # all words are common
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _batches(batches, at):
-                made = _Joined(_Words(batch.column(at), vocabulary(path)), table.value)
+                made = _Joined(_Words(batch.column(at)), table.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists(made.ids, made.places)], [*keys, "ids"])
 
         return df.select(*keys, words_of(F.col(text)).alias("_words")).mapInArrow(whole, done)
@@ -245,19 +213,19 @@ def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text"
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zs.ZstdCompressor(level=1).compress
         for batch in _batches(batches, at + 2):
-            made = _Joined(_Words(batch.column(at + 2), vocabulary(path)), table.value)
-            holes: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for t, position, _, place in made.holes:
-                holes[t] += (position, place)
+            made = _Joined(_Words(batch.column(at + 2)), table.value)
             ids = [squeeze(made.ids[a:b].tobytes()) for a, b in pairwise(made.places.tolist())]
-            gaps = [squeeze(np.diff(np.array(h, "i4").reshape(-1, 2), axis=0, prepend=np.zeros((1, 2), "i4")).T.tobytes()) if h else None for h in holes]
+            cuts = np.searchsorted(made.text, np.arange(batch.num_rows + 1)).tolist()
+            steps = lambda x: np.diff(x, prepend=np.int32(0))  # noqa: E731  small numbers are squeezed better
+            gaps = [squeeze(np.concatenate([steps(made.position[a:b]), steps(made.place[a:b])]).tobytes()) if a < b else None for a, b in pairwise(cuts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], pa.array(ids, pa.binary()), pa.array(gaps, pa.binary())], [*keys, "_h", "_len", "_known", "_holes"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches, 2):
-            holes = _Joined(_Words(batch.column(2), vocabulary(path)), table.value).holes
-            rows = pa.array([h[0] for h in holes], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([h[1] for h in holes], pa.int32()), pa.array([h[2] for h in holes], pa.string())], ["_h", "_len", "_at", "word"])
+            found = _Words(batch.column(2))
+            made = _Joined(found, table.value)
+            rows = pa.array(made.text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(made.position), found.words.take(pa.array(found.which[made.number]))], ["_h", "_len", "_at", "word"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zs.ZstdDecompressor().decompress
@@ -289,47 +257,34 @@ def _patched(ids: np.ndarray, holes: np.ndarray, rare: dict[int, bytes], kind: s
 
 
 def decoded(df: DataFrame, path: str, *, keys: Sequence[str], ids: str = "ids") -> DataFrame:
-    """``keys`` and ``decoded``, the text of each row's ``ids``: ids are joined to
+    """``keys``, ``ids_sha256`` (lowercase hex, of the decimal ids joined by
+    commas) and ``decoded``, the text of each row's ``ids``: ids are joined to
     their pieces, the pieces' bytes put together and read as UTF-8, with a
     replacement character for what isn't. Ids without a piece, and null ones, are
-    passed over, as the library does; null and empty arrays give an empty text."""
+    passed over by the text, as the library does; null ones count as -1 in the
+    digest. Null and empty arrays give an empty text."""
     keys = list(keys)
+    table = df.sparkSession.sparkContext.broadcast(Vocabulary(path).pieces())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
+        pieces = pa.array(table.value, pa.binary())
+        names = pa.array([b"%d," % i for i in range(len(pieces) - 1)], pa.binary())
         for batch in slices(batches, 2000, len(keys), BATCH_BYTES):
             column = pc.coalesce(batch.column(len(keys)), pa.scalar([], batch.schema.field(len(keys)).type))
-            flat = column.flatten()
-            each = np.asarray(flat.fill_null(-1), dtype="i8")
-            each = np.where((each < 0) | (each >= len(pieces)), len(pieces) - 1, each)
-            joined = pieces.take(pa.array(each))
-            ends = np.concatenate([np.zeros(1, "i8"), np.cumsum(np.asarray(pc.binary_length(joined), dtype="i8"))])
-            raw = b"".join(joined.to_pylist()) if joined.offset else (joined.buffers()[2].to_pybytes() if joined.buffers()[2] else b"")
-            cuts = ends[np.asarray(column.offsets, dtype="i8") - column.offsets[0].as_py()].tolist()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in pairwise(cuts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keys, "decoded"])
-
-    return df.select(*keys, ids).mapInArrow(read, T.StructType([*_kept(df, keys), T.StructField("decoded", T.StringType(), False)]))
-
-
-def _pieces(path: str) -> pa.Array:
-    """Pieces by id, the last one empty: that of ids that have none."""
-    pieces = dict(vocabulary(path).pieces())
-    return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 2)], pa.binary())
-
-
-def digests(df: DataFrame, *, key: str, ids: str = "ids") -> DataFrame:
-    """key, n_tokens, ids_sha256 (of the decimal ids joined by commas) and ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[bytes] = []
-        for batch in slices(batches, 2000, 1, BATCH_BYTES):
-            made = []
-            for x in batch.column(1):
-                each = np.asarray(x.values, dtype="i8").tolist()
-                top = max(each, default=-1)
-                names += [b"%d" % i for i in range(len(names), top + 1)]
-                made.append((len(each), hashlib.sha256(b",".join([names[i] for i in each])).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), batch.column(1)], [key, "n_tokens", "ids_sha256", "ids"])
-
-    return df.select(key, ids).mapInArrow(run, T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("ids", df.schema[ids].dataType)]))
+            each = np.asarray(column.flatten().fill_null(-1), dtype="i8")
+            known = (each >= 0) & (each < len(names))
+            ends = np.asarray(column.offsets, dtype="i8") - column.offsets[0].as_py()
+            texts = [x.decode("utf-8", "replace") for x in _cut(pieces.take(pa.array(np.where(known, each, len(names)))), ends)]
+            listed = names.take(pa.array(each)) if known.all() else pa.array([b"%d," % i for i in each.tolist()], pa.binary())
+            digests = [hashlib.sha256(x[:-1]).hexdigest() for x in _cut(listed, ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(digests, pa.string()), pa.array(texts, pa.string())], [*keys, "ids_sha256", "decoded"])
+
+    more = [T.StructField(c, T.StringType(), False) for c in ("ids_sha256", "decoded")]
+    return df.select(*keys, ids).mapInArrow(read, T.StructType([*_kept(df, keys), *more]))
+
+
+def _cut(values: pa.BinaryArray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of values from each place to the next, put together."""
+    raw = memoryview(b"".join(values.to_pylist())) if values.offset or values.buffers()[2] is None else memoryview(values.buffers()[2])
+    at = np.concatenate([np.zeros(1, "i8"), np.cumsum(np.asarray(pc.binary_length(values), dtype="i8"))])[ends].tolist()
+    return [bytes(raw[a:b]) for a, b in pairwise(at)]
