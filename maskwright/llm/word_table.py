@@ -3,10 +3,12 @@
 Spark splits texts into words and counts the distinct ones, each of which the
 ``tokenizers`` library encodes once. The words' ids are then joined back by
 position: the commonest words, as many as fit a stated number of bytes, by a
-broadcast table that tasks look whole columns of words up in; all others by a
-shuffle of their own occurrences, which are few for each word, so no key of that
-shuffle is hot. Decoding joins ids to their pieces in the same way; a vocabulary
-is bounded.
+broadcast table that tasks look whole columns of words up in. What is beyond
+that bound comes back in one of two ways. By default a task makes a word table
+of its own for each batch of texts, so a rare word is encoded once in each
+batch that holds it; ``join_rare`` joins the rare words' ids by a shuffle of their
+own occurrences instead, which are few for each word, so no key of it is hot.
+Decoding joins ids to their pieces in the same way; a vocabulary is bounded.
 
 A word begins at a space that no white space follows: the pre-tokeniser cuts
 there always, so words are encoded as they are within their text. Only that
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -124,11 +126,7 @@ def word_table(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([found.words.filter(pa.array(n > 0)), pa.array(n[n > 0])], ["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if kind == "<u2":
-            ids_of = Encoder(path)._pieces  # many words in a call
-        else:
-            library = tokenizer(path)
-            ids_of = lambda words: [np.array(e.ids, dtype=kind).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+        ids_of = _encode(path, kind)
         for batch in slices(batches, 20_000, text=0):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids_of(batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
@@ -167,14 +165,20 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 class _Joined:
-    """A batch's words joined to the common ones: ``ids`` of all texts, ``places``
-    where each text's begin, and of the words that aren't common their number
-    in the batch, text, position in it and place in its ids."""
-
-    def __init__(self, found: _Words, table: _Table) -> None:
-        code = table.find(found.words)
-        each = table.lengths[code][found.which].astype("i8")
-        self.ids = _gathered(table.flat, table.starts[code][found.which].astype("i8"), each)
+    """A batch's words joined to the common ones, and to those of the batch if
+    there is a way to encode them: ``ids`` of all texts, ``places`` where each
+    text's begin, and of the words left their number in the batch, text, position in it and place in its ids."""
+
+    def __init__(self, found: _Words, table: _Table, encode: Callable[[list[str]], list[bytes]] | None = None) -> None:
+        code, (lengths, starts, flat) = table.find(found.words), (table.lengths, table.starts, table.flat)
+        if encode is not None and (lacking := np.flatnonzero(code == len(table.words))).size:
+            ids = encode(found.words.take(pa.array(lacking)).to_pylist())
+            sizes = np.array([len(x) for x in ids], "i4") // flat.itemsize
+            lengths, starts = np.append(lengths, sizes), np.append(starts, len(flat) + np.cumsum(sizes, dtype="i4") - sizes)
+            flat = np.append(flat, np.frombuffer(b"".join(ids), dtype=flat.dtype))
+            code[lacking] = len(table.words) + 1 + np.arange(len(lacking))
+        each = lengths[code][found.which].astype("i8")
+        self.ids = _gathered(flat, starts[code][found.which].astype("i8"), each)
         at = np.concatenate([np.zeros(1, "i8"), np.cumsum(each)])
         self.places = at[found.ends]
         self.number = np.flatnonzero((code == len(table.words))[found.which])
@@ -187,9 +191,18 @@ def _kept(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
+def _encode(path: str, kind: str) -> Callable[[list[str]], list[bytes]]:
+    """The library's ids of words, as bytes."""
+    if kind == "<u2":
+        return Encoder(path)._pieces  # many words in a call
+    library = tokenizer(path)
+    return lambda words: [np.array(e.ids, dtype=kind).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", sent_bytes: int = SENT_BYTES, join_rare: bool = False) -> DataFrame:
     """``keys`` and ``ids`` (array<int>) of each row's text. ``sent_bytes`` bounds
-    the table of words that is broadcast; results don't depend on it."""
+    the table of words that is broadcast and ``join_rare`` says how all others
+    come back; results don't depend on either."""
     keys, kind = list(keys), Vocabulary(path).kind
     words = word_table(df, path, text=text)
     least = _often(words, sent_bytes)
@@ -198,10 +211,11 @@ def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text"
     done = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     lists = lambda ids, places: pa.ListArray.from_arrays(pa.array(places.astype("i4")), pa.array(ids.astype("i4")))
 
-    if least == 1:  # all words are common
+    if least == 1 or not join_rare:
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids_of = _encode(path, kind) if least > 1 else None
             for batch in _batches(batches, at):
-                made = _Joined(_Words(batch.column(at)), table.value)
+                made = _Joined(_Words(batch.column(at)), table.value, ids_of)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists(made.ids, made.places)], [*keys, "ids"])
 
         return df.select(*keys, words_of(F.col(text)).alias("_words")).mapInArrow(whole, done)

@@ -26,11 +26,11 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-@pytest.mark.parametrize("sent", [1 << 20, 300, 0])
-def test_equals_the_library(spark, library, sent):
+@pytest.mark.parametrize("sent,join", [(1 << 20, False), (300, False), (0, False), (300, True), (0, True)])
+def test_equals_the_library(spark, library, sent, join):
     texts = [*ODD, *ODD]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "k int, text string, word string")
-    got = W.decoded(W.encoded(df, PATH, keys=["k"], sent_bytes=sent), PATH, keys=["k", "ids"]).collect()
+    got = W.decoded(W.encoded(df, PATH, keys=["k"], sent_bytes=sent, join_rare=join), PATH, keys=["k", "ids"]).collect()
     assert sorted(r.k for r in got) == list(range(len(texts)))
     for r in got:
         want = library.encode(texts[r.k] or "", add_special_tokens=False).ids
