@@ -155,7 +155,7 @@ class _Table:
 
     def find(self, words: pa.StringArray) -> np.ndarray:
         """Places of words; the last place for those that aren't there."""
-        return np.asarray(pc.index_in(words, value_set=self.words).fill_null(len(self.words)), dtype="i4")
+        return np.array(pc.index_in(words, value_set=self.words).fill_null(len(self.words)), dtype="i4")
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
