@@ -6,9 +6,12 @@ a scan is a projection: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import folded, let, replaced
 from .checksums import digits, luhn, verhoeff
 from .rules import SEVERE, SHORT_TOKENS, SPACE, TEXT_RULES, TextRule, java
 
@@ -25,17 +28,19 @@ CHECKS = {
 SEVERE_RULES = tuple(r for r in TEXT_RULES if r.severity >= SEVERE)
 
 
-def _rule_hits(text: Column, rule: TextRule) -> Column:
-    pattern = java(rule.pattern)
+def matches_at(text: Column, pattern: str, kind: str, made: Callable[[Column, Column], Column]) -> Column:
+    """Array of ``made(start, match)`` (of the SQL type ``kind``) for the leftmost matches of a Java pattern, from left to right."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.greatest(F.size(matches), F.lit(0))), matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
+    pairs = let(matches, lambda ms: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms)), ms, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))))
+    one = lambda at, p: F.struct((at + p["gap"] + F.length(p["m"])).alias("s"), F.array(made(at + p["gap"], p["m"])).alias("o"))
+    return folded(pairs, F.lit(0), one, kind)
+
 
+def _rule_hits(text: Column, rule: TextRule) -> Column:
     def hit(at: Column, m: Column) -> Column:
         return F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.token).alias("token"), F.lit(rule.severity).alias("severity"), F.lit(rule.label).alias("label"), at.alias("index"), F.length(m).alias("length"), m.alias("text"))
 
-    found = F.aggregate(pairs, start, lambda a, p: F.struct((a["at"] + p["gap"] + F.length(p["m"])).alias("at"), F.concat(a["out"], F.array(hit(a["at"] + p["gap"], p["m"]))).alias("out")), lambda a: a["out"])
+    found = matches_at(text, java(rule.pattern), HIT, hit)
     if rule.check:
         found = F.filter(found, lambda h: CHECKS[rule.check](h["text"]))
     none = F.array().cast(f"array<{HIT}>")
@@ -78,7 +83,7 @@ def has_severe(text: Column) -> Column:
 
 
 def _replaced(text: Column, ordered: Column) -> Column:
-    """Tokens put in for hits, which come from right to left."""
+    """Tokens put in for hits, which come from right to left; for short texts."""
     return F.aggregate(ordered, text, lambda out, h: F.concat(F.substring(out, F.lit(1), h["index"]), h["token"], F.substring(out, h["index"] + h["length"] + 1, F.length(out))))
 
 
@@ -87,7 +92,7 @@ def scrub(text: Column) -> Column:
     their tokens from right to left. Overlapping hits splice by their original
     offsets, as the reference semantics have it; ``redact`` does not."""
     clean = F.substring(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")), 1, 120)
-    return F.transform(F.array(clean), lambda t: _replaced(t, _right_to_left(scan_text(t))))[0]
+    return let(clean, lambda t: _replaced(t, _right_to_left(scan_text(t))))
 
 
 def _right_to_left(found: Column) -> Column:
@@ -99,25 +104,20 @@ def _right_to_left(found: Column) -> Column:
 def _disjoint(found: Column) -> Column:
     """Leftmost, then longest, hits without overlaps."""
     keyed = F.array_sort(F.transform(found, lambda h: F.struct(h["index"].alias("k"), (-h["length"]).alias("l"), h.alias("h"))))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{HIT}>").alias("out"))
-    step = lambda a, x: F.when(x["k"] >= a["end"], F.struct((x["k"] + x["h"]["length"]).alias("end"), F.concat(a["out"], F.array(x["h"])).alias("out"))).otherwise(a)
-    return F.aggregate(keyed, start, step, lambda a: a["out"])
+    none = F.array().cast(f"array<{HIT}>")
+    step = lambda end, x: F.when(x["k"] >= end, F.struct((x["k"] + x["h"]["length"]).alias("s"), F.array(x["h"]).alias("o"))).otherwise(F.struct(end.alias("s"), none.alias("o")))
+    return folded(keyed, F.lit(0), step, HIT)
 
 
 def redact(text: Column, found: Column) -> Column:
-    """The text with its leftmost-longest hits replaced by their tokens."""
-    kept = _disjoint(found)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, h: F.struct((h["index"] + h["length"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, h["index"] - a["at"]), h["token"]).alias("out"))
-    done = F.aggregate(kept, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with its leftmost-longest hits replaced by their tokens; time grows with the text and its hits."""
+    return replaced(text, _disjoint(found), lambda h: h["index"], lambda h: h["index"] + h["length"], lambda h: h["token"])
 
 
 def token_counts(tokens: Column) -> Column:
     """'token×count' of the tokens, sorted and comma-joined, or a fixed sentence without any."""
-    distinct = F.array_sort(F.array_distinct(tokens))
-    listed = F.transform(distinct, lambda t: F.concat(t, F.lit("×"), F.size(F.filter(tokens, lambda x: x == t)).cast("string")))
-    return F.when(F.size(tokens) > 0, F.array_join(listed, ", ")).otherwise("no redacted regions on this frame")
+    listed = lambda ts: F.transform(F.array_sort(F.array_distinct(ts)), lambda t: F.concat(t, F.lit("×"), F.size(F.filter(ts, lambda x: x == t)).cast("string")))
+    return let(tokens, lambda ts: F.when(F.size(ts) > 0, F.array_join(listed(ts), ", ")).otherwise("no redacted regions on this frame"))
 
 
 def short_token(token: Column) -> Column:

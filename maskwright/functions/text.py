@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import blocks, cut, let
+
 # Words that carry no target, and the verbs of each kind of action.
 STOP_WORDS = ("the", "a", "an", "and", "then", "to", "into", "in", "on", "of", "for", "please", "my", "with", "at", "it", "that", "this", "new", "go")
 CLICK_VERBS = ("click", "open", "press", "tap", "select", "choose", "hit", "activate", "submit", "start", "goto")
@@ -107,25 +109,27 @@ def json_object(text: Column) -> Column:
     """The JSON object of a model's answer, as text: code fences are stripped; if
     the rest is no object, the first balanced braces of any depth that parse.
     Braces inside strings count like others. Null if there is none."""
-    bare = F.btrim(F.regexp_replace(F.btrim(text), r"(?m)^```(?:json)?|```$", ""))
     # The parser passes over what follows a value, but not inside another one.
     parses = lambda s: F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"k":'), s, F.lit("}"))).isNotNull()
-    braces = F.regexp_extract_all(bare, F.lit(r"[{}]"), F.lit(0))
-    gaps = F.split(bare, r"[{}]", -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(braces), F.lit(0))), braces, lambda g, b: F.struct(F.length(g).alias("gap"), b.alias("b")))
-
-    def step(a: Column, x: Column) -> Column:
-        at = a["at"] + x["gap"] + 1  # the brace's place, from 1
-        opens = x["b"] == "{"
-        depth = a["depth"] + F.when(opens, 1).otherwise(-1)
-        start = F.when(opens & (a["depth"] == 0), at).otherwise(a["start"])
-        ends = ~opens & (depth == 0) & (a["start"] > 0) & a["found"].isNull()
-        whole = F.when(ends, F.substring(bare, a["start"], at - a["start"] + 1))
-        return F.struct(at.alias("at"), depth.alias("depth"), F.when(ends, 0).otherwise(start).alias("start"), F.coalesce(a["found"], F.when(parses(whole), whole)).alias("found"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(None).cast("string").alias("found"))
-    inside = F.aggregate(steps, begin, step, lambda a: a["found"])
-    return F.when(bare.startswith("{") & parses(bare), bare).otherwise(inside)
+
+    def first_inside(bare: Column, pieces: Column) -> Column:
+        braces = F.regexp_extract_all(bare, F.lit(r"[{}]"), F.lit(0))
+        steps = let(braces, lambda bs: F.zip_with(F.slice(F.split(bare, r"[{}]", -1), F.lit(1), F.size(bs)), bs, lambda g, b: F.struct(F.length(g).alias("gap"), b.alias("b"))))
+
+        def step(a: Column, x: Column) -> Column:
+            at = a["at"] + x["gap"] + 1  # the brace's place, from 1
+            opens = x["b"] == "{"
+            depth = a["depth"] + F.when(opens, 1).otherwise(-1)
+            start = F.when(opens & (a["depth"] == 0), at).otherwise(a["start"])
+            ends = ~opens & (depth == 0) & (a["start"] > 0) & a["found"].isNull()
+            found = F.when(ends, let(cut(pieces, a["start"] - 1, at), lambda whole: F.when(parses(whole), whole)))
+            return F.struct(at.alias("at"), depth.alias("depth"), F.when(ends, 0).otherwise(start).alias("start"), F.coalesce(a["found"], found).alias("found"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(None).cast("string").alias("found"))
+        return F.aggregate(steps, begin, step, lambda a: a["found"])
+
+    bare = F.btrim(F.regexp_replace(F.btrim(text), r"(?m)^```(?:json)?|```$", ""))
+    return let(bare, lambda b: F.when(b.startswith("{") & parses(b), b).otherwise(let(blocks(b), lambda pieces: first_inside(b, pieces))))
 
 
 def without_slash(url: Column) -> Column:

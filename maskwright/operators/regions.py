@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import stored
 
 #: Side of the grid cells that turn box overlap into an equality join.
 CELL = 128
@@ -109,6 +110,28 @@ def hit_test(points: DataFrame, boxes: DataFrame, keys: list[str], id_: str, *,
     return points.join(top, [*keys, id_], "left")
 
 
+def descended(points: DataFrame, frames: DataFrame, point: str, *, levels: int = 6, cell: int = CELL) -> DataFrame:
+    """``points`` (point, x, y) followed through nested ``frames`` (id, parent
+    null for tops, box in the parent; a later id lies above an earlier one): with
+    depth, frame, x and y of the innermost frame that holds each point, x and y
+    in its own coordinates. At every level only points that were inside a frame
+    go on, by a join on the frame and a grid cell; a point in no frame keeps
+    depth 0 and a null frame, and a frame below ``levels`` isn't entered."""
+    cells = _celled(frames.select("id", F.coalesce("parent", F.lit("")).alias("_in"), "box"), "box", cell)
+    at = points.select(point, F.lit(0).alias("depth"), F.lit(None).cast("string").alias("frame"), "x", "y")
+    done = None
+    for level in range(1, levels + 1):
+        asked = at.withColumns({"_in": F.coalesce("frame", F.lit("")), "_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+        held = asked.join(cells, ["_in", "_cx", "_cy"]).where(G.holds(F.col("box"), F.col("x"), F.col("y")))
+        top = held.groupBy(point).agg(F.max_by(F.struct("id", "box"), "id").alias("_t"))
+        met = at.join(top, point, "left")
+        inner = met.where("_t IS NOT NULL").select(point, F.lit(level).alias("depth"), F.col("_t.id").alias("frame"), (F.col("x") - F.col("_t.box.x")).alias("x"), (F.col("y") - F.col("_t.box.y")).alias("y"))
+        stay = met.where("_t IS NULL").drop("_t")
+        done = stay if done is None else done.unionByName(stay)
+        at = stored(inner, "inner")
+    return done.unionByName(at)
+
+
 def gathered(*frames: DataFrame) -> DataFrame:
     """The regions of several frames or lenses as one table; columns that one lacks are null."""
     out = frames[0]

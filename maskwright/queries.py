@@ -326,14 +326,19 @@ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, CAST(c_custkey % 320 AS I
   FROM t JOIN f ON f.parent = t.id WHERE depth < 6 AND least(t.cx + t.cw, t.ox + f.x + f.w) > greatest(t.cx, t.ox + f.x) AND least(t.cy + t.ch, t.oy + f.y + f.h) > greatest(t.cy, t.oy + f.y))
 SELECT * FROM t""")
 def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.frame_offsets(_frame_tree(spark, sf_dir)).select("id", "ox", "oy", F.col("clip.x").alias("cx"), F.col("clip.y").alias("cy"), F.col("clip.w").alias("cw"), F.col("clip.h").alias("ch"), "depth")
+
+
+def _frame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions hold nations, which hold customers."""
+
     def frames(name: str, key: str, id_: str, parent, x, y, w: int, h: int) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(id_), F.col(key).cast("string")).alias("id"), parent.alias("parent"), geometry.box(x, y, F.lit(w), F.lit(h)).alias("box"))
 
     r, n, c = F.col("r_regionkey"), F.col("n_nationkey"), F.col("c_custkey")
     f = frames("region", "r_regionkey", "r", F.lit(None).cast("string"), r * 50, r * 20, 900, 560)
     f = f.union(frames("nation", "n_nationkey", "n", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), n * 30, n * 15, 300, 200))
-    f = f.union(frames("customer", "c_custkey", "c", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), c % 320, c % 210, 60, 40))
-    return regions.frame_offsets(f).select("id", "ox", "oy", F.col("clip.x").alias("cx"), F.col("clip.y").alias("cy"), F.col("clip.w").alias("cw"), F.col("clip.h").alias("ch"), "depth")
+    return f.union(frames("customer", "c_custkey", "c", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), c % 320, c % 210, 60, 40))
 
 
 # ---- vision ----
@@ -692,11 +697,11 @@ _PLANT = list(_PLANTED.values())
 
 
 def _planted_sql(keys: str = "doc_id") -> str:
-    return f"SELECT {keys}, substr(text, 1, 200) || ' ' || ({_PLANT})[CAST(doc_id % {len(_PLANT)} + 1 AS INTEGER)] || ' end' AS text FROM documents"
+    return f"SELECT {keys}, text || ' ' || ({_PLANT})[CAST(doc_id % {len(_PLANT)} + 1 AS INTEGER)] || ' end' AS text FROM documents"
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.substring("text", 1, 200), F.lit(" "), F.get(F.array(*map(F.lit, _PLANT)), F.col("doc_id") % len(_PLANT)), F.lit(" end"))
+    t = F.concat("text", F.lit(" "), F.get(F.array(*map(F.lit, _PLANT)), F.col("doc_id") % len(_PLANT)), F.lit(" end"))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 

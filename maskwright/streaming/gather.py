@@ -95,13 +95,16 @@ def rolling_audit(events: DataFrame, *, every: str = "1 hour", late: str | None
 
 
 def captured_scans(scans: DataFrame, captures: DataFrame, *, within: str = "2 seconds") -> DataFrame:
-    """Scans joined to the captures of the same scan taken close to them. With
-    streams, watermarks on both sides bound the state."""
+    """Every scan with each capture of the same scan taken ``within`` of it, or
+    with none: columns of both, the capture's time as captured_at. Of streams,
+    rows later than ``within`` are dropped, a scan without a capture comes out
+    when the watermarks say that none can come, and both sides' state is kept only
+    as long as a partner may come."""
     a, b = scans.alias("a"), captures.withColumnsRenamed({"scan_id": "capture_id", "ts": "captured_at"}).alias("b")
     if scans.isStreaming:
         a, b = scans.withWatermark("ts", within).alias("a"), b.withWatermark("captured_at", within)
     near = F.expr(f"scan_id = capture_id AND captured_at BETWEEN ts - interval {within} AND ts + interval {within}")
-    return a.join(b, near)
+    return a.join(b, near, "left")
 
 
 def forwarded(verdicts: DataFrame, send) -> object:

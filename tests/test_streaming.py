@@ -75,3 +75,34 @@ def test_rolling_audit_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("rolled").collect()) == sorted(gather.rolling_audit(df).collect())
+
+
+def test_machine_gathers_forgets_and_drops_late_replies(spark, tmp_path):
+    from maskwright.streaming import machines
+
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    batches = [[(1, 1, at(0), 1, 5), (7, 1, at(0), 0, 1)], [(9, 9, at(1000), 0, 0)], [(1, 2, at(1500), 0, 7), (7, 2, at(1500), 0, 1)], [(9, 10, at(200_000), 0, 0)], [(7, 1, at(200_001), 0, 3)], [(9, 11, at(900_000), 0, 0)]]
+    out = machines.drained(spark, {"replies": [make(b) for b in batches]}, machines.gathered_stream, "late").collect()
+    got = sorted((r.scan_id, r.replies, r.nodes, r.complete) for r in out if r.scan_id != 9)
+    # Scan 7 is done with its first reply, is forgotten in time, and then begins anew.
+    assert got == [(1, 1, 5, False), (7, 1, 1, True), (7, 1, 3, True)]
+
+
+def test_run_machine_stops_at_ends_and_at_its_budget(spark):
+    from maskwright.streaming import machines
+
+    rows = [(1, at(i), i, "step", i % 2 == 0) for i in range(12)] + [(2, at(1), 1, "step", True), (2, at(2), 2, "blocked", False), (2, at(3), 3, "step", True), (3, at(5), 1, "step", None)]
+    df = spark.createDataFrame(rows, "run_id long, ts timestamp, seq long, event string, ok boolean")
+    out = machines.drained(spark, {"steps": [df.where("seq < 2"), df.where("seq >= 2")]}, machines.run_stream, "runs").collect()
+    last = {r.run_id: (r.steps, r.status, r.history) for r in sorted(out, key=lambda r: r.steps)}
+    assert last == {1: (8, "budget", "3:t,4:f,5:t,6:f,7:t,8:f"), 2: (2, "blocked", "1:t,2:f"), 3: (1, "running", "1:f")}
+
+
+def test_scans_without_captures_come_out_and_late_ones_do_not(spark):
+    from maskwright.streaming import machines
+
+    a = [[(1, at(0)), (2, at(0))], [(9, at(60_000))], [(3, at(100))], [(9, at(600_000))]]
+    b = [[(1, at(900), "x"), (2, at(9000), "y")], [(9, at(60_000), "z")], [(1, at(500), "late")], [(9, at(600_000), "z")]]
+    sources = {"scans": [spark.createDataFrame(x, "scan_id long, ts timestamp").coalesce(1) for x in a], "captures": [spark.createDataFrame(x, "scan_id long, ts timestamp, image string").coalesce(1) for x in b]}
+    out = machines.drained(spark, sources, lambda scans, captures: gather.captured_scans(scans, captures).select("scan_id", "image"), "captures").collect()
+    assert sorted((r.scan_id, r.image) for r in out if r.scan_id != 9) == [(1, "x"), (2, None)]
