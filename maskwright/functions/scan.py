@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import folded, let, replaced
+from .arrays import folded, let, replaced, running
 from .checksums import digits, luhn, verhoeff
 from .rules import SEVERE, SHORT_TOKENS, SPACE, TEXT_RULES, TextRule, java
 
@@ -31,9 +31,11 @@ SEVERE_RULES = tuple(r for r in TEXT_RULES if r.severity >= SEVERE)
 def matches_at(text: Column, pattern: str, kind: str, made: Callable[[Column, Column], Column]) -> Column:
     """Array of ``made(start, match)`` (of the SQL type ``kind``) for the leftmost matches of a Java pattern, from left to right."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = let(matches, lambda ms: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms)), ms, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))))
-    one = lambda at, p: F.struct((at + p["gap"] + F.length(p["m"])).alias("s"), F.array(made(at + p["gap"], p["m"])).alias("o"))
-    return folded(pairs, F.lit(0), one, kind)
+    gaps = lambda ms: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms))
+    steps = lambda ms: F.zip_with(gaps(ms), ms, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("m")))
+    starts = lambda xs: F.zip_with(running(F.transform(xs, lambda x: x["gap"] + x["m"])), xs, lambda at, x: at + x["gap"])
+    found = let(matches, lambda ms: F.zip_with(let(steps(ms), starts), ms, made))
+    return F.when(text.isNotNull(), found).otherwise(F.lit(None).cast(f"array<{kind}>"))
 
 
 def _rule_hits(text: Column, rule: TextRule) -> Column:
@@ -104,9 +106,12 @@ def _right_to_left(found: Column) -> Column:
 def _disjoint(found: Column) -> Column:
     """Leftmost, then longest, hits without overlaps."""
     keyed = F.array_sort(F.transform(found, lambda h: F.struct(h["index"].alias("k"), (-h["length"]).alias("l"), h.alias("h"))))
-    none = F.array().cast(f"array<{HIT}>")
-    step = lambda end, x: F.when(x["k"] >= end, F.struct((x["k"] + x["h"]["length"]).alias("s"), F.array(x["h"]).alias("o"))).otherwise(F.struct(end.alias("s"), none.alias("o")))
-    return folded(keyed, F.lit(0), step, HIT)
+    flag = lambda n: F.array(F.lit(n))
+    step = lambda end, x: F.when(x["k"] >= end, F.struct((x["k"] - x["l"]).alias("s"), flag(1).alias("o"))).otherwise(F.struct(end.alias("s"), flag(0).alias("o")))
+    chosen = lambda xs: F.filter(F.zip_with(xs, folded(xs, F.lit(0), step, "int"), lambda x, keep: F.when(keep == 1, x)), lambda x: x.isNotNull())
+    # Mostly no hit meets the next one, and then all are kept.
+    apart = lambda xs: ~F.exists(F.transform(xs, lambda x, i: F.coalesce(F.get(xs, i + 1)["k"] < x["k"] - x["l"], F.lit(False))), lambda b: b)
+    return F.transform(let(keyed, lambda xs: F.when(apart(xs), xs).otherwise(chosen(xs))), lambda x: x["h"])
 
 
 def redact(text: Column, found: Column) -> Column:
