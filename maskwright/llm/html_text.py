@@ -44,6 +44,9 @@ HOLDS = frozenset("article body center dd div fieldset form html main section ta
 #: Opening one of these ends an open one of the same group.
 ENDS = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 
+_SHORT_COMMENT, _COMMENT_END = re.compile(r"<!---?>"), re.compile(r"--!?>")
+# A slash that ends a value without quotes is the value's.
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[\"'>]")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -84,8 +87,11 @@ class _Page:
         page = self.page
         while (begin := page.find("<", at)) >= 0:
             if page.startswith("<!--", begin):
-                end = page.find("-->", begin + 4)
-                return begin, end + 3 if end >= 0 else len(page), "", False, ""
+                short = _SHORT_COMMENT.match(page, begin)
+                if short:  # whole comments, though nothing else ends them
+                    return begin, short.end(), "", False, ""
+                end = _COMMENT_END.search(page, begin + 4)
+                return begin, end.end() if end else len(page), "", False, ""
             closes = page.startswith("</", begin)
             m = _NAME.match(page, begin + 1 + closes)
             if m:
@@ -177,10 +183,10 @@ def parsed(page: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
                     pass
             continue
         if tag in RAW:
-            if not (tag == "svg" and attributes.endswith("/")):
+            if not (tag == "svg" and _SELF_CLOSED.search(attributes)):
                 at = find.after(tag, at)
             continue
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or _SELF_CLOSED.search(attributes):
             continue
         for t in ENDS.get(tag, "").split():
             if any(x[0] == t for x in stack[-4:]):

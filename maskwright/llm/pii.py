@@ -26,7 +26,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import blocks, cut, folded, let, replaced
 from ..functions.checksums import digits, luhn
+from ..functions.scan import matches_at
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -62,19 +64,16 @@ FEATURES = {"kind": 4, "form": 4, "tail": 3, "left": 3, "right": 3, "cue": 3}
 MADE, FOLDS = 400, 5
 
 
+SPAN = "struct<start:int,k:int,end:int,m:string>"
+
+
 def _spans(text: Column, rule: str, kind: int) -> Column:
     """array<struct<start, k, end, m>> of a rule's leftmost matches, in code points, end exclusive."""
-    matches = F.regexp_extract_all(text, F.lit(rule), F.lit(0))
-    between = F.split(text, rule, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.greatest(F.size(matches), F.lit(0))), matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
-    kind_ = "array<struct<start:int,k:int,end:int,m:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind_).alias("out"))
-    added = lambda a, p: F.struct((a["at"] + p["gap"]).alias("start"), F.lit(kind).alias("k"), (a["at"] + p["gap"] + F.length(p["m"])).alias("end"), p["m"].alias("m"))
-    return F.aggregate(pairs, start, lambda a, p: F.struct((a["at"] + p["gap"] + F.length(p["m"])).alias("at"), F.concat(a["out"], F.array(added(a, p))).alias("out")), lambda a: a["out"])
+    return matches_at(text, rule, SPAN, lambda at, m: F.struct(at.alias("start"), F.lit(kind).alias("k"), (at + F.length(m)).alias("end"), m.alias("m")))
 
 
 def _tried(text: Column, hint: str, rule: str, kind: int) -> Column:
-    return F.when(text.rlike(hint), _spans(text, rule, kind)).otherwise(F.array().cast("array<struct<start:int,k:int,end:int,m:string>>"))
+    return F.when(text.rlike(hint), _spans(text, rule, kind)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _sound(kind: str, m: Column) -> Column:
@@ -95,13 +94,13 @@ def _sound_more(k: Column, m: Column) -> Column:
     return F.when(k == KINDS.index("card"), luhn(digits(m))).otherwise(True)
 
 
-def _described(text: Column, s: Column) -> Column:
-    """The span with its features as small integers. form and tail are of its
+def _described(parts: Column, size: Column, s: Column) -> Column:
+    """The span of a text (given as blocks, and its length) with its features as small integers. form and tail are of its
     kind: how an address is written and ends, of what an IP address's groups
     are, and what stands between groups of digits."""
     m, kind = s["m"], s["k"]
-    before = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-    left, right = F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(text, s["end"] + 1, F.lit(1))
+    before = cut(parts, F.greatest(s["start"] - 40, F.lit(0)), s["start"])
+    left, right = F.right(before, F.lit(1)), cut(parts, s["end"], F.least(s["end"] + 1, size))
     side = lambda c: F.when(c.rlike(r"^[\p{L}\p{N}]"), 2).when(c.rlike(r"^[^\s.,;:!?()]"), 1).otherwise(0)
     word_at, word_dot = m.rlike(r"[(\[]at[)\]]"), m.rlike(r"[(\[]dot[)\]]")
     seps = F.size(F.array_distinct(F.filter(F.split(m, "[A-Za-z0-9]+"), lambda c: c != "")))
@@ -123,11 +122,29 @@ def candidates(docs: DataFrame, text: str, base: str, other: str) -> DataFrame:
     names = [f"{k}_{tag}" for k in KINDS]
     forms = docs.withColumns({n: _tried(t, HINT[k], BASE[k], i) for i, (k, n) in enumerate(zip(KINDS, names, strict=True))} | {f"more_{n}": _tried(t, MORE_HINT[k], MORE[k], i) for i, (k, n) in enumerate(zip(KINDS, names, strict=True))})
     with_base = forms.withColumn(base, F.array_sort(F.concat(*[_kept(n, k) for k, n in zip(KINDS, names, strict=True)])))
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = F.transform(F.filter(F.concat(*[F.col(f"more_{n}") for n in names]), lambda s: apart(s) & _sound_more(s["k"], s["m"])), lambda s: _described(t, s))
+    loose = F.array_sort(F.filter(F.concat(*[F.col(f"more_{n}") for n in names]), lambda s: _sound_more(s["k"], s["m"])))
+    described = lambda found, parts: F.transform(found, lambda s: _described(parts, F.length(t), s))
+    found = let(_apart(loose, F.col(base)), lambda x: F.when(F.size(x) > 0, let(blocks(t), lambda parts: described(x, parts))).otherwise(described(x, F.array().cast("array<string>"))))
     return with_base.withColumn(other, found).drop(*names, *[f"more_{n}" for n in names])
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """Spans, by start, that meet no base span (by start too). Both are laid out
+    as one row of bounds; a base span before one may reach into it, the next one
+    after it may begin in it. Where there are no base spans all stay."""
+    every = F.array_sort(F.concat(F.transform(base, lambda b: _bound(b, 0)), F.transform(spans, lambda s, i: _bound(s, 1))))
+    reach = lambda xs: folded(xs, F.lit(0), lambda top, x: F.struct(F.when(x["own"] == 0, F.greatest(top, x["end"])).otherwise(top).alias("s"), F.array(top).alias("o")), "int")
+    far = F.lit(2_147_483_647)
+    ahead = lambda xs: F.reverse(folded(F.reverse(xs), far, lambda low, x: F.struct(F.when(x["own"] == 0, x["start"]).otherwise(low).alias("s"), F.array(low).alias("o")), "int"))
+    clear = lambda x, before, after: F.when((x["own"] == 1) & (before <= x["start"]) & (after >= x["end"]), x["span"])
+    both = lambda xs: F.zip_with(F.zip_with(xs, reach(xs), lambda x, r: F.struct(x.alias("x"), r.alias("r"))), ahead(xs), lambda y, n: clear(y["x"], y["r"], n))
+    return F.when(F.size(base) == 0, spans).otherwise(let(every, lambda xs: F.filter(both(xs), lambda s: s.isNotNull())))
+
+
+def _bound(s: Column, own: int) -> Column:
+    return F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span"))
+
+
 def _kept(column: str, kind: str) -> Column:
     return F.filter(column, lambda s: _sound(kind, s["m"]))
 
@@ -291,10 +308,22 @@ def private_spans(docs: DataFrame, *, text: str = "text", precision: float = 0.9
     ranked = F.array_sort(F.transform(F.filter(other, passes), lambda s: F.struct((-_scored(trees, s)).alias("m"), s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))))
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
     clear = lambda kept, s: ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.aggregate(ranked, none, lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(slim(s)))).otherwise(kept))
+    greedy = lambda group: F.aggregate(group, none, lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(slim(s)))).otherwise(kept))
+    added = F.flatten(F.transform(_groups(ranked), greedy))
     return found.withColumn("base", base).withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).drop(other)
 
 
+def _groups(ranked: Column) -> Column:
+    """Spans in groups that don't meet each other, each in its given order. A
+    group is a chain of spans, by start, of which each begins before all earlier ones end."""
+    placed = F.array_sort(F.transform(ranked, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), s.alias("s"))))
+    opens = lambda end, x: F.struct(F.greatest(end, x["end"]).alias("s"), F.array((x["start"] >= end).cast("int")).alias("o"))
+    begins = lambda xs: F.filter(F.transform(folded(xs, F.lit(0), opens, "int"), lambda b, i: F.when(b == 1, i)), lambda i: i.isNotNull())
+    group = lambda xs, a, b: F.transform(F.array_sort(F.transform(F.slice(xs, a + 1, b - a), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+    cut_up = lambda xs: let(begins(xs), lambda at: F.transform(at, lambda a, i: group(xs, a, F.coalesce(F.get(at, i + 1), F.size(xs)))))
+    return let(placed, cut_up)
+
+
 def listed(spans: str) -> Column:
     """kind:start:end, comma-joined."""
     kinds = F.array(*map(F.lit, KINDS))
@@ -303,11 +332,9 @@ def listed(spans: str) -> Column:
 
 def redacted(text: Column, spans: str) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, of the first one's kind."""
-    some = "array<struct<start:int,k:int,end:int>>"
-    last = lambda m: F.try_element_at(m, F.lit(-1))
-    widened = lambda m, s: F.concat(F.slice(m, 1, F.size(m) - 1), F.array(F.struct(last(m)["start"].alias("start"), last(m)["k"].alias("k"), F.greatest(last(m)["end"], s["end"]).alias("end"))))
-    merged = F.aggregate(spans, F.array().cast(some), lambda m, s: F.when((F.size(m) > 0) & (F.try_element_at(m, F.lit(-1))["end"] > s["start"]), widened(m, s)).otherwise(F.concat(m, F.array(s))))
+    opens = lambda end, x: F.struct(F.greatest(end, x["end"]).alias("s"), F.array((x["start"] >= end).cast("int"), F.greatest(end, x["end"])).alias("o"))
+    # Of each span whether it begins a run of overlapping ones, and where the run ends so far.
+    marks = lambda xs: let(folded(xs, F.lit(0), opens, "int"), lambda o: F.transform(xs, lambda x, i: F.struct(x["start"].alias("start"), x["k"].alias("k"), F.get(o, 2 * i).alias("first"), F.get(o, 2 * i + 1).alias("end"), (F.coalesce(F.get(o, 2 * i + 2), F.lit(1)) == 1).alias("last"))))
+    pick = lambda ms: let(F.filter(ms, lambda m: m["last"]), lambda lasts: F.transform(F.filter(ms, lambda m: m["first"] == 1), lambda m, i: F.struct(m["start"].alias("start"), m["k"].alias("k"), F.get(lasts, i)["end"].alias("end"))))
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(merged, start, lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(kinds, s["k"])).alias("out")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return replaced(text, let(let(F.col(spans), marks), pick), lambda s: s["start"], lambda s: s["end"], lambda s: F.get(kinds, s["k"]))
