@@ -123,7 +123,7 @@ def candidates(docs: DataFrame, text: str, base: str, other: str) -> DataFrame:
     forms = docs.withColumns({n: _tried(t, HINT[k], BASE[k], i) for i, (k, n) in enumerate(zip(KINDS, names, strict=True))} | {f"more_{n}": _tried(t, MORE_HINT[k], MORE[k], i) for i, (k, n) in enumerate(zip(KINDS, names, strict=True))})
     with_base = forms.withColumn(base, F.array_sort(F.concat(*[_kept(n, k) for k, n in zip(KINDS, names, strict=True)])))
     loose = F.array_sort(F.filter(F.concat(*[F.col(f"more_{n}") for n in names]), lambda s: _sound_more(s["k"], s["m"])))
-    described = lambda found, parts: F.transform(found, lambda s: _described(parts, F.length(t), s))
+    described = lambda found, parts: let(F.length(t), lambda size: F.transform(found, lambda s: _described(parts, size, s)))
     found = let(_apart(loose, F.col(base)), lambda x: F.when(F.size(x) > 0, let(blocks(t), lambda parts: described(x, parts))).otherwise(described(x, F.array().cast("array<string>"))))
     return with_base.withColumn(other, found).drop(*names, *[f"more_{n}" for n in names])
 
