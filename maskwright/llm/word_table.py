@@ -40,11 +40,11 @@ from .common import slices, stored
 from .tokens import Encoder
 
 #: Bytes of common words and their ids that are sent to each task's process.
-SENT_BYTES = 32 << 20
+SENT_BYTES = 24 << 20
 #: Ids that a vocabulary may have; larger ones raise.
 MOST_IDS = 1_000_000
 #: Bytes of text that a task looks up at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: After a space these may count as white space: there no word begins.
 _DOUBTFUL = r"\x09-\x0D\x1C-\x20\x7F-\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF"

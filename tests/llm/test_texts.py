@@ -390,3 +390,58 @@ def test_structure_tells_where_the_text_is():
     found, elements = H.parsed(page)
     assert dict(zip((b.text for b in found), H.told(found, elements), strict=True)) == {"Home": 0, "Head": 1, "One sentence of some length.": 1, "Another sentence, no shorter.": 1, "Next page of it.": 0, "© Owner": 0}
     assert H.told(*H.parsed("<p>Only this.</p>")) is None and H.told(*H.parsed("")) is None
+
+
+def test_spans_of_texts_with_very_many_are_cut_merged_and_grouped_as_by_the_plain_rules(spark):
+    import random
+
+    from maskwright.llm import pii
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(300):
+        spans = lambda: sorted((rng.randrange(0, 60), rng.randrange(0, 4)) for _ in range(rng.randrange(0, 9)))
+        rows.append(([(a, k, a + 1 + rng.randrange(0, 9), "m") for a, k in spans()], [(-rng.random(), a, k, a + 1 + rng.randrange(0, 9)) for a, k in spans()], "".join(rng.choice("abcdef") for _ in range(80))))
+    df = spark.createDataFrame(rows, "base array<struct<start:int,k:int,end:int,m:string>>, ranked array<struct<m:double,start:int,k:int,end:int>>, t string")
+    slim = lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))
+    df = df.withColumns({"ranked": F.array_sort("ranked"), "spans": F.array_sort(F.transform("base", slim)), "loose": F.array_sort(F.transform("ranked", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit("q").alias("m"))))})
+    meets = lambda a, b: a.start < b.end and b.start < a.end
+    for r in df.select("*", pii._apart(F.col("loose"), F.array_sort("base")).alias("apart"), pii._groups(F.col("ranked")).alias("groups"), pii.redacted(F.col("t"), "spans").alias("r")).collect():
+        assert sorted(r.apart) == sorted(s for s in r.loose if not any(meets(s, b) for b in r.base))
+        assert sorted(s for g in r.groups for s in g) == sorted(r.ranked) and not any(meets(a, b) for g in r.groups for h in r.groups if g is not h for a in g for b in h)
+        merged, out, at = [], "", 0
+        for s in r.spans:
+            if merged and merged[-1][2] > s.start:
+                merged[-1][2] = max(merged[-1][2], s.end)
+            else:
+                merged.append([s.start, s.k, s.end])
+        for a, k, b in merged:
+            out, at = out + r.t[at:a] + f"[{pii.KINDS[k].upper()}]", b
+        assert r.r == out + r.t[at:]
+
+
+def test_time_of_personal_data_grows_with_the_hits_of_a_text(spark):
+    import time
+
+    from maskwright.llm import pii
+
+    took = []
+    for n in (2_000, 20_000):
+        whole = " ".join(f"t{i} u{i}@mail.example u{i} (at) mail.example" for i in range(n))
+        df = pii.private_spans(spark.createDataFrame([(1, whole)], "doc_id long, text string"))
+        began = time.perf_counter()
+        row = df.select(F.size("base").alias("n"), pii.redacted(F.col("text"), "spans").alias("r")).first()
+        took.append(time.perf_counter() - began)
+        assert row.n == n and row.r.count("[EMAIL]") >= n and "u7@mail" not in row.r
+    assert took[1] < 25 * max(took[0], 1)
+
+
+def test_short_comments_and_values_that_end_in_a_slash():
+    from maskwright.llm import html_text
+
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    for comment in ("<!-->", "<!--->", "<!-- x -->", "<!-- x --!>", "<!---->"):
+        assert texts(f"<p>a</p>{comment}<p>b</p><p>c</p>") == ["a", "b", "c"]
+    linked = html_text.blocks("<p><a href=/about/>About us</a></p>")[0]
+    quoted = html_text.blocks('<p><a href="/about/">About us</a></p>')[0]
+    assert vars(linked) == vars(quoted) if hasattr(linked, "__dict__") else linked == quoted
