@@ -43,7 +43,7 @@ def components_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.components(_grid(spark, sf_dir), ["frame"], square=4).withColumn("mean_score", F.round("mean_score", 6))
 
 
-_ORDER_TILES = "SELECT CAST(o_orderkey // 20000 AS INTEGER) AS frame, CAST(o_orderkey % 20000 // 200 AS INTEGER) AS ty, CAST(o_orderkey % 200 AS INTEGER) AS tx FROM orders WHERE o_custkey % 5 < 2"
+_ORDER_TILES = "SELECT CAST(o_orderkey // 20000 AS INTEGER) AS frame, CAST(o_orderkey % 20000 // 200 AS INTEGER) AS ty, CAST(o_orderkey % 200 AS INTEGER) AS tx FROM orders WHERE o_custkey % 4 = 0"
 
 
 @query(f"""WITH RECURSIVE m AS (SELECT DISTINCT * FROM ({_ORDER_TILES})),
@@ -51,9 +51,9 @@ r AS (SELECT frame, ty, tx, ty * 200 + tx AS root FROM m UNION SELECT m.frame, m
 k AS (SELECT frame, ty, tx, min(root) AS root FROM r GROUP BY ALL)
 SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY root) - 1 AS INTEGER) AS component, min(tx) AS x0, max(tx) AS x1, min(ty) AS y0, max(ty) AS y1, CAST(count(*) AS INTEGER) AS tiles FROM k GROUP BY frame, root""")
 def order_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of wide frames, a tile for two orders in five."""
+    """Components of wide frames, a tile for one order in four."""
     k = F.col("o_orderkey")
-    on = table(spark, sf_dir, "orders").where("o_custkey % 5 < 2").select(F.floor(k / 20000).cast("int").alias("frame"), F.floor(k % 20000 / 200).cast("int").alias("ty"), (k % 200).cast("int").alias("tx"), F.lit(1.0).alias("score"))
+    on = table(spark, sf_dir, "orders").where("o_custkey % 4 = 0").select(F.floor(k / 20000).cast("int").alias("frame"), F.floor(k % 20000 / 200).cast("int").alias("ty"), (k % 200).cast("int").alias("tx"), F.lit(1.0).alias("score"))
     return islands.components(on.distinct(), ["frame"], square=32).drop("mean_score")
 
 
