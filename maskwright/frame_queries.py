@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geometry, scan
+from .functions import geometry, scan, text
 from .functions.rules import TEXT_RULES
-from .operators import islands, rasters, regions
+from .operators import islands, policy, proof, rasters, regions
 from .plans.protect import Sanitised, sanitise
 from .plans.settings import Settings
 from .queries import _FRAMES, SQL, _all_counts, _found, _frame_tree, _grid, query
@@ -218,3 +218,31 @@ def joined_texts_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy("source", F.expr("doc_id div 100").alias("part")).agg(F.array_sort(F.collect_list(one)).alias("ts"))
     j = j.select("source", "part", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text"))
     return scan.hits(j, "text", "source", "part").groupBy("source", "part", "rule_id").agg(F.count("*").alias("hits"))
+
+
+# ---- what is shown ----
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'idle' WHEN p_partkey % 4 = 0 THEN 'bad' ELSE 'ok' END AS state,
+  CASE WHEN p_size % 7 = 0 THEN 'No verification data' WHEN p_partkey % 4 = 0 THEN 'Preview blocked' ELSE 'Safe preview verified' END AS title,
+  CASE WHEN p_size % 7 = 0 THEN 'Run a new protection scan.' WHEN p_partkey % 4 = 0 THEN '2 region(s) failed verification; egress remains closed.' ELSE p_size || ' regions overwritten locally, ' || CASE WHEN p_partkey % 3 = 0 THEN 'DOM protection' ELSE 'Lens B: ' || p_brand END END AS text,
+  '<' || p_partkey || ' bytes webp, sha256 ' || substr(sha256(p_name), 1, 16) || '...>' AS preview, round(p_retailprice::DOUBLE / greatest(1, p_size % 5), 2) AS ratio FROM part""")
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame's verdict, an image's stand-in and its compression, a row for each part."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    shown = proof.headline(F.when(n % 7 != 0, n), F.when(k % 4 == 0, 2).otherwise(0), F.when(k % 3 != 0, F.col("p_brand")))
+    made = table(spark, sf_dir, "part").select("p_partkey", shown.alias("h"), text.preview(k, F.sha2("p_name", 256)).alias("preview"), proof.compression(F.col("p_retailprice"), n % 5).alias("ratio"))
+    return made.select("p_partkey", "h.state", "h.title", "h.text", "preview", "ratio")
+
+
+_SAID = "SELECT doc_id, CASE WHEN len(violations) = 0 THEN 'Egress allowed' ELSE 'Egress blocked' END AS title, CASE WHEN len(violations) = 0 THEN scanned || ' metadata characters checked, no PII found' ELSE array_to_string(violations, ', ') END AS text FROM v"
+
+
+@query(SQL["firewall"][: SQL["firewall"].rindex("SELECT doc_id, len(violations) = 0")] + _SAID)
+def firewall_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of the firewall's verdict on each document."""
+    k = F.col("doc_id")
+    image = F.when(k % 4 == 0, "data:image/png;base64,AA").otherwise("data:image/webp;base64,AA")
+    v = policy.firewall(k % 11 != 0, F.when(k % 7 != 0, k % 5 != 0), k % 3 != 0, image, F.when(k % 6 == 0, "").otherwise("ab"), F.col("text"))
+    said = table(spark, sf_dir, "documents").select("doc_id", v.alias("v")).select("doc_id", policy.verdict_text(F.col("v")).alias("s"))
+    return said.select("doc_id", "s.title", "s.text")

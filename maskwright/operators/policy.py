@@ -73,4 +73,12 @@ def result(op: Column, guard: Column, found: Column, by_point: Column) -> Column
 
 
 def verdict_text(verdict: Column) -> Column:
-    return F.when(verdict["allowed"], F.format_string("allowed, %d characters scanned", verdict["scanned_chars"])).otherwise(F.concat(F.lit("refused: "), F.array_join(verdict["violations"], ", ")))
+    """struct<state, title, text> shown for a firewall's verdict; a null one means that nothing was sent."""
+    # What is shown.
+    said = lambda state, title, text: F.struct(F.lit(state).alias("state"), F.lit(title).alias("title"), text.alias("text"))
+    why = F.coalesce(F.nullif(F.array_join(verdict["violations"], ", "), F.lit("")), F.lit("Policy check failed"))
+    return (
+        F.when(verdict.isNull(), said("idle", "Egress firewall idle", F.lit("Nothing has been sent to a planner.")))
+        .when(verdict["allowed"], said("ok", "Egress allowed", F.format_string("%d metadata characters checked, no PII found", verdict["scanned_chars"])))
+        .otherwise(said("bad", "Egress blocked", why))
+    )

@@ -63,6 +63,14 @@ def compression(raw: Column, out: Column) -> Column:
     return F.round(raw / F.greatest(F.lit(1), out), 2)
 
 
-def headline(count: Column, failed: Column) -> Column:
-    """The verdict shown for a frame."""
-    return F.when(failed > 0, F.format_string("%d of %d regions failed the uniformity proof", failed, count)).when(count == 0, F.lit("no sensitive regions")).otherwise(F.format_string("%d regions masked and proven uniform", count))
+def headline(count: Column, failed: Column, lens: Column) -> Column:
+    """struct<state, title, text> shown for a frame: ``count`` regions proven (null:
+    none were), ``failed`` of them not uniform, ``lens`` the detector used (null: none)."""
+    # What is shown.
+    said = lambda state, title, text: F.struct(F.lit(state).alias("state"), F.lit(title).alias("title"), text.alias("text"))
+    by = F.coalesce(F.concat(F.lit("Lens B: "), lens), F.lit("DOM protection"))
+    return (
+        F.when(count.isNull(), said("idle", "No verification data", F.lit("Run a new protection scan.")))
+        .when(failed == 0, said("ok", "Safe preview verified", F.format_string("%d regions overwritten locally, %s", count, by)))
+        .otherwise(said("bad", "Preview blocked", F.format_string("%d region(s) failed verification; egress remains closed.", failed)))
+    )
