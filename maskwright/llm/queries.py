@@ -78,8 +78,7 @@ def _counted(kind: int):
 
 
 def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = word_table.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, keys=["doc_id"])
-    found = word_table.decoded(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"), TOKENIZER, keys=["doc_id", "n_tokens"])
+    found = word_table.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, keys=["doc_id"], and_back=True)
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

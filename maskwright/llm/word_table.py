@@ -199,16 +199,29 @@ def _encode(path: str, kind: str) -> Callable[[list[str]], list[bytes]]:
     return lambda words: [np.array(e.ids, dtype=kind).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", sent_bytes: int = SENT_BYTES, join_rare: bool = False) -> DataFrame:
+def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text", sent_bytes: int = SENT_BYTES, join_rare: bool = False, and_back: bool = False) -> DataFrame:
     """``keys`` and ``ids`` (array<int>) of each row's text. ``sent_bytes`` bounds
     the table of words that is broadcast and ``join_rare`` says how all others
-    come back; results don't depend on either."""
+    come back; results don't depend on either. With ``and_back`` the same task
+    decodes the ids: ``keys``, n_tokens and what ``decoded`` gives, without the ids."""
     keys, kind = list(keys), Vocabulary(path).kind
     words = word_table(df, path, text=text)
     least = _often(words, sent_bytes)
     table = df.sparkSession.sparkContext.broadcast(_Table(words.where(F.col("n") >= least).select("word", "ids").toArrow(), kind))
     fields, at = _kept(df, keys), len(keys)
     done = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    if and_back:
+        done = T.StructType([*fields, T.StructField("n_tokens", T.LongType(), False), *_DECODED])
+        read = _reader(df, path, [*keys, "n_tokens"])
+    else:
+        read = None
+
+    def out(columns: list[pa.Array], ids: pa.ListArray) -> pa.RecordBatch:
+        if read is None:
+            return pa.RecordBatch.from_arrays([*columns, ids], [*keys, "ids"])
+        n = pc.list_value_length(ids).cast(pa.int64())
+        return pa.Table.from_batches(read(iter([pa.RecordBatch.from_arrays([*columns, n, ids], [*keys, "n_tokens", "ids"])]))).combine_chunks().to_batches()[0]
+
     lists = lambda ids, places: pa.ListArray.from_arrays(pa.array(places.astype("i4")), pa.array(ids.astype("i4")))
 
     if least == 1 or not join_rare:
@@ -216,7 +229,7 @@ def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text"
             ids_of = _encode(path, kind) if least > 1 else None
             for batch in _batches(batches, at):
                 made = _Joined(_Words(batch.column(at)), table.value, ids_of)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists(made.ids, made.places)], [*keys, "ids"])
+                yield out(batch.columns[:at], lists(made.ids, made.places))
 
         return df.select(*keys, words_of(F.col(text)).alias("_words")).mapInArrow(whole, done)
 
@@ -244,14 +257,15 @@ def encoded(df: DataFrame, path: str, *, keys: Sequence[str], text: str = "text"
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zs.ZstdDecompressor().decompress
         for batch in slices(batches, 2000):
-            out = []
+            if not batch.num_rows:
+                continue
+            made = []
             for raw, gaps, more in zip(*(batch.column(at + i).to_pylist() for i in range(3)), strict=True):
                 ids = np.frombuffer(open_(raw), dtype=kind) if raw else np.zeros(0, kind)
                 if gaps is not None:
                     ids = _patched(ids, np.frombuffer(open_(gaps), dtype="i4").reshape(2, -1).cumsum(axis=1), {x["_at"]: x["ids"] for x in more}, kind)
-                out.append(ids)
-            places = np.cumsum([0, *map(len, out)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists(np.concatenate(out) if out else np.zeros(0, kind), places)], [*keys, "ids"])
+                made.append(ids)
+            yield out(batch.columns[:at], lists(np.concatenate(made), np.cumsum([0, *map(len, made)])))
 
     # Words that aren't common occur fewer than ``least`` times, so neither they nor the texts that hold them are hot.
     seldom = marked.select("_h", "_len", "_words").mapInArrow(rare, "_h long, _len int, _at int, word string")
@@ -277,7 +291,14 @@ def decoded(df: DataFrame, path: str, *, keys: Sequence[str], ids: str = "ids")
     replacement character for what isn't. Ids without a piece, and null ones, are
     passed over by the text, as the library does; null ones count as -1 in the
     digest. Null and empty arrays give an empty text."""
-    keys = list(keys)
+    return df.select(*keys, ids).mapInArrow(_reader(df, path, list(keys)), T.StructType([*_kept(df, keys), *_DECODED]))
+
+
+_DECODED = [T.StructField(c, T.StringType(), False) for c in ("ids_sha256", "decoded")]
+
+
+def _reader(df: DataFrame, path: str, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What turns batches of keys and ids into batches of keys, ids_sha256 and decoded."""
     table = df.sparkSession.sparkContext.broadcast(Vocabulary(path).pieces())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +314,7 @@ def decoded(df: DataFrame, path: str, *, keys: Sequence[str], ids: str = "ids")
             digests = [hashlib.sha256(x[:-1]).hexdigest() for x in _cut(listed, ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(digests, pa.string()), pa.array(texts, pa.string())], [*keys, "ids_sha256", "decoded"])
 
-    more = [T.StructField(c, T.StringType(), False) for c in ("ids_sha256", "decoded")]
-    return df.select(*keys, ids).mapInArrow(read, T.StructType([*_kept(df, keys), *more]))
+    return read
 
 
 def _cut(values: pa.BinaryArray, ends: np.ndarray) -> list[bytes]:

@@ -35,6 +35,8 @@ def test_equals_the_library(spark, library, sent, join):
     for r in got:
         want = library.encode(texts[r.k] or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == library.decode(want, skip_special_tokens=False)
+    back = W.encoded(df, PATH, keys=["k"], sent_bytes=sent, join_rare=join, and_back=True).collect()
+    assert sorted((r.k, r.n_tokens, r.ids_sha256, r.decoded) for r in back) == sorted((r.k, len(r.ids), r.ids_sha256, r.decoded) for r in got)
 
 
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
