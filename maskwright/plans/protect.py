@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.scan import fitted_label, redact, scan_text
+from ..functions.scan import cleared, fitted_label, scan_text
 from ..operators import islands, proof, rasters, regions, vision
 from ..sources.shared import stored
 from .settings import Settings
 
 
 def protect_texts(df: DataFrame, text: str, *, now, limit: int | None = None) -> DataFrame:
-    """Scan, mask, re-scan and attest texts: adds hits, masked, remaining (hits
-    left after masking) and attestation. One projection, no shuffle.
+    """Scan, mask, re-scan and attest texts: adds hits (of the first scan), masked,
+    remaining (hits left after masking) and attestation, whose count of masks
+    includes those that a re-scan asked for. One projection, no shuffle.
 
     Texts of any length are scanned, unless a ``limit`` is given: longer ones,
     and nulls, are not, so their hits, masked and remaining are null and their
@@ -24,9 +25,9 @@ def protect_texts(df: DataFrame, text: str, *, now, limit: int | None = None) ->
     """
     scanned = F.col(text).isNotNull() if limit is None else F.coalesce(F.length(text) <= limit, F.lit(False))
     found = df.withColumn("hits", F.when(scanned, scan_text(F.col(text))))
-    masked = found.withColumn("masked", F.when(scanned, redact(F.col(text), F.col("hits"))))
-    left = masked.withColumn("remaining", F.when(scanned, F.size(scan_text(F.col("masked")))))
-    return proof.attested(left, text, "masked", F.when(scanned, F.size("hits")), F.coalesce(F.col("remaining") == 0, F.lit(False)), now, done=scanned)
+    left = cleared(found, text, "hits").withColumn("remaining", F.when(scanned, F.size("left")))
+    masks = F.when(scanned, F.size("hits") + F.col("more"))
+    return proof.attested(left, text, "masked", masks, F.coalesce(F.col("remaining") == 0, F.lit(False)), now, done=scanned).drop("left", "more")
 
 
 @dataclass(frozen=True)

@@ -78,6 +78,16 @@ def test_protected_texts_scan_clean(spark):
     assert got[1].attestation["mask_count"] == 0 and got[2].masked is None
 
 
+def test_what_a_failed_match_hid_is_masked_too(spark):
+    # The first scan reads 16 digits and the next number as one card, whose check fails.
+    cases = [("pay 4655932058657044 12.345 N, 77.123456 E end", "pay 4655932058657044 [MASK_COORD] end", "pay [MASK_CARD] [MASK_COORD] end"), ("4875612363402641 31/12/1999", "4875612363402641 [MASK_DOB]", "[MASK_CARD] [MASK_DOB]")]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = protect.protect_texts(df, "t", now=F.current_timestamp()).orderBy("i").collect()
+    for r, (_, once, whole) in zip(got, cases, strict=True):
+        assert len(r.hits) == 1 and r.masked == whole != once and r.remaining == 0
+        assert r.attestation.mask_count == 2 and r.attestation.all_regions_uniform
+
+
 def test_firewall_names_every_violation(spark):
     v = lambda *a, **k: tuple(spark.range(1).select(policy.firewall(*[F.lit(x) for x in a], **k).alias("v")).first()["v"])
     webp = "data:image/webp;base64,AA"
