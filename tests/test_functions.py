@@ -1,5 +1,7 @@
 """Scalar functions: checksums, rules, scanning, fields, boxes, text."""
 
+import dataclasses
+import random
 import re
 from collections import Counter
 
@@ -133,3 +135,17 @@ def test_sql_names_of_scans(spark):
     register(spark)
     got = spark.sql("SELECT verhoeff('352741839170') AS v, verhoeff('352741839171') AS w, rule_hits('a@b.co 4111 1111 1111 1111, or 4111 1111 1111 1112') AS h, rule_hits(NULL) AS n").first()
     assert got.v and not got.w and [(h.rule_id, h.token, h.severity, h.text) for h in got.h] == [("card", "[MASK_CARD]", 3, "4111 1111 1111 1111"), ("email", "[MASK_EMAIL]", 1, "a@b.co")] and got.n == []
+
+
+def test_rules_are_tried_only_on_texts_that_may_match(spark):
+    known = {r.id: r for r in rules.TEXT_RULES}
+    said = "u17@mail.example, 12 34 5678 and the key to it"
+    assert [i for i in ("upi", "card", "aadhaar") if re.search(known[i].hint, said)] == []
+    rng = random.Random(5)
+    parts = ["a.b@ybl", "@okaxis", "x@upi", "k@", "4111 1111-1111 1111", "2345 6789 0124", "12345678901234", "sk_", "ABCDEFGH12345678", "api", " ", "-", ".", "%", "u.v+w%@x.org", "@", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    plain = tuple(dataclasses.replace(r, hint=None) for r in rules.TEXT_RULES)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scan.rule_counts(F.col("t")).alias("a"), scan.rule_counts(F.col("t"), rules=plain).alias("b"), F.size(scan.scan_text(F.col("t"), rules=(known["email"], known["upi"]))).alias("n")).collect()
+    assert all(r.a == r.b for r in got) and {c.rule_id for r in got for c in r.a} >= {"upi", "card", "aadhaar", "email", "apikey"}
+    mails = [re.compile(known[i].pattern, re.ASCII) for i in ("email", "upi")]
+    assert all(r.n == sum(len(p.findall(r.t)) for p in mails) for r in got)
