@@ -104,8 +104,13 @@ def frame_offsets(frames: DataFrame, *, depth: int = 6) -> DataFrame:
 def hit_test(points: DataFrame, boxes: DataFrame, keys: list[str], id_: str, *, cell: int = CELL) -> DataFrame:
     """``points`` (keys, id, px, py) with ``hit``: the topmost box (highest z,
     then seq) that holds the point, null if none."""
+    # Of the boxes only what lies between a frame's outermost points is dealt to cells.
+    x, y = F.floor("px"), F.floor("py")
+    ends = points.groupBy(*keys).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    within = G.box(F.col("_x0"), F.col("_y0"), F.col("_x1") - F.col("_x0") + 1, F.col("_y1") - F.col("_y0") + 1)
+    near = boxes.withColumnRenamed(id_, "_id").join(ends, keys).withColumn("box", G.intersection(F.col("box"), within)).where("box.w > 0 AND box.h > 0").drop("_x0", "_x1", "_y0", "_y1")
     grid = points.withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
-    inside = grid.join(_celled(boxes.withColumnRenamed(id_, "_id"), "box", cell), [*keys, "_cx", "_cy"]).where(G.holds(F.col("box"), F.col("px"), F.col("py")))
+    inside = grid.join(_celled(near, "box", cell), [*keys, "_cx", "_cy"]).where(G.holds(F.col("box"), F.col("px"), F.col("py")))
     top = inside.groupBy(*keys, id_).agg(F.max_by("_id", F.struct("z", "seq")).alias("hit"))
     return points.join(top, [*keys, id_], "left")
 

@@ -26,6 +26,20 @@ def test_coverage_over_cells(spark):
         assert abs(got[f, i] - min(1, shared / (w * h))) < 1e-9
 
 
+def test_hits_of_points_in_very_wide_boxes(spark):
+    rng = random.Random(7)
+    at = lambda: (rng.randint(-300, 300), rng.randint(-300, 300))
+    points = [(f, i, *at()) for f in range(3) for i in range(25)] + [(3, 0, 5, 5), (4, 0, 1, 1), (5, 0, None, 1)]
+    # The last ones reach over so many cells that there can't be a row for each.
+    rows = [(f, i, *at(), rng.randint(0, 400), rng.randint(0, 300)) for f in range(3) for i in range(30)] + [(f, 99, -(1 << 29), -(1 << 29), 1 << 30, 1 << 30) for f in (3, 5)]
+    b = boxes(spark, rows).withColumns({"z": F.col("id") % 7, "seq": F.col("id")})
+    got = {(r.frame, r.id): r.hit for r in regions.hit_test(spark.createDataFrame(points, "frame int, id int, px int, py int"), b, ["frame"], "id").collect()}
+    for f, i, px, py in points:
+        held = [(k % 7, k) for g, k, x, y, w, h in rows if px is not None and f == g and x <= px < x + w and y <= py < y + h]
+        assert got[f, i] == (max(held)[1] if held else None)
+    assert len(got) == len(points)
+
+
 def test_greedy_merging(spark):
     rng = random.Random(2)
     items = [(f"[T{rng.randint(0, 3)}]", rng.randint(1, 3), "l", (rng.randint(0, 40), rng.randint(0, 30), rng.randint(5, 40), rng.randint(5, 30))) for _ in range(14)]
