@@ -115,26 +115,54 @@ def hit_test(points: DataFrame, boxes: DataFrame, keys: list[str], id_: str, *,
     return points.join(top, [*keys, id_], "left")
 
 
-def descended(points: DataFrame, frames: DataFrame, point: str, *, levels: int = 6, cell: int = CELL) -> DataFrame:
+def _pieces(at: Column, size: Column) -> Column:
+    """Array of (level l, number k): the blocks from k * 2**l to before (k + 1) * 2**l
+    that make up a span, at most two of a level; none for a span without size."""
+
+    def of_level(n: Column) -> Column:
+        side = F.pow(F.lit(2.0), n)
+        first, end = F.ceil(at / side), F.floor((at + size) / side)
+        block = lambda k, odd: F.when((first < end) & (odd % 2 != 0), F.struct(n.alias("l"), k.alias("k")))
+        return F.array_compact(F.array(block(first, first), block(end - 1, end)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")), of_level))
+
+
+def _cover(frames: DataFrame) -> DataFrame:
+    """The topmost frame (id, bx, by) of each block of each parent (_in, lx, kx, ly, ky); a box is cut
+    into blocks, so rows grow with the frames and the logarithm of their sides, not with how they overlap."""
+    tops = frames.groupBy(F.coalesce("parent", F.lit("")).alias("_in"), "box").agg(F.max("id").alias("id"))
+    b = F.col("box")
+    cut = tops.withColumn("_px", F.explode(_pieces(b["x"], b["w"]))).withColumn("_py", F.explode(_pieces(b["y"], b["h"])))
+    blocks = cut.select("_in", F.col("_px.l").alias("lx"), F.col("_px.k").alias("kx"), F.col("_py.l").alias("ly"), F.col("_py.k").alias("ky"), F.struct("id", b["x"].alias("bx"), b["y"].alias("by")).alias("t"))
+    return blocks.groupBy("_in", "lx", "kx", "ly", "ky").agg(F.max("t").alias("t"))
+
+
+def descended(points: DataFrame, frames: DataFrame, point: str, *, levels: int = 6) -> DataFrame:
     """``points`` (point, x, y) followed through nested ``frames`` (id, parent
     null for tops, box in the parent; a later id lies above an earlier one): with
     depth, frame, x and y of the innermost frame that holds each point, x and y
-    in its own coordinates. At every level only points that were inside a frame
-    go on, by a join on the frame and a grid cell; a point in no frame keeps
-    depth 0 and a null frame, and a frame below ``levels`` isn't entered."""
-    cells = _celled(frames.select("id", F.coalesce("parent", F.lit("")).alias("_in"), "box"), "box", cell)
-    at = points.select(point, F.lit(0).alias("depth"), F.lit(None).cast("string").alias("frame"), "x", "y")
-    done = None
+    in its own coordinates. A point in no frame keeps depth 0 and a null frame,
+    and a frame below ``levels`` isn't entered.
+
+    Distinct places are followed, so points at one place are one row. At every
+    level only places that were inside a frame go on; a place asks for the blocks
+    that hold it, one for each pair of sides that its frame's blocks have, and
+    each of those has one topmost frame."""
+    cover = stored(_cover(frames), "cover")
+    sides = cover.groupBy("_in").agg(F.collect_set(F.struct("lx", "ly")).alias("sides"))
+    at = points.select(F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit("").alias("_in"), "x", "y").distinct()
+    found = None
     for level in range(1, levels + 1):
-        asked = at.withColumns({"_in": F.coalesce("frame", F.lit("")), "_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-        held = asked.join(cells, ["_in", "_cx", "_cy"]).where(G.holds(F.col("box"), F.col("x"), F.col("y")))
-        top = held.groupBy(point).agg(F.max_by(F.struct("id", "box"), "id").alias("_t"))
-        met = at.join(top, point, "left")
-        inner = met.where("_t IS NOT NULL").select(point, F.lit(level).alias("depth"), F.col("_t.id").alias("frame"), (F.col("x") - F.col("_t.box.x")).alias("x"), (F.col("y") - F.col("_t.box.y")).alias("y"))
-        stay = met.where("_t IS NULL").drop("_t")
-        done = stay if done is None else done.unionByName(stay)
-        at = stored(inner, "inner")
-    return done.unionByName(at)
+        asked = at.join(sides, "_in").select("x0", "y0", "_in", "x", "y", F.inline("sides"))
+        asked = asked.withColumns({"kx": F.floor(F.col("x") / F.pow(F.lit(2.0), "lx")), "ky": F.floor(F.col("y") / F.pow(F.lit(2.0), "ly"))})
+        top = asked.join(cover, ["_in", "lx", "kx", "ly", "ky"]).groupBy("x0", "y0", "x", "y").agg(F.max("t").alias("t"))
+        inner = stored(top.select("x0", "y0", F.lit(level).alias("depth"), F.col("t.id").alias("frame"), (F.col("x") - F.col("t.bx")).alias("x"), (F.col("y") - F.col("t.by")).alias("y")), "inner")
+        found = inner if found is None else found.unionByName(inner)
+        at = inner.select("x0", "y0", F.col("frame").alias("_in"), "x", "y")
+    last = found.groupBy("x0", "y0").agg(F.max(F.struct("depth", "frame", "x", "y")).alias("t"))
+    met = points.select(point, "x", "y").join(last, (F.col("x") == F.col("x0")) & (F.col("y") == F.col("y0")), "left")
+    return met.select(point, F.coalesce("t.depth", F.lit(0)).alias("depth"), F.col("t.frame").alias("frame"), F.coalesce("t.x", "x").alias("x"), F.coalesce("t.y", "y").alias("y"))
 
 
 def gathered(*frames: DataFrame) -> DataFrame:

@@ -101,6 +101,29 @@ def test_descent_stops_at_the_innermost_frame(spark):
     assert {r.point: r.depth for r in regions.descended(points, frames, "point", levels=2).collect()}[1] == 2
 
 
+def test_descent_through_many_frames_that_overlap(spark):
+    rng = random.Random(8)
+    side = lambda most: rng.randint(1, most)
+    rows = [("t0", None, (-(1 << 29), -(1 << 29), 1 << 30, 1 << 30))] + [(f"t{i}", None, (rng.randint(-90, 90), rng.randint(-90, 90), side(120), side(99))) for i in range(1, 9)]
+    rows += [(f"n{i}", f"t{i % 9}", (rng.randint(-20, 60), rng.randint(-20, 60), side(64), side(50))) for i in range(60)] + [(f"z{i}", f"n{i % 3}", (3, 3, 40, 30)) for i in range(3000)]
+    points = [(i, rng.randint(-150, 150), rng.randint(-150, 150)) for i in range(300)] + [(i, 5, 5) for i in range(300, 400)]
+    inside, want = {}, {}
+    for name, parent, b in rows:
+        inside.setdefault(parent, []).append((name, *b))
+    for i, x, y in points:
+        depth, frame = 0, None
+        while held := [r for r in inside.get(frame, ()) if r[1] <= x < r[1] + r[3] and r[2] <= y < r[2] + r[4]]:
+            frame, bx, by, _, _ = max(held)
+            depth, x, y = depth + 1, x - bx, y - by
+        want[i] = (depth, frame, x, y)
+    frames = spark.createDataFrame(rows, f"id string, parent string, {BOX}")
+    got = regions.descended(spark.createDataFrame(points, "point int, x int, y int"), frames, "point", levels=3).collect()
+    assert {r.point: (r.depth, r.frame, r.x, r.y) for r in got} == want and len(got) == len(points)
+    # Frames at one place are one; any other is a few blocks, however wide it is.
+    assert regions._cover(frames.where("id LIKE 'z%'")).count() == regions._cover(frames.where("id IN ('z0', 'z1', 'z2')")).count()
+    assert regions._cover(frames.where("id = 't0'")).count() == 4
+
+
 # ---- many hits in one text ----
 
 
