@@ -39,8 +39,10 @@ _END = dt.datetime(2100, 1, 1)
 def gather_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies gathered by the state machine with event-time timers, in three parts and an end."""
     replies = _replies(spark, sf_dir).select(F.col("scan_id").cast("long").alias("scan_id"), "seq", "ts", "children", F.col("nodes").cast("long").alias("nodes"))
-    parts = [*_in_parts(replies, "ts"), _far(replies, scan_id=-1, seq=0, ts=_END, children=0, nodes=0)]
-    return machines.drained(spark, {"replies": parts}, machines.gathered_stream, "gather").where("scan_id >= 0")
+    last = replies.agg(F.max("scan_id")).first()[0]
+    end = 0 if last is None else last + 1  # no scan's number
+    parts = [*_in_parts(replies, "ts"), _far(replies, scan_id=end, seq=0, ts=_END, children=0, nodes=0)]
+    return machines.drained(spark, {"replies": parts}, machines.gathered_stream, "gather").where(F.col("scan_id") != end)
 
 
 _EVENTS = "CASE event_type WHEN 'error' THEN 'blocked' WHEN 'signup' THEN 'done' ELSE 'step' END"

@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DEADLINE_MS = 400
 #: How long after that a closed scan is remembered, so that its late replies are dropped.
 KEPT_MS = 60_000
+#: The order of a scan's replies, with which equal ones alone are tied.
+ORDER = ("ts", "seq", "children", "nodes")
 #: Entries of a run's trace, and how many of the last keep their image.
 TRACE, IMAGES = 24, 3
 
@@ -22,9 +24,10 @@ def gathered_batch(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS) -> Dat
     """The batch form. ``replies``: scan_id, seq, ts (timestamp), children (frames
     that a reply announces), nodes. A scan is complete once it has as many
     replies as expected: 1 plus all announced children so far. Later replies,
-    and those past the deadline after the first, are dropped. Returns scan_id,
-    replies, expected, nodes, complete."""
-    order = Window.partitionBy("scan_id").orderBy("ts", "seq")
+    and those past the deadline after the first, are dropped. Replies of equal ts
+    and seq go by children, then nodes, in every form. Returns scan_id, replies,
+    expected, nodes, complete."""
+    order = Window.partitionBy("scan_id").orderBy(*ORDER)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     late = F.unix_millis("ts") - F.unix_millis(F.min("ts").over(Window.partitionBy("scan_id"))) > deadline_ms
     r = replies.withColumn("late", late).where("NOT late").withColumns({"n": F.row_number().over(order), "expected": 1 + F.sum("children").over(so_far)})
@@ -50,7 +53,7 @@ def gathered_stream(replies: DataFrame, *, deadline_ms: int = DEADLINE_MS, kept_
             state.update((n, expected, nodes, first, True))
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + kept_ms)
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        rows = pd.concat(list(frames)).sort_values(list(ORDER))
         for ts, children, more in zip(rows["ts"], rows["children"], rows["nodes"], strict=True):
             at = ts.value // 1_000_000
             first = at if first is None else first

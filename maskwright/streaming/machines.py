@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.audit import HISTORY
 from ..sources.shared import fresh_path
-from .gather import DEADLINE_MS, KEPT_MS
+from .gather import DEADLINE_MS, KEPT_MS, ORDER
 
 #: The state store that these machines need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,7 +49,7 @@ class Gather(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         n, expected, nodes, first, closed = self.counts.get() if self.counts.exists() else (0, 1, 0, -1, False)
         known = first >= 0
-        for ts, children, more in _sorted(rows, "ts", "seq")[["ts", "children", "nodes"]].itertuples(index=False):
+        for ts, children, more in _sorted(rows, *ORDER)[["ts", "children", "nodes"]].itertuples(index=False):
             at = ts.value // 1_000_000
             first = at if first < 0 else first
             if closed or at - first > self.deadline_ms:

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+from maskwright import queries, stream_queries  # noqa: F401  registers itself
 from maskwright.streaming import gather
 
 
@@ -36,6 +37,28 @@ def test_stream_gather(spark, tmp_path):
     assert got == {1: (2, 2, 12, True), 2: (1, 2, 1, False), 3: (1, 1, 4, True)}
 
 
+def test_replies_of_any_number_and_tied_ones(spark, tmp_path):
+    big = 3 * (1 << 53)
+    users = [u for base in (-7, 30, big - 6) for u in range(base, base + 12)]
+    # Users of a scan reply at one time by one number, with different nodes.
+    rows = [(i // 7 * 7, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i // 7), u, "view", 1.0, "{}") for i, u in enumerate(users * 3)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want, scans = {}, {}
+    for e, ts, u, *_ in rows:
+        cut = lambda a, b: (abs(a) // b) * (1 if a >= 0 else -1)
+        us = int(ts.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+        scans.setdefault(cut(u, 3), []).append((us // 100000, e, int(e % 3 == 0), u - 11 * cut(u, 11)))
+    for scan, replies in scans.items():
+        n, expected, nodes, first = 0, 1, 0, min(replies)[0] // 1000
+        for at_, _, children, more in sorted(replies):
+            if n < expected and at_ // 1000 - first <= 400:
+                n, expected, nodes = n + 1, expected + children, nodes + more
+        want[scan] = (n, expected, nodes, n >= expected)
+    for name in ("gather_deadline", "gather_stream"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r.scan_id: (r.replies, r.expected, r.nodes, r.complete) for r in got} == want and len(got) == len(want), name
+
+
 def _run(spark, tmp_path, make, schema, batches, mode, name):
     """Feeds the batches one after another and returns all rows put out."""
     source = tmp_path / f"{name}-in"
