@@ -9,9 +9,12 @@ common in a bounded sample last; the sample steers cost only, never results.
 Candidates whose sizes, places or bit maps rule the similarity out are left;
 all others are verified on the whole sets, which are made for their texts only.
 
-Texts known to be equal are one node. Candidates of one star per shared
-shingle are verified first; only shingles that still join different components
-are then compared pair by pair, so large groups of copies don't multiply.
+Texts known to be equal are one node. Candidates of three stars per shared
+shingle are verified first, one around the text that holds the shingle earliest
+(in a group of copies, the one least changed); only shingles that still join
+different components are then compared pair by pair. A join makes those pairs
+for few texts under a shingle; more are compared by their bit maps in a task,
+which returns those that the maps don't rule out, so no group's pairs are rows.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .near_dups import components, near_duplicates
 SAMPLE, COMMON = 20_000, 400_000
 #: Longs of a set's bit map.
 MAP = 32
+#: Texts under one shingle whose pairs a join makes at most; more are compared in a task, in blocks of BLOCK (some 10 MB of maps), PAIRS at once.
+HOT, BLOCK, PAIRS = 32, 32_768, 100_000
 
 
 def shingles(text: str | None, k: int, seed: int = 42) -> np.ndarray:
@@ -105,6 +110,61 @@ def _placed(a: str, b: str) -> Column:
     return _fits(na, nb, F.least(na - F.col("i" + a), nb - F.col("i" + b)))
 
 
+def _mapped(n: np.ndarray, i: np.ndarray, root: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the texts ``left`` with those ``right`` (one with itself: with later ones), pairs of
+    different roots that neither places under their shingle nor bit maps rule out."""
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        a, b = left[at : at + step, None], right[None]
+        fit = (root[a] != root[b]) & (9 * np.minimum(n[a] - i[a], n[b] - i[b]) >= 4 * (n[a] + n[b]))
+        if left is right:
+            fit &= a < b
+        x, y = np.nonzero(fit)
+        x, y = left[at + x], right[y]
+        lone = [np.bitwise_count(m[p] & ~m[q]).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+        near = 9 * np.minimum(n[x] - lone[0], n[y] - lone[1]) >= 4 * (n[x] + n[y])
+        if near.any():
+            yield x[near], y[near]
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Candidates a, b (repeated, if they share several shingles) among ``rows``
+    (h, node, n, i, root, m and c, the count of rows of h). A task compares a
+    shingle's texts, or two blocks of them, with no row for a pair that is ruled out."""
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), nb).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), nb - 1)))
+    keys = ["h", "lo", "hi"]
+    dealt = dealt.select("h", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "node", "n", "i", "root", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("similar")
+        key, parts = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
+            own, node, n, i, root, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+            left = np.flatnonzero(own == key[1])
+            right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
+            for x, y in _mapped(n, i, root, m, left, right):
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, lo, hi, own, node, n, i, root = (batch.column(j).to_numpy() for j in range(8))
+            m = batch.column(8).flatten().to_numpy().view(np.uint64).reshape(-1, MAP)
+            cuts = np.flatnonzero((np.diff(h) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            for p, q in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
+                if key != (k := (h[p], lo[p], hi[p])):
+                    yield from close()
+                    key, parts = k, []
+                parts.append((own[p:q], node[p:q], n[p:q].astype(np.int64), i[p:q].astype(np.int64), root[p:q], m[p:q]))
+        yield from close()
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def _side(table: DataFrame, x: str, *columns: str) -> DataFrame:
     return table.select(F.col("node").alias(x), *[F.col(c).alias(c + x) for c in columns])
 
@@ -145,14 +205,15 @@ def similar(docs: DataFrame, *, text: str = "text", words: int = 5) -> DataFrame
 
     # Shingles of prefixes that different texts share.
     profiles = stored(_profiles(texts, words, common, rank), "profiles")
-    starts = profiles.select("node", "n", F.posexplode("p").alias("i", "h"))
-    shared = few(stored(starts.groupBy("h").count().where("count > 1").select("h"), "shared"))
-    grouped = stored(starts.join(shared, "h").select("h", "node", "n", "i"), "grouped")
+    # They are dealt out once, both to be counted and to be found again.
+    starts = profiles.select("node", "n", F.posexplode("p").alias("i", "h")).repartition("h")
+    shared = starts.groupBy("h").count().where("count > 1").select("h")
+    grouped = stored(starts.join(shared.hint("shuffle_hash"), "h").select("h", "node", "n", "i"), "grouped")
 
     named = near_duplicates(texts, key="node", words=words)
     stars = _rows_of(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    for seed in (1, 2):
-        pivot = grouped.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "n", "i")).alias("p"))
+    for order in (F.xxhash64("node", F.lit(1)), F.xxhash64("node", F.lit(2)), F.col("i")):
+        pivot = grouped.groupBy("h").agg(F.min(F.struct(order.alias("o"), "node", "n", "i")).alias("p"))
         rays = grouped.join(pivot, "h").select(F.col("node").alias("a"), F.col("p.node").alias("b"), "n", "i", F.col("p.n").alias("np"), F.col("p.i").alias("ip"))
         stars = stars.union(_rows_of(rays.where(_placed("", "p"))))
     stars = stored(stars.distinct(), "stars")
@@ -161,10 +222,12 @@ def similar(docs: DataFrame, *, text: str = "text", words: int = 5) -> DataFrame
     # Shingles that still join different components: every pair of theirs.
     found = components(first)
     open_ = grouped.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    open_ = stored(open_.join(apart, "h").select("h", "node", "n", "i", "root"), "open")
-    a, b = (open_.select("h", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("i").alias("i" + x), F.col("root").alias("r" + x)) for x in "ab")
+    apart = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least")).where("lo <> hi").select("h", "c", "least")
+    open_ = stored(open_.join(apart, "h").where(_fits(F.col("n"), F.col("least"), F.col("n") - F.col("i"))).select("h", "node", "n", "i", "root", "c"), "open")
+    cold = open_.where(F.col("c") <= HOT)
+    a, b = (cold.select("h", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("i").alias("i" + x), F.col("root").alias("r" + x)) for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _placed("a", "b")
-    pairs = stored(a.join(b, "h").where(near).select("a", "b").distinct(), "pairs")
+    hot = open_.where(F.col("c") > HOT).join(profiles.select("node", "m"), "node")
+    pairs = stored(a.join(b, "h").where(near).select("a", "b").union(_within(hot)).distinct(), "pairs")
     more = _verified(pairs.join(stars, ["a", "b"], "left_anti"), profiles, texts, words)
     return components(first.union(more))

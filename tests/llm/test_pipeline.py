@@ -72,3 +72,42 @@ def test_near_dedup_finds_every_similar_pair(spark):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == set(root) and len(set(root)) < 45
+
+
+@pytest.mark.parametrize("hot, block", [(32, 32_768), (2, 16)])
+def test_near_dedup_makes_no_row_for_each_pair_of_a_group(spark, monkeypatch, hot, block):
+    import random
+
+    from maskwright.llm import similar
+
+    monkeypatch.setattr(similar, "HOT", hot)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    made, stored = {}, similar.stored
+
+    def counted(df, name):
+        made[name] = stored(df, name)
+        return made[name]
+
+    monkeypatch.setattr(similar, "stored", counted)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):  # two words changed: near misses of each other; one word changed: links
+        ws = base[:]
+        for at in rng.sample(range(5, 115), 1 if i % 9 == 0 else 2):
+            ws[at] = f"x{i}y{at}"
+        texts.append(" ".join(ws))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    want = list(range(len(texts)))
+    near = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near += 1
+                want = [want[i] if r == want[j] else r for r in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.node: r.root for r in similar.similar(docs).collect()}
+    got = {r.doc_id: root.get(r.node, r.node) for r in docs.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    together = lambda of: {(i, j) for j in range(len(texts)) for i in range(j) if of[i] == of[j]}
+    assert together(got) == together(want) and 10 <= len(set(want)) < 90
+    assert made["pairs"].count() <= near + len(texts)  # of 4005 pairs under a shingle
