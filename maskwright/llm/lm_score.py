@@ -6,12 +6,13 @@ context is empty and its count is the number of words; a word seen nowhere else
 counts as seen once. Counts are those of the whole table less the document's
 own, so that a document never vouches for itself.
 
-Relational form: documents are dealt to blocks by a hash, and each block
-explodes its n-grams to rows (n-gram, block, count), one for each distinct
-n-gram. The count table is their sum by n-gram, partitioned by the n-gram's
-hash; it is joined back to the exploded rows, those with occurrences elsewhere
-go back to their blocks, and each block sums its documents' positions. Rows
-grow with the text; a hot n-gram has one row a block, so no key is hot.
+Relational form: documents are dealt to blocks, and each block explodes its
+n-grams to the distinct ones and their counts. The count table is dealt by
+ranges of the n-gram's hash: a row holds a block's n-grams of one range, as
+packed steps from hash to hash (45 bits each, not 64 and a row). Each range
+sums its n-grams and sends every block, in the order in which they came, the
+counts in other blocks; each block then sums its documents' positions. Rows
+grow with the text; a hot n-gram is a number from each block, so no key is hot.
 
 An n-gram is known by a 64-bit hash. A position's score is rounded to
 millionths before summing, so sums do not depend on their order.
@@ -19,14 +20,18 @@ millionths before summing, so sums do not depend on their order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, about: a third of a gigabyte of its task's memory at order 3.
-BLOCK_BYTES = 4 << 20
+from .common import slices
+
+#: Bytes of text in a block, about: a third of a gigabyte of its task's memory at order 3; and parcels of texts that make one.
+BLOCK_BYTES, PARCELS = 6 << 20, 32
 #: Distinct words kept per Python process.
 KEPT = 500_000
 _words: dict[bytes, int] = {}
@@ -50,6 +55,39 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _packed(x: np.ndarray, raw: bool) -> bytes:
+    """Numbers from 0 as planes of their bytes, compressed; if ``raw``, the highest plane only, for the others are noise."""
+    x = x.astype("<u8")
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    plain = width - 1 if raw else 0
+    return bytes([width]) + planes[:plain].tobytes() + pa.compress(planes[plain:].tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, raw: bool) -> np.ndarray:
+    """The n numbers of ``_packed``."""
+    width = data[0]
+    at = (width - 1 if raw else 0) * n
+    planes = data[1 : 1 + at] + pa.decompress(data[1 + at :], decompressed_size=width * n - at, codec="zstd", asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
+
+
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows k, t in parcels: compressed Arrow streams of a share of a block each."""
+    for part in slices(batches, 100_000, 1, BLOCK_BYTES // PARCELS):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+            out.write_batch(part)
+        yield pa.RecordBatch.from_pydict({"parcel": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The rows k, t of a block's parcels."""
+    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("parcel")])
+
+
 class _Block:
     """The n-grams of a block's documents: per order (0 is the empty one), each
     position's place among the distinct hashes ``keys``, and their ``counts``."""
@@ -103,32 +141,46 @@ def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order
 
     Null and wordless texts have no words and total 0. Repeated rows are
     documents of their own and see each other's counts. A null key is kept.
-    A text of any length lies in one block and is scored whole; rows with equal
-    key and text share a block. Extra columns are not read; an empty table
-    gives an empty result.
+    A text of any length lies in one block and is scored whole. Rows of a
+    partition must come in one order each time that they are read, as those of
+    a table do. Extra columns are not read; an empty table gives an empty
+    result.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(f"`{text}`")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // BLOCK_BYTES))
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)).cast("int"))
-    rows = rows.repartition("block")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(_parcels, "parcel binary")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("parcel"), F.lit(blocks)).cast("int")).repartition("block")
+    starts = np.array([-(-(p << 64) // blocks) for p in range(blocks)], np.uint64)  # of the ranges of hashes, as many as blocks
 
     def exploded(table: pa.Table) -> pa.Table:
-        found = _Block(table.column("t").to_pylist(), order)
-        block = np.full(len(found.keys), table.column("block")[0].as_py(), np.int32)
-        return pa.table({"h": found.keys.view(np.int64), "block": block, "n": found.counts.astype(np.int32)})
+        found = _Block(_opened(table).column("t").to_pylist(), order)
+        cuts = [*np.searchsorted(found.keys, starts).tolist(), len(found.keys)]
+        parts = [p for p in range(blocks) if cuts[p] < cuts[p + 1]]
+        steps = [np.diff(found.keys[cuts[p] : cuts[p + 1]], prepend=starts[p]) for p in parts]
+        own = [found.counts[cuts[p] : cuts[p + 1]] for p in parts]
+        made = {"part": pa.array(parts, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()), "c": pa.array([len(x) for x in own], pa.int32())}
+        return pa.table(made | {"h": pa.array([_packed(x, True) for x in steps], pa.binary()), "n": pa.array([_packed(x, False) for x in own], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        part, sizes = table.column("part")[0].as_py(), table.column("c").to_pylist()
+        keys = np.concatenate([starts[part] + np.cumsum(_unpacked(x, c, True), dtype=np.uint64) for x, c in zip(table.column("h").to_pylist(), sizes, strict=True)])
+        own = np.concatenate([_unpacked(x, c, False) for x, c in zip(table.column("n").to_pylist(), sizes, strict=True)]).astype(np.int64)
+        _, where = np.unique(keys, return_inverse=True)
+        others = np.bincount(where, weights=own).astype(np.int64)[where] - own  # whole numbers below 2**53
+        others = [_packed(x, False) for x in np.split(others, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "c": table.column("c"), "n": pa.array(others, pa.binary())})
 
     def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
+        texts = _opened(texts)
         schema = pa.schema([(key, texts.schema.field("k").type), ("n_words", pa.int64()), ("total_micro", pa.int64())])
-        if not texts.num_rows:
-            return schema.empty_table()
         found = _Block(texts.column("t").to_pylist(), order)
-        counts = found.counts.copy()
-        counts[np.searchsorted(found.keys, known.column("h").to_numpy().view(np.uint64))] = known.column("total").to_numpy()
+        known = known.sort_by("part")
+        others = [_unpacked(x, c, False) for x, c in zip(known.column("n").to_pylist(), known.column("c").to_pylist(), strict=True)]
+        counts = found.counts + np.concatenate([np.zeros(0, np.int64), *others]).astype(np.int64)
         return pa.table([texts.column("k"), pa.array(found.sizes), pa.array(found.scores(counts, backoff))], schema=schema)
 
-    grams = rows.groupBy("block").applyInArrow(exploded, "h long, block int, n int").repartition("h")
-    totals = grams.groupBy("h").agg(F.sum("n").alias("total"))
-    elsewhere = grams.join(totals, "h").where("total > n").select("block", "h", "total")  # of the others, a block's own count is the total
+    grams = rows.groupBy("block").applyInArrow(exploded, "part int, block int, c int, h binary, n binary")
+    elsewhere = grams.groupBy("part").applyInArrow(summed, "block int, part int, c int, n binary")
     out = rows.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(scored, f"`{key}` {kind}, n_words long, total_micro long")
     return out.withColumn("score_micro", F.expr("CASE WHEN n_words > 0 THEN -(-total_micro DIV n_words) END"))
