@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_others, few, slices, stored
@@ -35,7 +35,7 @@ SAMPLE, COMMON = 20_000, 400_000
 #: Longs of a set's bit map.
 MAP = 32
 #: Texts under one shingle whose pairs a join makes at most; more are compared in a task, in blocks of BLOCK (some 10 MB of maps), PAIRS at once.
-HOT, BLOCK, PAIRS = 32, 32_768, 100_000
+HOT, BLOCK, PAIRS = 8, 32_768, 100_000
 
 
 def shingles(text: str | None, k: int, seed: int = 42) -> np.ndarray:
@@ -205,10 +205,10 @@ def similar(docs: DataFrame, *, text: str = "text", words: int = 5) -> DataFrame
 
     # Shingles of prefixes that different texts share.
     profiles = stored(_profiles(texts, words, common, rank), "profiles")
-    # They are dealt out once, both to be counted and to be found again.
-    starts = profiles.select("node", "n", F.posexplode("p").alias("i", "h")).repartition("h")
-    shared = starts.groupBy("h").count().where("count > 1").select("h")
-    grouped = stored(starts.join(shared.hint("shuffle_hash"), "h").select("h", "node", "n", "i"), "grouped")
+    # They are dealt out once, to be counted and kept: a shingle's rows are read in one task, which spills what is long.
+    starts = profiles.select("node", "n", F.posexplode("p").alias("i", "h"))
+    met = starts.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")
+    grouped = stored(met.select("h", "node", "n", "i"), "grouped")
 
     named = near_duplicates(texts, key="node", words=words)
     stars = _rows_of(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -222,7 +222,9 @@ def similar(docs: DataFrame, *, text: str = "text", words: int = 5) -> DataFrame
     # Shingles that still join different components: every pair of theirs.
     found = components(first)
     open_ = grouped.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least")).where("lo <> hi").select("h", "c", "least")
+    # Of shingles with the same texts the first one is kept: the order is one for all, so it is first in each of them.
+    apart = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least"), F.sum("i").alias("i"), F.sum(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 32))).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(4))).alias("x"))
+    apart = apart.where("lo <> hi").groupBy("c", "least", "s", "x").agg(F.min(F.struct("i", "h")).alias("o")).select("o.h", "c", "least")
     open_ = stored(open_.join(apart, "h").where(_fits(F.col("n"), F.col("least"), F.col("n") - F.col("i"))).select("h", "node", "n", "i", "root", "c"), "open")
     cold = open_.where(F.col("c") <= HOT)
     a, b = (cold.select("h", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("i").alias("i" + x), F.col("root").alias("r" + x)) for x in "ab")

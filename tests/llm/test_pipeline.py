@@ -74,7 +74,7 @@ def test_near_dedup_finds_every_similar_pair(spark):
     assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == set(root) and len(set(root)) < 45
 
 
-@pytest.mark.parametrize("hot, block", [(32, 32_768), (2, 16)])
+@pytest.mark.parametrize("hot, block", [(8, 32_768), (2, 16)])
 def test_near_dedup_makes_no_row_for_each_pair_of_a_group(spark, monkeypatch, hot, block):
     import random
 
