@@ -21,9 +21,11 @@ millionths before summing, so sums do not depend on their order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +34,59 @@ from .common import slices
 
 #: Bytes of text in a block, about: a third of a gigabyte of its task's memory at order 3; and parcels of texts that make one.
 BLOCK_BYTES, PARCELS = 6 << 20, 32
-#: Distinct words kept per Python process.
-KEPT = 500_000
-_words: dict[bytes, int] = {}
 
 
-def _hashes(text: str | None) -> list[int]:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased)."""
-    ws = text.encode().lower().split() if text else []
-    got = list(map(_words.get, ws))
-    if None in got:
-        if len(_words) > KEPT:
-            _words.clear()
-        got = [xxhash.xxh64_intdigest(w) if h is None else h for w, h in zip(ws, got, strict=True)]
-        _words.update(zip(ws, got, strict=True))
-    return got
+def _words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of words (runs without ASCII white space, A-Z lower-cased), and all words' 64-bit hashes; a distinct word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists).fill_null(0)))
+    coded = pc.list_flatten(lists).dictionary_encode()
+    if not len(coded):
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.uint64)
+    distinct = coded.chunk(0).dictionary  # that of all chunks
+    sizes = np.asarray(pc.binary_length(distinct))
+    raw = b"".join(memoryview(x) for x in distinct.buffers()[2:] if x is not None)
+    at = [0, *np.cumsum(sizes, dtype=np.int64).tolist()]
+    hashes = np.array([xxhash.xxh64_intdigest(raw[i:j]) for i, j in pairwise(at)], np.uint64)
+    code = np.concatenate([np.asarray(c.indices) for c in coded.chunks])
+    full = (sizes > 0)[code]  # white space at an end of a text leaves an empty word there
+    return np.bincount(doc[full], minlength=len(texts)), hashes[code[full]]
+
+
+def _sorted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers in ascending order, equal ones as they come, and their places.
+
+    The high bits are sorted with the place in the low ones, as values are
+    sorted much faster than places; numbers that only their low bits tell
+    apart, few if they are hashes, are then sorted among themselves.
+    """
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    both = h & ~low
+    both |= np.arange(len(h), dtype=np.uint64)
+    both.sort()
+    tied = (both[1:] ^ both[:-1]) <= low
+    both &= low
+    at = both.view(np.int64)
+    got = h[at]
+    mixed = tied & (got[1:] != got[:-1])
+    if mixed.any():
+        run = np.concatenate((np.zeros(1, np.int64), np.cumsum(~tied)))
+        again = np.zeros(run[-1] + 1, bool)
+        again[run[1:][mixed]] = True
+        again = again[run]
+        at[again] = at[again][np.lexsort((at[again], got[again]))]
+        got[again] = h[at[again]]
+    return got, at
+
+
+def _firsts(h: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+
+
+def _lengths(first: np.ndarray) -> np.ndarray:
+    """The lengths of runs that begin at ``first``."""
+    return np.diff(np.flatnonzero(first), append=len(first))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -85,50 +125,54 @@ def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _opened(table: pa.Table) -> pa.Table:
     """The rows k, t of a block's parcels."""
-    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("parcel")])
+    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("parcel")]).combine_chunks()
 
 
 class _Block:
-    """The n-grams of a block's documents: per order (0 is the empty one), each
-    position's place among the distinct hashes ``keys``, and their ``counts``."""
-
-    def __init__(self, texts: list[str | None], order: int) -> None:
-        lists = [_hashes(t) for t in texts]
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.doc = np.repeat(np.arange(len(lists)), self.sizes)
-        word = np.fromiter((h for x in lists for h in x), np.uint64, int(self.sizes.sum()))
+    """The n-grams of a block's documents: hashes of those of order 1, then of order 2 and on; the empty one is known by 0."""
+
+    def __init__(self, texts: pa.ChunkedArray, order: int) -> None:
+        self.sizes, word = _words(texts)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
         place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        grams, h = [np.zeros(len(word), np.uint64)], _mix(word)
+        self.valid, grams, h = [place >= n for n in range(order)], [], _mix(word)
         for n in range(order):
             if n and len(h):  # the n-gram that ends at a position: the shorter one before it, and the word
                 h = np.concatenate((np.zeros(1, np.uint64), _mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + word[1:] + np.uint64(n))))
-            grams.append(h)
-        self.valid = [place >= max(0, n - 1) for n in range(order + 1)]
-        self.keys, where = np.unique(np.concatenate([g[v] for g, v in zip(grams, self.valid, strict=True)]), return_inverse=True)
-        self.counts = np.bincount(where, minlength=len(self.keys))
-        cuts = np.cumsum([int(v.sum()) for v in self.valid])[:-1]
-        self.at = []
-        for v, w in zip(self.valid, np.split(where, cuts), strict=True):
+            grams.append(h[self.valid[n]])
+        self.grams = np.concatenate([np.zeros(0, np.uint64), *grams])
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes in ascending order, and their counts."""
+        h, empty = np.sort(self.grams), np.zeros(min(1, len(self.doc)), np.uint64)
+        first = _firsts(h)
+        return np.concatenate((empty, h[first])), np.concatenate((empty.astype(np.int64) + len(self.doc), _lengths(first)))
+
+    def scores(self, elsewhere: np.ndarray, backoff: float) -> np.ndarray:
+        """Per document, in millionths; ``elsewhere`` has the counts in other blocks of the hashes of ``table``."""
+        if not len(self.doc):
+            return np.zeros(len(self.sizes), np.int64)
+        h, at = _sorted(self.grams)
+        first = _firsts(h)
+        here, own = _lengths(first), _lengths(first | _firsts(np.concatenate([self.doc[v] for v in self.valid])[at]))  # equal n-grams go by document
+        left = np.repeat(elsewhere[1:] + here, here)
+        left -= np.repeat(own, own)
+        counts = h.view(np.int64)  # in other documents, at each position
+        counts[at] = left
+        others = [elsewhere[0] + len(self.doc) - self.sizes[self.doc]]
+        for v, c in zip(self.valid, np.split(counts, np.cumsum([int(v.sum()) for v in self.valid])[:-1]), strict=True):
             full = np.zeros(len(v), np.int64)
-            full[v] = w
-            self.at.append(full)
-
-    def scores(self, counts: np.ndarray, backoff: float) -> np.ndarray:
-        """Per document, in millionths; ``counts`` of the whole table follow ``keys``."""
-        others = []
-        for v, at in zip(self.valid, self.at, strict=True):  # counts in other documents, at each position
-            pair = self.doc * max(1, len(self.keys)) + at
-            _, where, own = np.unique(np.where(v, pair, -1), return_inverse=True, return_counts=True)
-            others.append(np.where(v, counts[at] - own[where], 0) if len(at) else at)
+            full[v] = c
+            others.append(full)
         score, open_, factor = np.zeros(len(self.doc)), np.ones(len(self.doc), bool), np.ones(len(self.doc))
         for n in reversed(range(1, len(others))):
             c = others[n]
             if n > 1:
-                context = np.concatenate((np.zeros(1, np.int64), others[n - 1][:-1])) if len(c) else c
-                hit = open_ & self.valid[n] & (c > 0)
+                valid, context = self.valid[n - 1], np.concatenate((np.zeros(1, np.int64), others[n - 1][:-1]))
+                hit = open_ & valid & (c > 0)
                 score[hit] = np.log(factor[hit] * (c[hit] / context[hit]))
                 open_ &= ~hit
-                factor[open_ & self.valid[n]] *= backoff
+                factor[open_ & valid] *= backoff
             else:
                 score[open_] = np.log(factor[open_] * (np.maximum(c[open_], 1) / np.maximum(others[0][open_], 1)))
         return np.bincount(self.doc, weights=np.rint(score * 1e6), minlength=len(self.sizes)).astype(np.int64)
@@ -154,31 +198,33 @@ def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order
     starts = np.array([-(-(p << 64) // blocks) for p in range(blocks)], np.uint64)  # of the ranges of hashes, as many as blocks
 
     def exploded(table: pa.Table) -> pa.Table:
-        found = _Block(_opened(table).column("t").to_pylist(), order)
-        cuts = [*np.searchsorted(found.keys, starts).tolist(), len(found.keys)]
+        keys, counts = _Block(_opened(table).column("t"), order).table()
+        cuts = [*np.searchsorted(keys, starts).tolist(), len(keys)]
         parts = [p for p in range(blocks) if cuts[p] < cuts[p + 1]]
-        steps = [np.diff(found.keys[cuts[p] : cuts[p + 1]], prepend=starts[p]) for p in parts]
-        own = [found.counts[cuts[p] : cuts[p + 1]] for p in parts]
+        steps = [np.diff(keys[cuts[p] : cuts[p + 1]], prepend=starts[p]) for p in parts]
+        own = [counts[cuts[p] : cuts[p + 1]] for p in parts]
         made = {"part": pa.array(parts, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()), "c": pa.array([len(x) for x in own], pa.int32())}
         return pa.table(made | {"h": pa.array([_packed(x, True) for x in steps], pa.binary()), "n": pa.array([_packed(x, False) for x in own], pa.binary())})
 
     def summed(table: pa.Table) -> pa.Table:
-        part, sizes = table.column("part")[0].as_py(), table.column("c").to_pylist()
-        keys = np.concatenate([starts[part] + np.cumsum(_unpacked(x, c, True), dtype=np.uint64) for x, c in zip(table.column("h").to_pylist(), sizes, strict=True)])
+        sizes = table.column("c").to_pylist()
+        keys = np.concatenate([np.cumsum(_unpacked(x, c, True), dtype=np.uint64) for x, c in zip(table.column("h").to_pylist(), sizes, strict=True)])  # from the range's start
         own = np.concatenate([_unpacked(x, c, False) for x, c in zip(table.column("n").to_pylist(), sizes, strict=True)]).astype(np.int64)
-        _, where = np.unique(keys, return_inverse=True)
-        others = np.bincount(where, weights=own).astype(np.int64)[where] - own  # whole numbers below 2**53
+        keys, at = _sorted(keys * np.uint64(blocks))  # a range is 2**64 / blocks wide, so this stays below 2**64
+        first, own = _firsts(keys), own[at]
+        others = np.empty(len(at), np.int64)
+        others[at] = np.repeat(np.add.reduceat(own, np.flatnonzero(first)), _lengths(first)) - own
         others = [_packed(x, False) for x in np.split(others, np.cumsum(sizes)[:-1])]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "c": table.column("c"), "n": pa.array(others, pa.binary())})
 
     def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
         texts = _opened(texts)
         schema = pa.schema([(key, texts.schema.field("k").type), ("n_words", pa.int64()), ("total_micro", pa.int64())])
-        found = _Block(texts.column("t").to_pylist(), order)
+        found = _Block(texts.column("t"), order)
         known = known.sort_by("part")
         others = [_unpacked(x, c, False) for x, c in zip(known.column("n").to_pylist(), known.column("c").to_pylist(), strict=True)]
-        counts = found.counts + np.concatenate([np.zeros(0, np.int64), *others]).astype(np.int64)
-        return pa.table([texts.column("k"), pa.array(found.sizes), pa.array(found.scores(counts, backoff))], schema=schema)
+        elsewhere = np.concatenate([np.zeros(0, np.int64), *others]).astype(np.int64)
+        return pa.table([texts.column("k"), pa.array(found.sizes), pa.array(found.scores(elsewhere, backoff))], schema=schema)
 
     grams = rows.groupBy("block").applyInArrow(exploded, "part int, block int, c int, h binary, n binary")
     elsewhere = grams.groupBy("part").applyInArrow(summed, "block int, part int, c int, n binary")

@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -171,6 +174,52 @@ def test_lm_count_table_is_packed():
             assert (lm_score._unpacked(lm_score._packed(x, raw), len(x), raw) == x).all()
 
 
+def test_lm_words():
+    rng = random.Random(9)
+    odd = [chr(c) for c in [*range(128), 0x85, 0xA0, 0xC4, 0x130, 0x2028, 0x1F600]]
+    texts = [None, "", " ", "\t\r\n", "  A b ", "\u212a K k"] + ["".join(rng.choices(odd, k=rng.randint(0, 40))) for _ in range(300)] + [None]
+    for cuts in ([0, len(texts)], [0, 0, 3, 4, 150, len(texts)]):
+        column = pa.chunked_array([pa.array(texts[a:b], pa.string()) for a, b in zip(cuts, cuts[1:])])  # noqa: B905
+        sizes, words = lm_score._words(column)
+        want = [t.encode().lower().split() if t else [] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert words.tolist() == [xxhash.xxh64_intdigest(w) for ws in want for w in ws]
+    for none in ([], [None], ["", " "]):
+        sizes, words = lm_score._words(pa.chunked_array([none], pa.string()))
+        assert sizes.tolist() == [0] * len(none) and len(words) == 0
+
+
+def test_lm_sort():
+    rng = np.random.default_rng(7)
+    close = (np.uint64(5) << np.uint64(40)) + rng.integers(0, 64, 3000, np.uint64)  # the low bits alone tell them apart
+    for h in (close, rng.permutation(np.concatenate([close, rng.integers(0, 2**64, 5000, np.uint64), np.array([0, 0, 2**64 - 1, 2**64 - 1], np.uint64)])), close[:0], close[:1]):
+        want = np.argsort(h, kind="stable")
+        got, at = lm_score._sorted(h)
+        assert (at == want).all() and (got == h[want]).all()
+
+
+def test_lm_block_is_cheap():
+    """CPU seconds: to explode a block and later to score it took 7.7 to 9.0 times as long as to find its distinct n-grams with numpy, and takes 2.8 to 3.2 times."""
+    rng = np.random.default_rng(8)
+    names = [f"word{i}" for i in range(50_000)]
+    texts = pa.chunked_array([[" ".join(names[i] for i in (rng.random(500) ** 3 * len(names)).astype(int).tolist()) for _ in range(600)]])
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def twice():
+        counts = lm_score._Block(texts, 3).table()[1]
+        lm_score._Block(texts, 3).scores(counts, 0.4)
+
+    hashes = rng.permutation(lm_score._Block(texts, 3).grams)
+    assert least(twice) < 5.5 * least(lambda: np.unique(hashes, return_inverse=True))
+
+
 def test_ordinal_regression(spark):
     rng = random.Random(4)
     levels = [["mud", "rot"], ["clay", "sand"], ["gold", "gem"]]
